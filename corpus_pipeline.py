@@ -1,13 +1,45 @@
 """Corpus pipeline: toxicity, near duplicates, decontamination, secrets, packing.
 
 Each stage takes the documents that its predecessor kept and, but for the last, returns the
-columns of ``documents``."""
+columns of ``documents``.  Null texts count as empty; an empty table passes through."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skarn.llm import packing, queries
+from skarn.llm import decontaminate, jaccard, packing, queries, secret_scan, toxicity
+from skarn.llm.text import checkpointed, table
+
+SECRET_MASK = "[SECRET]"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    queries._arrow(spark)
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked near duplicates (five words, 0.8) stays: the one with the
+    smallest id.  Documents without words are all alone and stay, as do those without an id."""
+    queries._arrow(spark)
+    groups = jaccard.similarity_components(docs, words=5, percent=80)
+    others = checkpointed(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    queries._arrow(spark)
+    return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mask; all documents stay."""
+    queries._arrow(spark)
+    scanned = secret_scan.scan_secrets(docs, mask=SECRET_MASK)
+    return scanned.withColumns({"text": F.col("redacted"), "n_chars": F.length("redacted").cast("bigint")}).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,13 +48,19 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skarn.llm import packing, secret_scan
+from skarn.llm import decontaminate, jaccard, license_scan, packing, quality, secret_scan, toxicity
 from skarn.llm.text import table
 
 ARROW_ROWS = "512"
@@ -29,15 +30,49 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(docs).drop("text", "redacted")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' paths are source/language/id."""
+    _arrow(spark)
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan_licenses(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _arrow(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _arrow(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _arrow(spark)
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _arrow(spark)
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _arrow(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op5_license_scan": op5_license_scan,
         "op6_packing": op6_packing,
+        "op7_quality": op7_quality,
+        "op8_decontamination": op8_decontamination,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_toxicity": op10_toxicity,
     }
 
 
