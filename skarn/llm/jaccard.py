@@ -33,7 +33,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,6 +46,7 @@ FREQUENT = 20_000
 LEAST_FREQUENT = 512
 RANGE_TOKENS = 3_000_000
 HASH_BITS = 54
+HEAD = ["doc_id", "n", "s1", "s2", "frequent"]
 ROWS = 1 << (64 - HASH_BITS)
 
 
@@ -102,9 +102,10 @@ def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
 
 
 def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int) -> DataFrame:
-    """Two kinds of rows: for each row of ``texts`` (key, doc_id, n, s1, s2, frequent) and, for the
-    tokens that other rows have too, (key, tokens, rows)."""
-    ranges = max(24, math.ceil(total / RANGE_TOKENS))
+    """Two kinds of rows: for each row of ``texts`` its key and head (doc_id, n, set signature,
+    frequent tokens) and, for its tokens that other rows have too, key and part (hash range;
+    packed number of the token within the range and its frequency up to 255)."""
+    ranges = max(12, math.ceil(total / RANGE_TOKENS))
     order = np.argsort(frequent)
     by_value = frequent[order]
 
@@ -163,70 +164,70 @@ def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int
         count = np.diff(np.concatenate([first, [len(t)]]))
         df = np.repeat(count, count)
         many = df > 1
-        t, k, df = t[many], k[many], df[many]
+        number = np.cumsum(np.diff(t, prepend=t[:1]) != 0)[many]  # of the token within its range
+        k, df = k[many], np.minimum(df[many], 255)
+        number = np.unique(number, return_inverse=True)[1] if len(number) else number
         by = np.argsort(k, kind="stable")
-        t, k, df = t[by], k[by], df[by]
+        k, entry = k[by], (number[by] << 8) | df[by]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        offsets = pa.array(np.concatenate([first, [len(k)]]).astype(np.int32))
-        n = len(first)
-        shared = pa.table({
-            "key": pa.array(k[first].astype(np.int64)),
-            **{c: pa.nulls(n, pa.int64()) for c in ("doc_id", "n", "s1", "s2")},
-            "frequent": pa.nulls(n, pa.list_(pa.int32())),
-            "tokens": pa.ListArray.from_arrays(offsets, pa.array(t.astype(np.int64))),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(df.astype(np.int32))),
+        data = [planes(x, 5) for x in np.split(entry, first[1:])] if len(k) else []
+        here = table.column("range")[0].as_py()
+        m, n = rows.num_rows, len(first)
+        head = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in HEAD], HEAD)
+        part = pa.StructArray.from_arrays([pa.array([here] * n, pa.int32()), pa.array(data, pa.binary())], ["range", "data"])
+        return pa.table({
+            "key": pa.concat_arrays([rows.column("key").combine_chunks(), pa.array(k[first].astype(np.int64))]),
+            "head": pa.concat_arrays([head, pa.nulls(n, head.type)]),
+            "part": pa.concat_arrays([pa.nulls(m, part.type), part]),
         })
-        m = rows.num_rows
-        own = pa.table({
-            "key": rows.column("key"),
-            **{c: rows.column(c) for c in ("doc_id", "n", "s1", "s2", "frequent")},
-            "tokens": pa.nulls(m, pa.list_(pa.int64())),
-            "counts": pa.nulls(m, pa.list_(pa.int32())),
-        })
-        return pa.concat_tables([own.cast(shared.schema), shared])
 
-    schema = "key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, frequent array<int>, tokens array<bigint>, counts array<int>"
-    return blocks.groupBy("range").applyInArrow(meet, schema)
+    return blocks.groupBy("range").applyInArrow(meet, "key bigint, head struct<doc_id:bigint,n:bigint,s1:bigint,s2:bigint,frequent:array<int>>, part struct<range:int,data:binary>")
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def with_prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """Per class: key, n, own (tokens of no other row), its shared tokens as one array (frequent ones
-    as negative numbers), and its prefix under each order.  Classes whose prefix only holds
-    tokens of their own link to nothing and are left out."""
+def with_prefixes(met: DataFrame, percent: int) -> DataFrame:
+    """Per row: key, doc_id, n, s1, s2; and, if its prefix holds a token of other rows: own (the
+    number of tokens of no other row), its shared tokens as one array (frequent ones as negative
+    numbers), and its prefix under each order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, n, often, tokens, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t, c = np.array(tokens, np.int64), np.array(counts, np.int64)
-                own = n - len(t) - len(often)
+            for key, head, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, often = head["n"], head["frequent"]
+                row = (key, head["doc_id"], n, head["s1"], head["s2"])
+                entries = [(x["range"], unplanes(x["data"], 5)) for x in parts]
+                own = n - sum(len(x) for _, x in entries) - len(often)
                 room = prefix_length(n, percent) - own
-                if room < 1:
+                if room < 1 or not n:
+                    out.append((*row, None, None, None, None, None))
                     continue
-                u = t.astype(np.uint64)
+                u = np.concatenate([(x >> np.uint64(8)) | np.uint64(r << 32) for r, x in entries] or [np.zeros(0, np.uint64)])
+                c = np.concatenate([x & np.uint64(255) for _, x in entries] or [np.zeros(0, np.uint64)])
+                t = u.astype(np.int64)
                 orders = [np.lexsort((t, c)), np.argsort(_mix(u)), np.argsort(_mix(u ^ np.uint64(0x5BD1E9955BD1E995)))]
                 # among the frequent, all orders go by frequency
                 last = [-1 - r for r in sorted(often)]
                 fronts = [[*t[o[:room]].tolist(), *last[: max(0, room - len(t))]] for o in orders]
-                out.append((key, n, own, [*t.tolist(), *last], *fronts))
+                out.append((*row, own, [*t.tolist(), *last], *fronts))
             longs = pa.list_(pa.int64())
-            types = (pa.int64(), pa.int64(), pa.int64(), longs, longs, longs, longs)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], y) for i, y in enumerate(types)], ["key", "n", "own", "tokens", "p1", "p2", "p3"])
+            types = (*[pa.int64()] * 6, longs, longs, longs, longs)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], y) for i, y in enumerate(types)], ["key", "doc_id", "n", "s1", "s2", "own", "tokens", "p1", "p2", "p3"])
 
-    slim = classes.select("key", "n", "frequent", "tokens", "counts")
     arrays = ", ".join(f"{c} array<bigint>" for c in ("tokens", "p1", "p2", "p3"))
-    return slim.mapInArrow(cut, f"key bigint, n bigint, own bigint, {arrays}")
+    whole = met.groupBy("key").agg(F.first("head", ignorenulls=True).alias("head"), F.collect_list("part").alias("parts"))
+    return whole.mapInArrow(cut, f"key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, own bigint, {arrays}")
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity is enough."""
-    sides = [nodes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}")) for s in ("a", "b")]
-    both = F.size(F.array_intersect("t_a", "t_b"))
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    """The pairs (a, b) that share a prefix token under every order and whose exact similarity is enough."""
+    sides = [nodes.select(F.col("key").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "tokens", "p2", "p3"))) for s in ("a", "b")]
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    met = pairs.join(sides[0], "a").join(sides[1], "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+    return met.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -252,47 +253,39 @@ def _possible(own_a: Column, n_a: Column, own_b: Column, n_b: Column, percent: i
 
 def class_links(nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect all classes with a path of links, and only those."""
-    slots = nodes.select("key", "n", "own", "p1", "p2", "p3", F.explode("p1").alias("token"))
-    hubs = slots.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("own", "key")).alias("h")).where("members > 1").select("token", F.col("h.key").alias("hub"))
-    hubs = checkpointed(hubs)
-    stars = slots.join(hubs, "token").where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    first = checkpointed(linked(stars, nodes, percent))
+    slots = nodes.select("key", "n", "own", F.explode("p1").alias("token"))
+    hubs = slots.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("own", "key", "n")).alias("h")).where("members > 1")
+    hubs = checkpointed(hubs.select("token", F.col("h.key").alias("hub"), F.col("h.own").alias("hub_own"), F.col("h.n").alias("hub_n")))
+    slots = checkpointed(slots.join(hubs.select("token"), "token", "left_semi"))
+    c = F.col
+    stars = slots.join(hubs, "token").where((c("key") != c("hub")) & _possible(c("own"), c("n"), c("hub_own"), c("hub_n"), percent))
+    first = checkpointed(linked(stars.select(c("key").alias("a"), c("hub").alias("b")).distinct(), nodes, percent))
     labels = components(nodes, first)
     named = slots.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     hub_labels = hubs.join(labels.withColumnRenamed("key", "hub"), "hub", "left").select("token", F.coalesce("label", "hub").alias("hub_label"))
-    placed = named.join(hub_labels, "token")
-    split = placed.where(F.col("label") != F.col("hub_label")).select("token").distinct()
-    placed = checkpointed(placed.join(split, "token", "left_semi"))
-    left = placed.where(F.col("label") != F.col("hub_label")).select("token", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "own", "p1", "p2", "p3", "label")))
-    right = placed.select(F.col("token").alias("token_b"), *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "own", "p1", "p2", "p3", "label", "hub_label")))
-    c = F.col
+    placed = checkpointed(named.join(hub_labels, "token"))
+    left = placed.where(c("label") != c("hub_label")).select("token", *(c(x).alias(f"{x}_a") for x in ("key", "n", "own", "label")))
+    right = placed.select(c("token").alias("token_b"), *(c(x).alias(f"{x}_b") for x in ("key", "n", "own", "label", "hub_label")))
     pairs = left.join(
         right,
         (c("token") == c("token_b"))
         & (c("label_a") != c("label_b"))
         & ((c("key_a") < c("key_b")) | (c("label_b") == c("hub_label_b")))
-        & _possible(c("own_a"), c("n_a"), c("own_b"), c("n_b"), percent)
-        & (F.element_at(F.array_intersect("p1_a", "p1_b"), 1) == c("token"))
-        & F.arrays_overlap("p2_a", "p2_b")
-        & F.arrays_overlap("p3_a", "p3_b"),
-    ).select(c("key_a").alias("a"), c("key_b").alias("b"))
-    return first.union(linked(pairs, nodes, percent))
+        & _possible(c("own_a"), c("n_a"), c("own_b"), c("n_b"), percent),
+    )
+    return first.union(linked(pairs.select(c("key_a").alias("a"), c("key_b").alias("b")).distinct(), nodes, percent))
 
 
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     texts = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
     frequent, total = frequent_tokens(texts, words)
-    met = checkpointed(shared_tokens(texts, frequent, total, words))
-    rows = met.where(F.col("n").isNotNull())
-    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("class"), F.first("frequent").alias("frequent"))
-    reps = checkpointed(classes)
-    shared = met.where(F.col("n").isNull()).groupBy("key").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("counts")).alias("counts"))
-    empty = F.array().cast("array<bigint>"), F.array().cast("array<int>")
-    full = reps.select(F.col("class").alias("key"), "n", "frequent").join(shared, "key", "left").select("key", "n", "frequent", F.coalesce("tokens", empty[0]).alias("tokens"), F.coalesce("counts", empty[1]).alias("counts"))
-    nodes = checkpointed(with_prefixes(full, percent))
+    rows = checkpointed(with_prefixes(shared_tokens(texts, frequent, total, words), percent))
+    classes = checkpointed(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("class")))
+    nodes = rows.where("own is not null").join(classes.select(F.col("class").alias("key")), "key", "left_semi").select("key", "n", "own", "tokens", "p1", "p2", "p3")
+    nodes = checkpointed(nodes)
     labels = components(nodes, class_links(nodes, percent))
-    member = rows.join(reps.select("n", "s1", "s2", "class"), ["n", "s1", "s2"], "left").select("key", "doc_id", "n", F.coalesce("class", "key").alias("class"))
+    member = rows.select("key", "doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class", "key").alias("class"))
     named = checkpointed(member.join(labels.select(F.col("key").alias("class"), "label"), "class", "left").select("doc_id", "n", F.coalesce("label", "class").alias("label")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
