@@ -44,7 +44,7 @@ WORDS = 3
 PERCENT = 90
 FREQUENT = 20_000
 LEAST_FREQUENT = 512
-RANGE_TOKENS = 3_000_000
+RANGE_TOKENS = 2_000_000
 HASH_BITS = 54
 HEAD = ["doc_id", "n", "s1", "s2", "frequent"]
 ROWS = 1 << (64 - HASH_BITS)
@@ -158,15 +158,19 @@ def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int
         t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
         k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         del tokens, keys
-        by = np.argsort(t, kind="stable")
-        t, k = t[by], k[by]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate([first, [len(t)]]))
-        df = np.repeat(count, count)
-        many = df > 1
-        number = np.cumsum(np.diff(t, prepend=t[:1]) != 0)[many]  # of the token within its range
-        k, df = k[many], np.minimum(df[many], 255)
-        number = np.unique(number, return_inverse=True)[1] if len(number) else number
+        by = np.argsort(t)
+        t = t[by]
+        same = t[1:] == t[:-1]
+        many = np.zeros(len(t), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        t, k = t[many], k[by[many]]
+        del by, same, many
+        start = np.ones(len(t), bool)
+        start[1:] = t[1:] != t[:-1]
+        number = np.cumsum(start) - 1  # of the token within its range
+        df = np.minimum(np.bincount(number), 255)[number] if len(t) else number
+        del t, start
         by = np.argsort(k, kind="stable")
         k, entry = k[by], (number[by] << 8) | df[by]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)

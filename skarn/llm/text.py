@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 3 << 19
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
