@@ -102,9 +102,9 @@ def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
 
 
 def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int) -> DataFrame:
-    """Two kinds of rows: for each row of ``texts`` its key and head (doc_id, n, set signature,
-    frequent tokens) and, for its tokens that other rows have too, key and part (hash range;
-    packed number of the token within the range and its frequency up to 255)."""
+    """Rows dealt to buckets of keys, of two kinds: for each row of ``texts`` its key and HEAD, and
+    blocks of the tokens that other rows have too (keys; number of the token within its hash
+    range and its frequency up to 255)."""
     ranges = max(12, math.ceil(total / RANGE_TOKENS))
     order = np.argsort(frequent)
     by_value = frequent[order]
@@ -171,21 +171,28 @@ def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int
         number = np.cumsum(start) - 1  # of the token within its range
         df = np.minimum(np.bincount(number), 255)[number] if len(t) else number
         del t, start
-        by = np.argsort(k, kind="stable")
-        k, entry = k[by], (number[by] << 8) | df[by]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        data = [planes(x, 5) for x in np.split(entry, first[1:])] if len(k) else []
+        target = bucket_of(k, ranges)
+        by = np.lexsort((k, target))
+        k, target, entry = k[by], target[by], (number[by] << 8) | df[by]
+        cuts = np.searchsorted(target, np.arange(ranges + 1))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        m, n = rows.num_rows, len(full)
         here = table.column("range")[0].as_py()
-        m, n = rows.num_rows, len(first)
-        head = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in HEAD], HEAD)
-        part = pa.StructArray.from_arrays([pa.array([here] * n, pa.int32()), pa.array(data, pa.binary())], ["range", "data"])
+        packs = [(planes(k[x:y], 8), planes(entry[x:y], 5)) for x, y in zip(cuts[full].tolist(), cuts[np.array(full, int) + 1].tolist(), strict=True)]
+        keys = np.asarray(rows.column("key").combine_chunks())
         return pa.table({
-            "key": pa.concat_arrays([rows.column("key").combine_chunks(), pa.array(k[first].astype(np.int64))]),
-            "head": pa.concat_arrays([head, pa.nulls(n, head.type)]),
-            "part": pa.concat_arrays([pa.nulls(m, part.type), part]),
+            "bucket": pa.array(np.concatenate([bucket_of(keys.astype(np.uint64), ranges), full]).astype(np.int32)),
+            "range": pa.array([here] * (m + n), pa.int32()),
+            **{c: pa.concat_arrays([rows.column(c).combine_chunks(), pa.nulls(n, rows.schema.field(c).type)]) for c in ("key", *HEAD)},
+            "keys": pa.array([None] * m + [x for x, _ in packs], pa.binary()),
+            "entries": pa.array([None] * m + [x for _, x in packs], pa.binary()),
         })
 
-    return blocks.groupBy("range").applyInArrow(meet, "key bigint, head struct<doc_id:bigint,n:bigint,s1:bigint,s2:bigint,frequent:array<int>>, part struct<range:int,data:binary>")
+    return blocks.groupBy("range").applyInArrow(meet, "bucket int, range int, key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, frequent array<int>, keys binary, entries binary")
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((_mix(keys) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -197,33 +204,43 @@ def with_prefixes(met: DataFrame, percent: int) -> DataFrame:
     number of tokens of no other row), its shared tokens as one array (frequent ones as negative
     numbers), and its prefix under each order."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, head, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, often = head["n"], head["frequent"]
-                row = (key, head["doc_id"], n, head["s1"], head["s2"])
-                entries = [(x["range"], unplanes(x["data"], 5)) for x in parts]
-                own = n - sum(len(x) for _, x in entries) - len(often)
-                room = prefix_length(n, percent) - own
-                if room < 1 or not n:
-                    out.append((*row, None, None, None, None, None))
-                    continue
-                u = np.concatenate([(x >> np.uint64(8)) | np.uint64(r << 32) for r, x in entries] or [np.zeros(0, np.uint64)])
-                c = np.concatenate([x & np.uint64(255) for _, x in entries] or [np.zeros(0, np.uint64)])
+    def cut(table: pa.Table) -> pa.Table:
+        whole = pa.compute.is_valid(table.column("n"))
+        packed = table.filter(pa.compute.invert(whole))
+        keys = [unplanes(x.as_py(), 8) for x in packed.column("keys")]
+        entries = [unplanes(x.as_py(), 5) | np.uint64(r.as_py() << 40) for x, r in zip(packed.column("entries"), packed.column("range"), strict=True)]
+        k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        e = np.concatenate(entries) if entries else np.zeros(0, np.uint64)
+        del keys, entries, packed
+        by = np.argsort(k)
+        k, e = k[by], e[by]
+        rows = table.filter(whole).select(["key", *HEAD]).to_pydict()
+        mine = np.array(rows["key"], np.uint64)
+        firsts, ends = np.searchsorted(k, mine), np.searchsorted(k, mine, side="right")
+        del k, by
+        more: list[list] = [[], [], [], [], []]
+        for n, often, a, b in zip(rows["n"], rows["frequent"], firsts.tolist(), ends.tolist(), strict=True):
+            own = n - (b - a) - len(often)
+            room = prefix_length(n, percent) - own
+            values = [None] * 5
+            if n and room > 0:
+                u, c = e[a:b] >> np.uint64(8), e[a:b] & np.uint64(255)
                 t = u.astype(np.int64)
                 orders = [np.lexsort((t, c)), np.argsort(_mix(u)), np.argsort(_mix(u ^ np.uint64(0x5BD1E9955BD1E995)))]
                 # among the frequent, all orders go by frequency
                 last = [-1 - r for r in sorted(often)]
                 fronts = [[*t[o[:room]].tolist(), *last[: max(0, room - len(t))]] for o in orders]
-                out.append((*row, own, [*t.tolist(), *last], *fronts))
-            longs = pa.list_(pa.int64())
-            types = (*[pa.int64()] * 6, longs, longs, longs, longs)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], y) for i, y in enumerate(types)], ["key", "doc_id", "n", "s1", "s2", "own", "tokens", "p1", "p2", "p3"])
+                values = [own, [*t.tolist(), *last], *fronts]
+            for column, v in zip(more, values, strict=True):
+                column.append(v)
+        longs = pa.list_(pa.int64())
+        return pa.table({
+            **{c: pa.array(rows[c], pa.int64()) for c in ("key", "doc_id", "n", "s1", "s2")},
+            **{c: pa.array(x, y) for c, x, y in zip(("own", "tokens", "p1", "p2", "p3"), more, (pa.int64(), longs, longs, longs, longs), strict=True)},
+        })
 
     arrays = ", ".join(f"{c} array<bigint>" for c in ("tokens", "p1", "p2", "p3"))
-    whole = met.groupBy("key").agg(F.first("head", ignorenulls=True).alias("head"), F.collect_list("part").alias("parts"))
-    return whole.mapInArrow(cut, f"key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, own bigint, {arrays}")
+    return met.groupBy("bucket").applyInArrow(cut, f"key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, own bigint, {arrays}")
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -249,33 +266,35 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def _possible(own_a: Column, n_a: Column, own_b: Column, n_b: Column, percent: int) -> Column:
-    """Whether tokens that aren't their own suffice for the similarity."""
-    most = F.least(n_a - own_a, n_b - own_b)
+def _possible(before_a: Column, n_a: Column, before_b: Column, n_b: Column, percent: int) -> Column:
+    """Whether what follows suffices for the similarity, if the first common token has so many
+    tokens before it.  For a later common token the bound is lower, and nothing is lost by it: the
+    pair's first one is a row of its own."""
+    most = F.least(n_a - before_a, n_b - before_b)
     return 100 * most >= percent * (n_a + n_b - most)
 
 
 def class_links(nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect all classes with a path of links, and only those."""
-    slots = nodes.select("key", "n", "own", F.explode("p1").alias("token"))
-    hubs = slots.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("own", "key", "n")).alias("h")).where("members > 1")
-    hubs = checkpointed(hubs.select("token", F.col("h.key").alias("hub"), F.col("h.own").alias("hub_own"), F.col("h.n").alias("hub_n")))
+    slots = nodes.select("key", "n", "own", F.posexplode("p1").alias("place", "token")).withColumn("before", F.col("own") + F.col("place"))
+    hubs = slots.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("own", "key", "n", "before")).alias("h")).where("members > 1")
+    hubs = checkpointed(hubs.select("token", F.col("h.key").alias("hub"), F.col("h.before").alias("hub_before"), F.col("h.n").alias("hub_n")))
     slots = checkpointed(slots.join(hubs.select("token"), "token", "left_semi"))
     c = F.col
-    stars = slots.join(hubs, "token").where((c("key") != c("hub")) & _possible(c("own"), c("n"), c("hub_own"), c("hub_n"), percent))
+    stars = slots.join(hubs, "token").where((c("key") != c("hub")) & _possible(c("before"), c("n"), c("hub_before"), c("hub_n"), percent))
     first = checkpointed(linked(stars.select(c("key").alias("a"), c("hub").alias("b")).distinct(), nodes, percent))
     labels = components(nodes, first)
     named = slots.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     hub_labels = hubs.join(labels.withColumnRenamed("key", "hub"), "hub", "left").select("token", F.coalesce("label", "hub").alias("hub_label"))
     placed = checkpointed(named.join(hub_labels, "token"))
-    left = placed.where(c("label") != c("hub_label")).select("token", *(c(x).alias(f"{x}_a") for x in ("key", "n", "own", "label")))
-    right = placed.select(c("token").alias("token_b"), *(c(x).alias(f"{x}_b") for x in ("key", "n", "own", "label", "hub_label")))
+    left = placed.where(c("label") != c("hub_label")).select("token", *(c(x).alias(f"{x}_a") for x in ("key", "n", "before", "label")))
+    right = placed.select(c("token").alias("token_b"), *(c(x).alias(f"{x}_b") for x in ("key", "n", "before", "label", "hub_label")))
     pairs = left.join(
         right,
         (c("token") == c("token_b"))
         & (c("label_a") != c("label_b"))
         & ((c("key_a") < c("key_b")) | (c("label_b") == c("hub_label_b")))
-        & _possible(c("own_a"), c("n_a"), c("own_b"), c("n_b"), percent),
+        & _possible(c("before_a"), c("n_a"), c("before_b"), c("n_b"), percent),
     )
     return first.union(linked(pairs.select(c("key_a").alias("a"), c("key_b").alias("b")).distinct(), nodes, percent))
 
