@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import decontaminate, jaccard, license_scan, packing, quality, secret_scan, toxicity
+from skarn.llm import chat, decontaminate, fingerprint, jaccard, license_scan, packing, quality, secret_scan, toxicity
 from skarn.llm.text import table
 
 ARROW_ROWS = "512"
@@ -30,6 +30,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(docs).drop("text", "redacted")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are full of control strings."""
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.format_conversations(turns))
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' paths are source/language/id."""
     _arrow(spark)
@@ -67,6 +79,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_chat_format": op2_chat_format,
+        "op3_fingerprint": op3_fingerprint,
         "op5_license_scan": op5_license_scan,
         "op6_packing": op6_packing,
         "op7_quality": op7_quality,
