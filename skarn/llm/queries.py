@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import chat, decontaminate, fingerprint, jaccard, license_scan, packing, quality, secret_scan, toxicity
+from skarn.llm import chat, decontaminate, fingerprint, hmm, jaccard, license_scan, packing, quality, secret_scan, toxicity
 from skarn.llm.text import table
 
 ARROW_ROWS = "512"
@@ -42,6 +42,11 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _arrow(spark)
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' paths are source/language/id."""
     _arrow(spark)
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_chat_format": op2_chat_format,
         "op3_fingerprint": op3_fingerprint,
+        "op4_hmm_score": op4_hmm_score,
         "op5_license_scan": op5_license_scan,
         "op6_packing": op6_packing,
         "op7_quality": op7_quality,
