@@ -26,7 +26,7 @@ BIN_BITS = 7
 BINS = 1 << BIN_BITS
 VALUE_BITS = 63 - BIN_BITS
 STORED_BITS = 8
-SLABS = 64  # id ranges that neighbours are found in
+SLABS = 64  # least number of id ranges that neighbours are found in
 
 
 def _probing_orders() -> list[list[int]]:
@@ -82,29 +82,39 @@ def with_next(df: DataFrame, doc_id: str, columns: list[str]) -> DataFrame:
     """Adds next_<column> from the row that follows in descending order of the id (after the last,
     the first).
 
-    Ids are cut into ``SLABS`` ranges of about equal row counts; each range is one window, and the
+    Ids are cut into ranges of about equal row counts, two for each shuffle partition and ``SLABS`` at
+    least; each range is one window, and the
     first row of the following range is put at its end, so no window holds all rows and the
     texts are shuffled once."""
-    bounds = df.select(F.col(doc_id).cast("double").alias("x")).approxQuantile("x", [i / SLABS for i in range(1, SLABS)], 0.002)
-    bounds = sorted(set(bounds))
-    slab = F.lit(0)
-    if bounds:
-        slab = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col(doc_id).cast("double") > b))
-        slab = F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(slab)
-    placed = df.withColumn("_slab", slab)
+    slabs = max(SLABS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.col(doc_id).cast("double")
+    bounds = sorted(set(df.select(at.alias("x")).approxQuantile("x", [i / slabs for i in range(1, slabs)], 0.1 / slabs)))
+    # two steps, so that a row is compared with about the root of the number of bounds
+    step = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    above = lambda x: F.size(F.filter(x, lambda b: at > b))
+    slab = F.lit(1)
+    if groups:
+        placed = df.withColumn("_group", above(F.array(*[F.lit(g[-1]) for g in groups])))
+        fine = F.coalesce(above(F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.col("_group"))), F.lit(0))
+        slab = F.col("_group") * step + fine + 1
+    else:
+        placed = df.withColumn("_group", F.lit(0))
+    placed = placed.withColumn("_slab", F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(slab))
     tops = sorted(((r[0], r[1]) for r in placed.groupBy("_slab").agg(F.max(doc_id)).collect()), reverse=True)
-    guests = {}
-    for (into, _), (_, first) in zip(tops, tops[1:] + tops[:1], strict=True):
-        guests.setdefault(first, []).append(into)
-    homes = F.array(F.struct(F.col("_slab").alias("slab"), F.lit(False).alias("guest")))
-    also = None
-    for first, intos in guests.items():
-        more = F.array(*[F.struct(F.lit(i).alias("slab"), F.lit(True).alias("guest")) for i in intos])
-        also = (F if also is None else also).when(F.col(doc_id).eqNullSafe(F.lit(first)), F.concat(homes, more))
-    spread = placed.withColumn("_at", F.explode(also.otherwise(homes) if also is not None else homes)).withColumns({"_home": F.col("_at.slab"), "_guest": F.col("_at.guest")})
+    guest_of = [None] * (len(bounds) + step + 3)
+    top_of = list(guest_of)
+    for (into, _), (own, first) in zip(tops, tops[1:] + tops[:1], strict=True):
+        guest_of[own], top_of[own] = into, first
+    home = lambda x, guest: F.struct(x.alias("slab"), F.lit(guest).alias("guest"))
+    array_of = lambda x, kind: F.array(*[F.lit(v).cast(kind) for v in x])
+    into = F.get(array_of(guest_of, "int"), F.col("_slab"))
+    is_top = F.get(array_of(top_of, "bigint"), F.col("_slab")).eqNullSafe(F.col(doc_id))
+    homes = F.array(home(F.col("_slab"), False))
+    spread = placed.withColumn("_at", F.explode(F.when(is_top, F.concat(homes, F.array(home(into, True)))).otherwise(homes))).withColumns({"_home": F.col("_at.slab"), "_guest": F.col("_at.guest")})
     w = Window.partitionBy("_home").orderBy("_guest", F.desc_nulls_last(doc_id), *columns)
     led = spread.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-    return led.where(~F.col("_guest")).drop("_slab", "_at", "_home", "_guest")
+    return led.where(~F.col("_guest")).drop("_group", "_slab", "_at", "_home", "_guest")
 
 
 def edited(text: Column, following: Column) -> Column:
