@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.session import checkpointed  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SLICE_BYTES = 3 << 19
@@ -133,20 +135,3 @@ def shingle_hashes(words: np.ndarray, row_first: np.ndarray, k: int) -> tuple[np
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder of ``spark.checkpoint.dir``.
-
-    The session's own setting is used; a temporary folder is set only where there is none
-    (local tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", "")
-        if not where:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="skarn-checkpoint-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
