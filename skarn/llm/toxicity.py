@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
-*Token scores*: log-odds of a token's document frequency in toxic against clean training
+*Token scores*: log-odds of a token's, or of its stems', document frequency in toxic against clean training
 documents, with an informative Dirichlet prior (the pooled frequencies); the lexicon holds the
-tokens whose log-odds stand out of their own error by ``LEAST_Z``, at most ``LEXICON`` of them.
+tokens and stems whose log-odds stand out of their own error by ``LEAST_Z`` and are ``LEAST_ODDS`` or more, at most ``LEXICON`` of them.  Near copies among the training documents count once.
 Every other token has the log-odds of a plain token in a toxic passage, which is negative.
 
 *Segments*: the linear-time scan of all maximal scoring segments (Ruzzo and Tompa); a run of
@@ -39,10 +39,13 @@ from skarn.llm import labelled
 THRESHOLD = 0.3
 PRIOR_TOKENS = 200.0
 LEAST_Z = 4.0
+LEAST_ODDS = 1.2  # weak but certain tokens tell languages and lengths apart, not toxicity
 LEXICON = 4096
 LEAST_SHARE = 0.01  # of the toxic training documents that a lexicon token occurs in
 PASSAGE_RATE = 0.15  # share of lexicon tokens expected within a toxic passage
 SIGNIFICANT = 0.01
+STEMS = (4, 5, 6, 7)
+WORDS_KEPT = 200_000
 
 tokens_of = re.compile(rb"[0-9a-z'\x80-\xff]+").findall
 
@@ -55,6 +58,10 @@ class Model:
     k: float = 0.1
     ends: np.ndarray = field(default_factory=lambda: np.zeros(0))
     values: np.ndarray = field(default_factory=lambda: np.array([0.5]))
+    known: dict[bytes, float | None] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
 
 def maximal_segments(hits: list[tuple[int, float]], plain: float) -> list[tuple[int, int, float]]:
@@ -79,13 +86,28 @@ def maximal_segments(hits: list[tuple[int, float]], plain: float) -> list[tuple[
     return [(a, b, r - l) for a, b, l, r in out]
 
 
+def features(word: bytes) -> list[bytes]:
+    """A token's own entry and those of its stems (the first STEMS bytes, marked by a star)."""
+    return [word, *(word[:k] + b"*" for k in STEMS if len(word) >= k)]
+
+
+def token_score(word: bytes, model: Model) -> float | None:
+    """The highest log-odds of a token's features in the lexicon; remembered for WORDS_KEPT words."""
+    known = model.known
+    if word in known:
+        return known[word]
+    score = max((s for s in map(model.scores.get, features(word)) if s is not None), default=None)
+    if len(known) < WORDS_KEPT:
+        known[word] = score
+    return score
+
+
 def tokenised(text: str | None) -> list[bytes]:
     return tokens_of((text or "").encode().lower())
 
 
 def passages(words: list[bytes], model: Model) -> list[tuple[int, int, float]]:
-    get = model.scores.get
-    hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
+    hits = [(i, s) for i, s in enumerate([token_score(w, model) for w in words]) if s is not None]
     return maximal_segments(hits, model.plain) if hits else []
 
 
@@ -101,7 +123,7 @@ def tail(score: float, n: int, model: Model) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = labelled.LABELLED_ROWS) -> Model:
-    train = labelled.training_rows(docs, labels, label, rows)
+    train = labelled.training_rows(docs, labels, label, rows, distinct=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -109,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
         for batch in batches:
             for y, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokenised(x)
-                seen[y].update(set(words))
+                seen[y].update({f for w in set(words) for f in features(w)})
                 size[y].update(docs=1, tokens=len(words))
             if len(seen[0]) + len(seen[1]) > 500_000:
                 yield out(seen, size)
@@ -141,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
         plain_words.where(F.col("toxic") >= max(4, int(LEAST_SHARE * n1)))
         .withColumn("odds", odds(F.col("toxic"), n1) - odds(F.col("clean"), n0))
         .withColumn("z", z)
-        .where(F.col("z") >= LEAST_Z)
+        .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
         .orderBy(F.desc("z"), "word")
         .limit(LEXICON)
         .collect()
@@ -150,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
         return model
     model.scores = {bytes(r.word): float(r.odds) for r in lexicon}
     clean_tokens = max(whole["tokens"][0], 1)
-    rates = np.array([(r.clean + 0.5) / clean_tokens for r in lexicon])
+    rates = np.array([(r.clean + 0.5) / clean_tokens for r in lexicon])  # stems and words overlap: an upper bound
     model.plain = float(np.log((1 - PASSAGE_RATE) / (1 - min(rates.sum(), PASSAGE_RATE / 2))))
     scores = np.array([r.odds for r in lexicon])
     low, high = 1e-3, 50.0
