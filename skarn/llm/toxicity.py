@@ -18,7 +18,8 @@ The classifier is fitted on at most ``LABELLED_ROWS`` labelled rows (documented
 is scored whole.
 
 Defined cases: null text is empty; an empty text has no evidence and gets the score of that;
-repeated rows get equal scores; without any labelled row all scores are 0.5; an empty table gives
+repeated rows get equal scores; without toxic and clean labelled
+rows all scores are 0, without a lexicon all are the toxic share; an empty table gives
 an empty result; clashing columns of the input are ignored.
 """
 
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
     plain_words = counts.where(F.substring("word", 1, 1) != F.lit(b" "))
     whole = {bytes(r.word)[1:].decode(): (r.clean, r.toxic) for r in special.collect()}
     n0, n1 = whole.get("docs", (0, 0))
-    model = Model()
+    model = Model(values=np.array([n1 / (n0 + n1) if n0 and n1 else 0.0]))
     if not n0 or not n1:
         return model
     share = (F.col("clean") + F.col("toxic")) / F.lit(float(n0 + n1))
