@@ -12,12 +12,12 @@ def tokens(docs: DataFrame, key: str, group: str, words) -> DataFrame:
 
 
 def windows(docs: DataFrame, key: str, group: str, words, k: int) -> DataFrame:
-    """key, group, pos, gram, before, after: every k tokens with the token on either side (null at the
-    text's edge)."""
+    """key, group, pos, gram, before, after: the SHA-256 of every k tokens (32 bytes are shuffled, not
+    the tokens) with the token on either side (null at the text's edge)."""
     w = docs.select(key, group, words.alias("_w"))
     starts = F.when(F.size("_w") >= k, F.sequence(F.lit(0), F.size("_w") - k)).otherwise(F.array().cast("array<int>"))
     placed = w.select(key, group, "_w", F.explode(starts).alias("pos"))
-    return placed.select(key, group, "pos", F.array_join(F.slice("_w", F.col("pos") + 1, k), " ").alias("gram"), F.get("_w", F.col("pos") - 1).alias("before"), F.get("_w", F.col("pos") + k).alias("after"))
+    return placed.select(key, group, "pos", F.unhex(F.sha2(F.array_join(F.slice("_w", F.col("pos") + 1, k), " "), 256)).alias("gram"), F.get("_w", F.col("pos") - 1).alias("before"), F.get("_w", F.col("pos") + k).alias("after"))
 
 
 def contexts(grams: DataFrame, key: str, group: str) -> DataFrame:
@@ -25,7 +25,9 @@ def contexts(grams: DataFrame, key: str, group: str) -> DataFrame:
     edge is a context of its own."""
     edge = F.concat(F.lit("\n"), F.col(key).cast("string"), F.lit(":"), F.col("pos").cast("string"))
     side = lambda c: F.count_distinct(F.coalesce(F.col(c), edge))
-    return grams.groupBy(group, "gram").agg(F.count("*").alias("occurrences"), F.count_distinct(key).alias("documents"), side("before").alias("left_contexts"), side("after").alias("right_contexts")).where("occurrences > 1")
+    repeated = grams.groupBy(group, "gram").agg(F.count("*").alias("n")).where("n > 1").select(group, "gram")
+    # most grams occur once: they go before the distinct counts multiply the rows
+    return grams.join(repeated, [group, "gram"], "left_semi").groupBy(group, "gram").agg(F.count("*").alias("occurrences"), F.count_distinct(key).alias("documents"), side("before").alias("left_contexts"), side("after").alias("right_contexts"))
 
 
 def repeated_spans(grams: DataFrame, key: str, group: str, k: int) -> DataFrame:

@@ -292,7 +292,7 @@ def clone_runs(spark, d):
 @query(f"""WITH {_GRAMS} SELECT lang, sha256(gram) AS gram_sha256, count(*) AS occurrences, count(DISTINCT doc_id) AS documents, count(DISTINCT coalesce(before, chr(10) || doc_id || ':' || pos)) AS left_contexts, count(DISTINCT coalesce(after, chr(10) || doc_id || ':' || pos)) AS right_contexts
 FROM g GROUP BY lang, gram HAVING count(*) > 1""")
 def clone_context_count(spark, d):
-    return clones.contexts(word_windows(spark, d), "doc_id", "lang").select("lang", F.sha2("gram", 256).alias("gram_sha256"), "occurrences", "documents", "left_contexts", "right_contexts")
+    return clones.contexts(word_windows(spark, d), "doc_id", "lang").select("lang", F.lower(F.hex("gram")).alias("gram_sha256"), "occurrences", "documents", "left_contexts", "right_contexts")
 
 
 _SPANS = "iv AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS a, CAST(floor(epoch(ts)) AS BIGINT) // 3600 + 1 + event_id % 6 AS b FROM events)"
