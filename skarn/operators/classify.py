@@ -9,12 +9,10 @@ from skarn.functions import glob_regex
 
 # Fixed values, in order of precedence: rule, source set, path pattern.
 RULES = [
-    ("vendored-directory", "vendored", r"(^|/)(vendor|vendored|third_party|third-party)/"),
-    ("generated-directory", "generated", r"(^|/)(__generated__|generated)/"),
-    ("generated-basename", "generated", r"\.(generated|gen)\.[cm]?tsx?$"),
-    ("declaration", "declaration", r"\.d\.[cm]?ts$"),
-    ("test-basename", "test", r"\.(test|spec)\.[cm]?tsx?$"),
-    ("test-directory", "test", r"(^|/)(__tests__|test|tests)/"),
+    ("default:vendored-dir", "vendored", r"(^|/)(vendor|third_party)/"),
+    ("default:generated", "generated", r"(^|/)(__generated__|generated)/|\.(gen|generated)\.[^./]+$"),
+    ("default:declaration", "declaration-only", r"\.d\.[cm]?ts$"),
+    ("default:test", "test", r"\.(test|spec)\.[^./]+$|(^|/)(__tests__|test|tests)/"),
 ]
 
 
@@ -25,7 +23,7 @@ def source_set(path: Column, rules: list[tuple[str, str, str]] = RULES) -> tuple
         hit = path.rlike(pattern)
         kind = (F if kind is None else kind).when(hit, group)
         rule = (F if rule is None else rule).when(hit, name)
-    return kind.otherwise("production"), rule.otherwise("default")
+    return kind.otherwise("production"), rule.otherwise("default:production")
 
 
 def with_overrides(files: DataFrame, overrides: list[tuple[str, str]]) -> DataFrame:
@@ -34,19 +32,20 @@ def with_overrides(files: DataFrame, overrides: list[tuple[str, str]]) -> DataFr
     kind, rule = source_set(F.col("path"))
     for pattern, group in sorted(overrides, reverse=True):
         hit = F.col("path").rlike(glob_regex(pattern))
-        kind, rule = F.when(hit, group).otherwise(kind), F.when(hit, F.concat(F.lit("config:"), F.lit(pattern))).otherwise(rule)
+        kind, rule = F.when(hit, group).otherwise(kind), F.when(hit, F.lit(f"config:classify:{pattern}")).otherwise(rule)
     return files.withColumns({"source_set": kind, "rule": rule})
 
 
-def nearest_owner(paths: DataFrame, owners: DataFrame) -> DataFrame:
-    """The deepest directory of ``owners`` that holds each path; "." if none.
+def nearest_owner(paths: DataFrame, owners: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The deepest directory of ``owners`` that holds each path, within the same ``by``; "." if none.
 
     A path is exploded into its ancestors and joined by equality, not by prefix."""
+    keys = by or []
     parts = F.split("path", "/")
     ancestors = paths.withColumn("directory", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))))
-    held = ancestors.join(owners.select("directory").distinct(), "directory", "left_semi")
-    best = held.groupBy("path").agg(F.max_by("directory", F.length("directory")).alias("owner"))
-    return paths.join(best, "path", "left").withColumn("owner", F.coalesce("owner", F.lit(".")))
+    held = ancestors.join(owners.select(*keys, "directory").distinct(), [*keys, "directory"], "left_semi")
+    best = held.groupBy(*keys, "path").agg(F.max_by("directory", F.length("directory")).alias("owner"))
+    return paths.join(best, [*keys, "path"], "left").withColumn("owner", F.coalesce("owner", F.lit(".")))
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:

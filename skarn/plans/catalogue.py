@@ -104,15 +104,15 @@ def native_metrics(spark, d) -> DataFrame:
     value = half_up(F.col("eroded") / F.col("mass"), 6)
     return full.select(
         F.explode(F.array(
-            F.struct(F.concat(F.lit("erosion."), "source_set", F.lit(".eroded-share")).alias("id"), F.when(F.col("mass") > 0, "complete").otherwise("not-applicable").alias("state"), F.when(F.col("mass") > 0, value).alias("value"), F.when(F.coalesce("mass", F.lit(0)) == 0, "no functions").alias("reason")),
-            F.struct(F.concat(F.lit("complexity."), "source_set", F.lit(".eroded-count")).alias("id"), F.lit("complete").alias("state"), F.coalesce("n", F.lit(0)).cast("double").alias("value"), F.lit(None).cast("string").alias("reason")),
+            F.struct(F.concat(F.lit("erosion.eroded-share."), "source_set").alias("id"), F.when(F.col("mass") > 0, "complete").otherwise("not-applicable").alias("state"), F.when(F.col("mass") > 0, value).alias("value"), F.when(F.coalesce("mass", F.lit(0)) == 0, "no functions").alias("reason")),
+            F.struct(F.concat(F.lit("erosion.eroded-count."), "source_set").alias("id"), F.lit("complete").alias("state"), F.coalesce("n", F.lit(0)).cast("double").alias("value"), F.lit(None).cast("string").alias("reason")),
         )).alias("m")
     ).select("m.*")
 
 
 _METRICS = f"""{_MEASURES}, {_STATES}, f AS (SELECT v.source_set, mass, eroded, n FROM (VALUES ('production'), ('test'), ('generated'), ('vendored')) v(source_set) LEFT JOIN s ON s.source_set = v.source_set),
-metrics AS (SELECT 'erosion.' || source_set || '.eroded-share' AS id, CASE WHEN mass > 0 THEN 'complete' ELSE 'not-applicable' END AS state, CASE WHEN mass > 0 THEN floor(eroded / mass * 1e6 + 0.5) / 1e6 END AS value, CASE WHEN coalesce(mass, 0) = 0 THEN 'no functions' END AS reason FROM f
-UNION ALL SELECT 'complexity.' || source_set || '.eroded-count', 'complete', CAST(coalesce(n, 0) AS DOUBLE), NULL FROM f)"""
+metrics AS (SELECT 'erosion.eroded-share.' || source_set AS id, CASE WHEN mass > 0 THEN 'complete' ELSE 'not-applicable' END AS state, CASE WHEN mass > 0 THEN floor(eroded / mass * 1e6 + 0.5) / 1e6 END AS value, CASE WHEN coalesce(mass, 0) = 0 THEN 'no functions' END AS reason FROM f
+UNION ALL SELECT 'erosion.eroded-count.' || source_set, 'complete', CAST(coalesce(n, 0) AS DOUBLE), NULL FROM f)"""
 
 
 @query(f"WITH {_METRICS} SELECT * FROM metrics")
@@ -125,10 +125,10 @@ def scored_metrics(spark, d) -> DataFrame:
     lines = repeated_lines(spark, d).agg(F.count("*").cast("double").alias("groups"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("n"))
     everything = classify.lines(t(spark, d, "documents"), "doc_id", "text").agg(F.count("*").alias("total"))
     dup = lines.crossJoin(everything).select(F.explode(F.array(
-        F.struct(F.lit("duplication.production.density").alias("id"), half_up(F.col("n") / F.col("total"), 6).alias("value")),
-        F.struct(F.lit("duplication.production.groups").alias("id"), F.col("groups").alias("value")),
+        F.struct(F.lit("duplication.density.production").alias("id"), half_up(F.col("n") / F.col("total"), 6).alias("value")),
+        F.struct(F.lit("duplication.groups.production").alias("id"), F.col("groups").alias("value")),
     )).alias("m")).select("m.id", F.lit("complete").alias("state"), "m.value")
-    cycles = spark.createDataFrame([("cycles.density", "not-applicable", None), ("cycles.groups", "incomplete", 1.0)], "id string, state string, value double")
+    cycles = spark.createDataFrame([("import-cycle.density", "not-applicable", None), ("import-cycle.groups", "incomplete", 1.0)], "id string, state string, value double")
     return native_metrics(spark, d).select("id", "state", "value").unionByName(dup).unionByName(cycles)
 
 
@@ -138,9 +138,9 @@ _FORMULA = ", ".join(f"('{a}', {b}, '{c}', {e}, '{f}', {g})" for a, b, c, e, f,
 
 
 @query(f"""WITH {_METRICS}, {_LINES}, {_REPEATED}, all_m AS (SELECT id, state, value FROM metrics
-UNION ALL SELECT 'duplication.production.density', 'complete', floor((SELECT sum(occurrences) FROM repeated) / (SELECT count(*) FROM lines) * 1e6 + 0.5) / 1e6
-UNION ALL SELECT 'duplication.production.groups', 'complete', CAST((SELECT count(*) FROM repeated) AS DOUBLE)
-UNION ALL SELECT 'cycles.density', 'not-applicable', NULL UNION ALL SELECT 'cycles.groups', 'incomplete', 1.0),
+UNION ALL SELECT 'duplication.density.production', 'complete', floor((SELECT sum(occurrences) FROM repeated) / (SELECT count(*) FROM lines) * 1e6 + 0.5) / 1e6
+UNION ALL SELECT 'duplication.groups.production', 'complete', CAST((SELECT count(*) FROM repeated) AS DOUBLE)
+UNION ALL SELECT 'import-cycle.density', 'not-applicable', NULL UNION ALL SELECT 'import-cycle.groups', 'incomplete', 1.0),
 terms AS (SELECT f.*, state, CASE WHEN state = 'complete' THEN CASE WHEN kind = 'log' THEN 100 * ln(1 + value / k) / (1 + ln(1 + value / k)) ELSE least(greatest(value / k, 0), 1) * 100 END ELSE 0 END AS term, NOT coalesce(state IN ('complete', 'not-applicable'), false) AS bad
   FROM (VALUES {_FORMULA}) f(dimension, weight, id, share, kind, k) LEFT JOIN all_m a ON a.id = f.id),
 dims AS (SELECT dimension, weight, bool_or(bad) AS degraded, floor(CASE WHEN bool_or(bad) THEN 100.0 ELSE sum(term * share) END * 1e6 + 0.5) / 1e6 AS score FROM terms GROUP BY ALL),
@@ -177,14 +177,14 @@ def files(spark, d) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.expr(_PATH).alias("path"))
 
 
-@query(f"WITH {_CLASSIFIED} SELECT doc_id, path, {_case([r[1] for r in classify.RULES], 'production')} AS source_set, {_case([r[0] for r in classify.RULES], 'default')} AS rule FROM files")
+@query(f"WITH {_CLASSIFIED} SELECT doc_id, path, {_case([r[1] for r in classify.RULES], 'production')} AS source_set, {_case([r[0] for r in classify.RULES], 'default:production')} AS rule FROM files")
 def classify_documents(spark, d):
     kind, rule = classify.source_set(F.col("path"))
     return files(spark, d).withColumns({"source_set": kind, "rule": rule})
 
 
 @query(f"""WITH {_CLASSIFIED} SELECT doc_id, path, CASE WHEN regexp_matches(path, '^src1/(?:.*/)?f[^/]*\\.ts$') THEN 'test' WHEN regexp_matches(path, '^src[^/]/src/de/.*$') THEN 'generated' ELSE {_case([r[1] for r in classify.RULES], 'production')} END AS source_set,
-CASE WHEN regexp_matches(path, '^src1/(?:.*/)?f[^/]*\\.ts$') THEN 'config:src1/**/f*.ts' WHEN regexp_matches(path, '^src[^/]/src/de/.*$') THEN 'config:src?/src/de/**' ELSE {_case([r[0] for r in classify.RULES], 'default')} END AS rule FROM files""")
+CASE WHEN regexp_matches(path, '^src1/(?:.*/)?f[^/]*\\.ts$') THEN 'config:classify:src1/**/f*.ts' WHEN regexp_matches(path, '^src[^/]/src/de/.*$') THEN 'config:classify:src?/src/de/**' ELSE {_case([r[0] for r in classify.RULES], 'default:production')} END AS rule FROM files""")
 def glob_override(spark, d):
     return classify.with_overrides(files(spark, d), [("src?/src/de/**", "generated"), ("src1/**/f*.ts", "test")])
 
@@ -409,9 +409,9 @@ def finding_match(spark, d):
 
 
 @query(f"""WITH {_METRICS} SELECT 'metric-budget' AS policy, b.id AS subject, CASE WHEN m.state IS NULL THEN 'fail' WHEN m.value IS NULL THEN 'skipped' WHEN m.value > b.maximum THEN 'fail' ELSE 'pass' END AS status
-FROM (VALUES ('erosion.production.eroded-share', 0.5), ('erosion.vendored.eroded-share', 0.1), ('complexity.test.eroded-count', 1e9), ('complexity.missing', 1.0)) b(id, maximum) LEFT JOIN metrics m USING (id)""")
+FROM (VALUES ('erosion.eroded-share.production', 0.5), ('erosion.eroded-share.vendored', 0.1), ('erosion.eroded-count.test', 1e9), ('complexity.missing', 1.0)) b(id, maximum) LEFT JOIN metrics m USING (id)""")
 def policy_budgets(spark, d):
-    budgets = [("erosion.production.eroded-share", 0.5), ("erosion.vendored.eroded-share", 0.1), ("complexity.test.eroded-count", 1e9), ("complexity.missing", 1.0)]
+    budgets = [("erosion.eroded-share.production", 0.5), ("erosion.eroded-share.vendored", 0.1), ("erosion.eroded-count.test", 1e9), ("complexity.missing", 1.0)]
     return compare.assess_budgets(spark.createDataFrame(budgets, "id string, maximum double"), native_metrics(spark, d))
 
 
