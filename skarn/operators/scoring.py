@@ -47,7 +47,7 @@ def apportion(parts: DataFrame, total: str, key: str, part: str, by: list[str] |
     """Whole points that add up to ``total`` (within each ``by``): largest remainders, ties by key."""
     scope = by or [F.lit(0)]
     everything = Window.partitionBy(*scope)
-    exact = F.coalesce(F.col(part) * F.col(total) / F.sum(part).over(everything), F.lit(0.0))
+    exact = F.coalesce(F.try_divide(F.col(part) * F.col(total), F.sum(part).over(everything)), F.lit(0.0))
     base = parts.withColumns({"_exact": half_up(exact, 9)}).withColumn("_floor", F.floor("_exact"))
     order = everything.orderBy(F.desc(half_up(F.col("_exact") - F.col("_floor"), 9)), key)
     extra = F.col(total) - F.sum("_floor").over(everything)
