@@ -48,6 +48,7 @@ TEMPLATES = {
     "MPL-2.0": "subject to the terms of the Mozilla Public License version 2.0",
 }
 SIMILARITY = 0.75
+HOT_PARTS = 1000
 FILE_SHARE = 0.5  # of the words, in statements: the document is a licence file
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
@@ -143,10 +144,15 @@ def scan_licenses(docs: DataFrame, path: str = "path", doc_id: str = "doc_id", t
     own = checkpointed(own)
     files = own.where("is_file").groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "license")).alias("f")).select(F.col("directory").alias("ancestor"), F.col("f.license").alias("file_license"))
     parts = F.split("directory", "/")
-    ancestors = own.select("directory").distinct().withColumn("ancestor", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
+    sizes = own.groupBy("directory").agg(F.count("*").alias("n"))
+    ancestors = sizes.select("directory").withColumn("ancestor", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
     nearest = ancestors.join(files, "ancestor").groupBy("directory").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "file_license")).alias("a")).select("directory", F.col("a.ancestor").alias("from_directory"), F.col("a.file_license").alias("file_license"))
     inherits = F.col("license").isNull() & F.col("file_license").isNotNull()
-    return own.join(nearest, "directory", "left").select(
+    # a directory with more than 1 / HOT_PARTS of all rows would fill one task: there are fewer than HOT_PARTS
+    # of them, so they are broadcast, and only the other rows are dealt by directory
+    hot = F.broadcast(checkpointed(sizes.where(F.col("n") * HOT_PARTS > own.count()).select("directory").join(nearest, "directory", "left")))
+    others = own.join(hot.select("directory"), "directory", "left_anti").join(nearest, "directory", "left")
+    return own.join(hot, "directory").unionByName(others).select(
         "doc_id",
         "path",
         F.coalesce("license", "file_license").alias("license"),
