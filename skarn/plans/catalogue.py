@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import half_up, package_name
-from skarn.operators import classify, clones, compare, erosion, graph, intervals, scoring
+from skarn.operators import classify, clone_groups, clones, compare, erosion, graph, intervals, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -295,6 +295,16 @@ def clone_context_count(spark, d):
     return clones.contexts(word_windows(spark, d), "doc_id", "lang").select("lang", F.lower(F.hex("gram")).alias("gram_sha256"), "occurrences", "documents", "left_contexts", "right_contexts")
 
 
+@query()
+def clone_group_members(spark, d):
+    """Maximal repeated word runs as groups of equal content; a language beyond the operator's bounds is one
+    row that says so."""
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
+    lines = F.transform(words, lambda w: F.lit(1))
+    docs = t(spark, d, "documents").select(F.lit("documents").alias("repo"), F.col("lang").alias("source_set"), F.col("doc_id").cast("string").alias("path"), words.alias("kinds"), lines.alias("start_lines"), lines.alias("end_lines"))
+    return clone_groups.clone_members(docs, least=K, min_lines=1)
+
+
 _SPANS = "iv AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS a, CAST(floor(epoch(ts)) AS BIGINT) // 3600 + 1 + event_id % 6 AS b FROM events)"
 
 
