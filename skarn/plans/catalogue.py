@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import half_up, package_name
-from skarn.operators import classify, clone_groups, clones, compare, erosion, graph, intervals, scoring
+from skarn.operators import agreement, classify, clone_groups, clones, compare, erosion, graph, intervals, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -515,3 +515,11 @@ def dispatch_disagreement(spark, d):
     pairs = items.select(F.col("site").alias("site_a"), "item").join(items.select(F.col("site").alias("site_b"), "item"), "item").where("site_a < site_b").groupBy("site_a", "site_b").agg(F.count("*").alias("shared"))
     sized = pairs.join(n.toDF("site_a", "n_a"), "site_a").join(n.toDF("site_b", "n_b"), "site_b").withColumn("both", F.expr("n_a + n_b - shared"))
     return sized.where("shared >= 2 AND 3 * shared >= 2 * both AND shared < both").select("site_a", "site_b", "shared")
+
+
+@query()
+def dispatch_disagreement_all(spark, d):
+    """The pairs of ``dispatch_disagreement`` over all orders, which its SQL is too slow for."""
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("site"))
+    items = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item"))
+    return agreement.near_sets(t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(items, "l_partkey"))
