@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import half_up, package_name
 from skarn.operators import agreement, classify, clone_groups, clones, compare, erosion, graph, intervals, scoring
+from skarn.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -356,13 +357,20 @@ _SCC = f"{_SMALL}, r(a, b) AS (SELECT src, dst FROM s UNION SELECT r.a, s.dst FR
 
 @query(f"WITH RECURSIVE {_SCC} SELECT component, count(*) AS size, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members, row_number() OVER (ORDER BY component) AS id FROM scc GROUP BY component")
 def scc_groups(spark, d):
-    groups = graph.strong_components(small_edges(spark, d)).groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members"))
+    return component_groups(graph.strong_components(small_edges(spark, d)))
+
+
+def component_groups(members: DataFrame) -> DataFrame:
+    groups = members.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members"))
     return groups.withColumn("id", F.row_number().over(Window.orderBy("component")).cast("bigint"))
 
 
 @query(f"WITH RECURSIVE {_SCC} SELECT n_name, count(*) AS modules, count(component) AS affected, floor(count(component) / count(*) * 1e6 + 0.5) / 1e6 AS density FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN scc ON node = s_suppkey GROUP BY n_name")
 def cycle_density(spark, d):
-    members = graph.strong_components(small_edges(spark, d))
+    return component_density(spark, d, graph.strong_components(small_edges(spark, d)))
+
+
+def component_density(spark, d, members: DataFrame) -> DataFrame:
     nodes = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(members, F.col("s_suppkey") == F.col("node"), "left")
     return nodes.groupBy("n_name").agg(F.count("*").alias("modules"), F.count("component").alias("affected")).withColumn("density", half_up(F.col("affected") / F.col("modules"), 6))
 
@@ -371,7 +379,10 @@ def cycle_density(spark, d):
 p(component, node, n) AS (SELECT component, dst, 1 FROM i WHERE src = component UNION SELECT p.component, i.dst, p.n + 1 FROM p JOIN i ON i.component = p.component AND i.src = p.node AND p.node <> p.component WHERE p.n < 40)
 SELECT component, CAST(min(n) AS BIGINT) AS length FROM p WHERE node = component GROUP BY component""")
 def shortest_cycle(spark, d):
-    edges = small_edges(spark, d)
+    return cycle_lengths(small_edges(spark, d))
+
+
+def cycle_lengths(edges: DataFrame) -> DataFrame:
     return graph.shortest_cycle(edges, graph.strong_components(edges)).select("component", (F.size("path") - 1).cast("bigint").alias("length"))
 
 
@@ -381,6 +392,33 @@ def ci_reach(spark, d):
     return graph.reach(edges, edges.where("src % 10 = 3").select(F.col("src").alias("node")))
 
 
+# The same over all distinct edges.  Their recursive SQL keeps every pair or path, so these have none.
+def all_edges(spark, d) -> DataFrame:
+    return checkpointed(supplier_edges(spark, d).select("src", "dst").distinct())
+
+
+@query()
+def scc_groups_all(spark, d):
+    return component_groups(graph.strong_components(all_edges(spark, d)))
+
+
+@query()
+def cycle_density_all(spark, d):
+    return component_density(spark, d, graph.strong_components(all_edges(spark, d)))
+
+
+@query()
+def shortest_cycle_all(spark, d):
+    return cycle_lengths(all_edges(spark, d))
+
+
+@query()
+def ci_reach_all(spark, d):
+    """The seeds of ``ci_reach`` stand for entry points: a reach from all nodes would be 0 everywhere."""
+    edges = all_edges(spark, d)
+    return graph.reach(edges, edges.where("src % 10 = 3").select(F.col("src").alias("node")))
+
+
 @query(f"""WITH {_EDGES}, n AS (SELECT DISTINCT src, dst, a.n_name AS from_name, b.n_name AS to_name FROM e JOIN supplier x ON x.s_suppkey = src JOIN nation a ON a.n_nationkey = x.s_nationkey JOIN supplier y ON y.s_suppkey = dst JOIN nation b ON b.n_nationkey = y.s_nationkey),
 v AS (SELECT *, unnest(['no-a-to-c', 'no-i-to-any']) AS rule FROM n WHERE NOT (regexp_matches(from_name, '^I') AND regexp_matches(to_name, '^I')))
 SELECT src, dst, from_name, to_name, rule FROM v WHERE (rule = 'no-a-to-c' AND regexp_matches(from_name, '^A') AND regexp_matches(to_name, '^C')) OR (rule = 'no-i-to-any' AND regexp_matches(from_name, '^I') AND regexp_matches(to_name, '.'))""")

@@ -6,7 +6,7 @@ import random
 
 import duckdb
 
-from skarn.operators import agreement
+from skarn.operators import agreement, graph
 from skarn.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,43 @@ def test_all_orders_are_paired(spark):
         sets.setdefault(site, set()).add(item)
     got = sorted(tuple(r) for r in catalogue.queries()["dispatch_disagreement_all"](spark, SF).collect())
     assert got == near_pairs(sets) and len(got) > 1000
+
+
+def depths(edges, seeds):
+    seen, front = {s: 0 for s in seeds}, set(seeds)
+    while front:
+        front = {b for a, b in edges if a in front} - seen.keys()
+        seen |= dict.fromkeys(front, max(seen.values()) + 1)
+    return seen
+
+
+def components(edges):
+    reached = {n: set(depths(edges, {b for a, b in edges if a == n})) for e in edges for n in e}
+    return {n: min(m for m in reached[n] if n in reached[m]) for n in reached if n in reached[n]}
+
+
+def cycle_length(edges, members, node):
+    inner = {(a, b) for a, b in edges if members.get(a) == members.get(b) == members[node]}
+    return 1 + depths(inner, {b for a, b in inner if a == node})[node]
+
+
+def test_graph_queries_take_all_edges(spark):
+    order = catalogue._ORDER
+    edges = set(duckdb.sql(f"SELECT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY {order}) AS dst FROM '{SF}/lineitem.parquet') WHERE dst IS NOT NULL").fetchall())
+    run = lambda name: catalogue.queries()[name](spark, SF).collect()
+    members = components(edges)
+    groups = {c: sorted(n for n in members if members[n] == c) for c in members.values()}
+    assert {r.component: r.members for r in run("scc_groups_all")} == {c: ",".join(map(str, g)) for c, g in groups.items()}
+    assert sum(r.affected for r in run("cycle_density_all")) == len(members)
+    assert {r.component: r.length for r in run("shortest_cycle_all")} == {c: cycle_length(edges, members, c) for c in groups}
+    assert {r.node: r.depth for r in run("ci_reach_all")} == depths(edges, {a for a, _ in edges if a % 10 == 3})
+
+
+def test_graph_operators_equal_brute_force(spark):
+    rng = random.Random(4)
+    edges = {(6 * g + rng.randrange(6), 6 * g + rng.randrange(6)) for g in range(4) for _ in range(9)} | {(2, 7), (8, 13), (3, 20)}
+    members = components(edges)
+    df = spark.createDataFrame(sorted(edges), "src bigint, dst bigint")
+    got = graph.strong_components(df)
+    assert {r.node: r.component for r in got.collect()} == members and len(set(members.values())) > 1
+    assert {r.component: len(r.path) - 1 for r in graph.shortest_cycle(df, got).collect()} == {c: cycle_length(edges, members, c) for c in set(members.values())}
