@@ -388,3 +388,13 @@ def test_pipeline(spark, tmp_path):
     assert at.select("doc_id").distinct().count() > 100
     texts = spark.read.parquet(str(tmp_path / "3"))
     assert not any(secret_scan.base_spans(r.text) for r in texts.collect())
+
+
+def test_licence_texts_headings_and_tags(spark):
+    full = {p.stem: p.read_text() for p in license_scan.FULL_TEXTS.glob("*.txt")}
+    texts = [(f"Copyright (c) 2020 Someone\n\n{x}", n) for n, x in full.items()]
+    texts += [(" ".join(("some words before " + full["MIT"] + " and after").split()), "MIT"), ("MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE", "GPL"), ("# SPDX-License-Identifier: MIT\nx = 1", "MIT"), ("// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0 WITH Classpath-exception-2.0"), ("Copyright (c) 2024 Foo. Released under the MIT License. See the LICENSE file for more of this and that", "MIT"), ("code that is licensed under the Apache\n# License, Version 2.0 and more of the words that follow", "Apache-2.0"), ("the cat sat on the mat and this is the text of no licence at all", None)]
+    texts += [(f"plain words number {i} on the way to the end of it", None) for i in range(60)]
+    df = spark.createDataFrame([(i, f"d{i}/x", x) for i, (x, _) in enumerate(texts)], "doc_id bigint, path string, text string")
+    got = {r.doc_id: r.license for r in license_scan.scan_licenses(df).collect()}
+    assert got == {i: n for i, (_, n) in enumerate(texts)}
