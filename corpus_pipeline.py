@@ -21,12 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked near duplicates (five words, 0.8) stays: the one with the
-    smallest id.  Documents without words are all alone and stay, as do those without an id."""
+    """One row of each group of linked near duplicates (five words, 0.8) stays: the first by id, then text
+    (rows without an id come last), whatever other rows have its id.  Rows without words are all alone and stay."""
     queries._arrow(spark)
-    groups = jaccard.similarity_components(docs, words=5, percent=80)
-    others = checkpointed(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    row = "_near_duplicates_row"
+    keyed = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = checkpointed(jaccard.similarity_components(keyed, doc_id=row, words=5, percent=80).select(F.col("doc_id").alias(row), "component_id"))
+    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = groups.join(several, "component_id", "left_semi").join(keyed.select(row, "doc_id", "text"), row)
+    firsts = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text", row)).alias("f")).select(F.col(f"f.{row}").alias(row))
+    others = checkpointed(members.select(row).join(firsts, row, "left_anti"))
+    return keyed.join(others, row, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -398,3 +398,10 @@ def test_licence_texts_headings_and_tags(spark):
     df = spark.createDataFrame([(i, f"d{i}/x", x) for i, (x, _) in enumerate(texts)], "doc_id bigint, path string, text string")
     got = {r.doc_id: r.license for r in license_scan.scan_licenses(df).collect()}
     assert got == {i: n for i, (_, n) in enumerate(texts)}
+
+
+def test_near_duplicates_go_by_row(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, c), (3, c + " more"), (3, d), (4, ""), (4, None)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows).repartition(3), SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (None, b), (2, c), (3, d), (4, ""), (4, None)], key=str)
