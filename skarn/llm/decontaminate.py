@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.text import shingle_hashes, slices, word_hashes
+from skarn.llm.text import checkpointed, shingle_hashes, slices, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -49,16 +49,17 @@ _NEAR = np.array([[bin(a ^ b).count("1") <= RADIUS // 8 for b in range(256)] for
 class Index:
     """Fingerprints and shingles of a bounded block of items."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str | None], frequency: dict[int, int] | None = None, total: int | None = None) -> None:
         words, first = word_hashes(pc.utf8_lower(pa.array(texts, pa.large_string())))
         self.ids, self.size = ids, np.diff(first)
         hashes, owners = shingle_hashes(words, first, SHINGLE)
         self.counts = [Counter() for _ in ids]
         for h, o in zip(hashes.tolist(), owners.tolist(), strict=True):
             self.counts[o][h] += 1
-        frequency = Counter(h for c in self.counts for h in c)
-        self.unknown = float(np.log1p(len(ids)))
-        self.weight = {h: float(np.log1p(len(ids) / n)) for h, n in frequency.items()}
+        # of all items; without them these are all
+        frequency, total = frequency or Counter(h for c in self.counts for h in c), total or len(ids)
+        self.unknown = float(np.log1p(total))
+        self.weight = {h: float(np.log1p(total / frequency[h])) for h in {h for c in self.counts for h in c}}
         self.holders: dict[int, list[int]] = {}
         for o, c in enumerate(self.counts):
             for h in c:
@@ -174,17 +175,48 @@ def matches_in(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, i
                             yield base + row, item, at, 0, 1.0
 
 
+def _item_shingles(texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_hashes(*word_hashes(pc.utf8_lower(pa.array(texts, pa.large_string()))), SHINGLE)
+
+
+def _frequencies(items: DataFrame, text: str) -> DataFrame:
+    """h, n: the number of items that hold each shingle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, owners = _item_shingles(batch.column(0).to_pylist())
+            once = np.unique(np.stack([hashes.view(np.int64), owners.astype(np.int64)], 1), axis=0)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(once, pa.int64())], ["h"])
+
+    return items.select(F.col(text).cast("string")).mapInArrow(count, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
+
+
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Index]:
-    """Indexes over blocks of items, read one block at a time."""
+    """Indexes over blocks of items, read one block at a time; shingles weigh by their frequency in all items."""
+    total = items.count()
+    held = checkpointed(_frequencies(items, text)) if total > ITEM_BLOCK else None
+
+    def index(ids: list, texts: list) -> Index:
+        if held is None:
+            return Index(ids, texts)
+        mine = held.sparkSession.sparkContext.broadcast(np.unique(_item_shingles(texts)[0].view(np.int64)))
+
+        def of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), mine.value)))
+
+        found = held.mapInArrow(of_block, "h bigint, n bigint").collect()
+        return Index(ids, texts, {r.h % (1 << 64): r.n for r in found}, total)
+
     ids, texts = [], []
     for r in items.select(F.col(item_id).cast("bigint"), F.col(text).cast("string")).toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
         if len(ids) == ITEM_BLOCK:
-            yield Index(ids, texts)
+            yield index(ids, texts)
             ids, texts = [], []
     if ids:
-        yield Index(ids, texts)
+        yield index(ids, texts)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:

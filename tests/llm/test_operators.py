@@ -405,3 +405,12 @@ def test_near_duplicates_go_by_row(spark):
     rows = [(1, a), (1, a), (None, b), (None, b), (2, c), (3, c + " more"), (3, d), (4, ""), (4, None)]
     kept = corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows).repartition(3), SF).select("doc_id", "text").collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (None, b), (2, c), (3, d), (4, ""), (4, None)], key=str)
+
+
+def test_item_weights_do_not_depend_on_blocks(spark, monkeypatch):
+    items = [(i, f"a b c d e f g h w{i} x{i} y{i} z{i}") for i in range(7)]
+    df = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = decontaminate.Index([i for i, _ in items], [x for _, x in items])
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 3)
+    parts = list(decontaminate._blocks(df, "item_id", "text"))
+    assert len(parts) == 3 and all(p.unknown == whole.unknown and p.weight.items() <= whole.weight.items() for p in parts)
