@@ -8,8 +8,9 @@ executors; the other words of a text meet their counts in a join by word.
 of words (by their last letters, ``CLASSES`` of them), and a class emits a word with
 ``(c + 1) / (N_class + V_class + 1)``.  So the parameters have a fixed size while every word keeps
 its own count.  Baum-Welch: each partition computes the expected counts of its share of the training
-texts (in runs of ``RUN`` tokens), the sums over all partitions give the next model.  The first guess
-comes from ``SEEDS`` runs at most (a documented bound; the guess only), all rounds see all runs.
+texts, the sums over all partitions give the next model.  Texts are whole sequences; long ones are
+worked on in pieces, with the exact state before and the exact likelihood after each piece.  The first
+guess and all rounds see all texts, and none depends on how the rows are dealt.
 
 *Score*: the scaled forward recursion gives the exact log10 likelihood of each whole text, its end
 included; ``base_score`` is the add-one unigram score.
@@ -42,10 +43,11 @@ LOOKUP = 100_000
 OWN = 2_000
 CLASSES = 1_024
 STATES = 8
-ROUNDS = 4
-RUN = 128
-SEEDS = 512
-BLOCK = 1 << 18
+ROUNDS = 3
+GUESSES = 2
+PIECE = 1024  # symbols of a text that are worked on at once; what is before and after is carried exactly
+GROUP = 1024  # pieces that are worked on at once
+BLOCK = 1 << 19
 END = b"\n"  # no word holds white space
 FLUSH_WORDS = 300_000
 
@@ -141,70 +143,151 @@ class Model:
     emit: np.ndarray  # symbol, state
 
 
-def _ordered(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by falling length, first places in that order, and the number of runs that still last at
-    each step."""
-    firsts = np.cumsum(lengths) - lengths
+@dataclass
+class Pieces:
+    """Texts cut into pieces of at most PIECE symbols, with what the rest of its text says to each piece, so that
+    all pieces can be worked on at once and the result is that of whole texts."""
+
+    text: np.ndarray  # number of each piece's text
+    first: np.ndarray  # place of its first symbol
+    length: np.ndarray
+    prior: np.ndarray  # of its first state, given all symbols before
+    before: np.ndarray  # state before its first symbol, given all symbols before; 0 in a text's first piece
+    after: np.ndarray  # likelihood of all symbols after it by its last state, up to a factor
+
+
+def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """GROUP places at a time, by falling length."""
     order = np.argsort(-lengths, kind="stable")
-    lasting = np.searchsorted(-lengths[order], -np.arange(lengths.max()), side="left") if len(lengths) else np.zeros(0, int)
-    return order, firsts[order], lasting
+    for i in range(0, len(order), GROUP):
+        yield order[i : i + GROUP]
 
 
-def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """log10 likelihood of each run of symbols."""
-    order, firsts, lasting = _ordered(lengths)
-    logs = np.zeros(len(lengths))
-    alpha = np.zeros((0, 0))
-    for t, n in enumerate(lasting.tolist()):
-        alpha = (alpha[:n] @ model.move if t else model.start) * model.emit[symbols[firsts[:n] + t]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        logs[:n] += np.log10(scale)
-    out = np.zeros(len(lengths))
-    out[order] = logs
+def _lasting(lengths: np.ndarray) -> list[int]:
+    """Of falling lengths, the number of those that still last at each step."""
+    return np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()
+
+
+def transfers(model: Model, symbols: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each piece (by falling length) the matrix that carries the prior of its first state to its last
+    state, up to a factor."""
+    states = len(model.start)
+    x = np.zeros((len(lengths), states, states))
+    ones = np.ones(states * states)
+    for t, n in enumerate(_lasting(lengths)):
+        e = model.emit[symbols[firsts[:n] + t]]
+        y = (x[:n].reshape(-1, states) @ model.move).reshape(n, states, states) * e[:, None, :] if t else e[:, :, None] * np.eye(states)
+        x[:n] = y / (y.reshape(n, -1) @ ones)[:, None, None]
+    return x
+
+
+def pieces_of(model: Model, symbols: np.ndarray, lengths: np.ndarray, both_ways: bool = True) -> Pieces:
+    """The pieces of texts of ``lengths`` symbols; ``after`` is only filled if ``both_ways``."""
+    states = len(model.start)
+    counts = -(-lengths // PIECE)
+    text = np.repeat(np.arange(len(lengths)), counts)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = Pieces(
+        text,
+        np.repeat(np.cumsum(lengths) - lengths, counts) + number * PIECE,
+        np.minimum(PIECE, np.repeat(lengths, counts) - number * PIECE),
+        np.tile(model.start, (len(text), 1)),
+        np.zeros((len(text), states)),
+        np.ones((len(text), states)),
+    )
+    several = np.flatnonzero(counts[text] > 1)
+    if not len(several):
+        return out
+    matrix = np.empty((len(several), states, states))
+    for part in _groups(out.length[several]):
+        matrix[part] = transfers(model, symbols, out.first[several[part]], out.length[several[part]])
+    place = np.full(len(text), -1)
+    place[several] = np.arange(len(several))
+    tops = counts[counts > 1]
+    ends = np.cumsum(counts)[counts > 1]
+    by = np.argsort(-tops, kind="stable")
+    tops, ends = tops[by], ends[by]
+    for k in range(1, int(tops[0])):
+        n = int(np.searchsorted(-tops, -k, side="left"))  # texts of more than k pieces
+        now = ends[:n] - tops[:n] + k
+        v = np.einsum("nk,nkl->nl", out.prior[now - 1], matrix[place[now - 1]])
+        out.before[now] = v / v.sum(1, keepdims=True)
+        out.prior[now] = out.before[now] @ model.move
+        if both_ways:
+            now = ends[:n] - 1 - k
+            v = np.einsum("nkl,nl->nk", matrix[place[now + 1]], out.after[now + 1]) @ model.move.T
+            out.after[now] = v / v.sum(1, keepdims=True)
     return out
 
 
+def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 likelihood of each text of symbols."""
+    pieces = pieces_of(model, symbols, lengths, both_ways=False)
+    logs, ones = np.zeros(len(pieces.text)), np.ones(len(model.start))
+    for part in _groups(pieces.length):
+        at, lasting = pieces.first[part], _lasting(pieces.length[part])
+        mine = np.zeros(len(part))
+        alpha = pieces.prior[part]
+        for t, n in enumerate(lasting):
+            alpha = (alpha[:n] @ model.move if t else alpha) * model.emit[symbols[at[:n] + t]]
+            scale = alpha @ ones
+            alpha /= scale[:, None]
+            mine[:n] += np.log10(scale)
+        logs[part] = mine
+    return np.bincount(pieces.text, weights=logs, minlength=len(lengths))
+
+
 def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, move, emit) of runs of symbols: forward, then backward."""
-    _, firsts, lasting = _ordered(lengths)
+    """Expected counts (start, move, emit) of whole texts of symbols: forward, then backward."""
+    pieces = pieces_of(model, symbols, lengths)
     states = len(model.start)
-    alphas, scaled = [], []
-    for t, n in enumerate(lasting.tolist()):
-        e = model.emit[symbols[firsts[:n] + t]]
-        a = (alphas[-1][:n] @ model.move if t else model.start) * e
-        c = a.sum(1, keepdims=True)
-        alphas.append(a / c)
-        scaled.append(e / c)
-    move = np.zeros((states, states))
-    gammas = []
-    beta = np.ones((0, states))
-    for t in range(len(lasting) - 1, -1, -1):
-        now = np.ones((lasting[t], states), model.emit.dtype)
-        if len(beta):
-            ahead = scaled[t + 1] * beta
-            move += alphas[t][: len(ahead)].T @ ahead
-            now[: len(ahead)] = ahead @ model.move.T
-        beta = now
-        gammas.append(alphas[t] * beta)
-    gammas.reverse()
-    place = np.concatenate([firsts[:n] + t for t, n in enumerate(lasting.tolist())])
-    g = np.concatenate(gammas)
-    at = symbols[place]
-    emit = np.stack([np.bincount(at, weights=g[:, s], minlength=SYMBOLS) for s in range(states)], 1)
-    return gammas[0].sum(0).astype(float), move * model.move, emit
-
-
-def training_runs(train: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Blocks of runs of at most RUN symbols: (lengths, symbols) as packed 16-bit numbers."""
+    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states))
+    ones = np.ones((states, 1))
+    for part in _groups(pieces.length):
+        at, lasting = pieces.first[part], _lasting(pieces.length[part])
+        prior, before, after = pieces.prior[part], pieces.before[part], pieces.after[part]
+        alphas, scaled, seen = [], [], []
+        for t, n in enumerate(lasting):
+            seen.append(symbols[at[:n] + t])
+            e = model.emit[seen[-1]]
+            a = (alphas[-1][:n] @ model.move if t else prior) * e
+            c = a @ ones
+            a /= c
+            e /= c
+            alphas.append(a)
+            scaled.append(e)
+        gammas = []
+        beta = after[:0]
+        for t in range(len(lasting) - 1, -1, -1):
+            n = len(beta)
+            ending = after[n : lasting[t]]
+            if len(ending):
+                ending = ending / ((alphas[t][n:] * ending) @ ones)
+            if n:
+                ahead = scaled[t + 1] * beta
+                move += alphas[t][:n].T @ ahead
+                beta = ahead @ model.move.T
+                beta = np.concatenate([beta, ending]) if len(ending) else beta
+            else:
+                beta = ending
+            gammas.append(alphas[t] * beta)
+        move += before.T @ (scaled[0] * beta)
+        start += gammas[-1][~before.any(1)].sum(0)
+        g, s = np.concatenate(gammas[::-1]), np.concatenate(seen)
+        emit += np.stack([np.bincount(s, weights=g[:, k], minlength=SYMBOLS) for k in range(states)], 1)
+    return start, move * model.move, emit
+
+
+def training_texts(train: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Blocks of whole texts: (lengths, symbols) as packed numbers of 32 and 16 bits."""
     held = train.sparkSession.sparkContext.broadcast(lexicon)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
 
         def out() -> pa.RecordBatch:
-            lengths = [min(RUN, len(p) - i) for p in parts for i in range(0, len(p), RUN)]
-            return pa.RecordBatch.from_arrays([pa.array([np.array(lengths, "<i2").tobytes()], pa.binary()), pa.array([np.concatenate(parts).astype("<i2").tobytes()], pa.binary())], ["lengths", "symbols"])
+            lengths = np.array([len(p) for p in parts], "<i4")
+            return pa.RecordBatch.from_arrays([pa.array([lengths.tobytes()], pa.binary()), pa.array([np.concatenate(parts).astype("<i2").tobytes()], pa.binary())], ["lengths", "symbols"])
 
         for batch in batches:
             for x in batch.column(0).to_pylist():
@@ -216,46 +299,50 @@ def training_runs(train: DataFrame, lexicon: Lexicon) -> DataFrame:
         if parts:
             yield out()
 
-    return train.select("text").mapInArrow(runs, "lengths binary, symbols binary")
+    return train.select("text").mapInArrow(blocks, "lengths binary, symbols binary")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        yield np.frombuffer(a, "<i2").astype(np.int64), np.frombuffer(b, "<i2").astype(np.int64)
-
-
-def first_guess(runs: DataFrame, overall: np.ndarray, states: int) -> Model:
-    """States start from runs that are far from each other (farthest first by cosine)."""
-    seeds: list[np.ndarray] = []
-    for r in runs.limit(8).collect():
-        lengths = np.frombuffer(r.lengths, "<i2").astype(int)
-        symbols = np.frombuffer(r.symbols, "<i2").astype(int)
-        firsts = np.cumsum(lengths) - lengths
-        for i in range(0, len(lengths), max(1, len(lengths) * 8 // SEEDS)):
-            if lengths[i] >= RUN // 2 and len(seeds) < SEEDS:
-                seeds.append(np.bincount(symbols[firsts[i] : firsts[i] + lengths[i]], minlength=SYMBOLS).astype(float))
+        yield np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(b, "<i2")
+
+
+def first_guess(texts: DataFrame, overall: np.ndarray, states: int) -> Model:
+    """Each piece of a text starts in one state: by the greatest of fixed random projections of its
+    symbol counts (centred, in units of their root), then ``GUESSES`` times by the nearest of the
+    states' own means.  All counts are of all texts and whole numbers, so the guess does not depend
+    on how the rows are dealt."""
+    root = np.sqrt(overall)
+    directions = np.random.default_rng(0).standard_normal((SYMBOLS, states))
     emit = np.tile(overall[:, None], (1, states))
-    if seeds:
-        x = np.array(seeds) / np.sqrt(overall + 1e-9)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        chosen = [0]
-        nearest = x @ x[0]
-        while len(chosen) < min(states, len(x)):
-            chosen.append(int(nearest.argmin()))
-            nearest = np.maximum(nearest, x @ x[chosen[-1]])
-        for _ in range(5):  # k-means over the seeds
-            centres = x[chosen] if _ == 0 else centres
-            own = (x @ centres.T).argmax(1)
-            centres = np.array([x[own == s].sum(0) if (own == s).any() else centres[s] for s in range(len(centres))])
-            centres /= np.linalg.norm(centres, axis=1, keepdims=True) + 1e-12
-        for s in range(len(centres)):
-            mine = np.array(seeds)[own == s].sum(0)
-            emit[:, s] = 0.5 * overall + 0.5 * mine / max(mine.sum(), 1)
+    for _ in range(1 + GUESSES):
+        weight, centre = directions / root[:, None], directions.T @ root
+
+        def deal(batches: Iterator[pa.RecordBatch], weight=weight, centre=centre) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((states, SYMBOLS))
+            for batch in batches:
+                for lengths, symbols in _unpacked(batch):
+                    counts = -(-lengths // PIECE)
+                    number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                    firsts = np.repeat(np.cumsum(lengths) - lengths, counts) + number * PIECE
+                    sizes = np.diff(np.append(firsts, len(symbols)))
+                    for i in range(0, len(firsts), GROUP):
+                        a, n = firsts[i : i + GROUP], sizes[i : i + GROUP]
+                        mine = symbols[a[0] : a[-1] + n[-1]]
+                        own = (np.add.reduceat(weight[mine], a - a[0]) - n[:, None] * centre).round(6).argmax(1)
+                        total += np.bincount(np.repeat(own, n) * SYMBOLS + mine, minlength=states * SYMBOLS).reshape(states, SYMBOLS)
+            yield _sums(total.ravel())
+
+        found = _added(texts, deal, states * SYMBOLS).reshape(states, SYMBOLS).T
+        sizes = found.sum(0)
+        emit = 0.5 * overall[:, None] + 0.5 * np.where(sizes > 0, found / np.maximum(sizes, 1), overall[:, None])
+        directions = np.where(sizes > 0, (found / np.maximum(sizes, 1) - overall[:, None]) / root[:, None], directions)
+        directions = directions / (np.linalg.norm(directions, axis=0) + 1e-12)
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def fit(runs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Model:
+def fit(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Model:
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SYMBOLS)
         for batch in batches:
@@ -263,20 +350,19 @@ def fit(runs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Model:
                 n += np.bincount(symbols, minlength=SYMBOLS)
         yield _sums(n)
 
-    overall = _added(runs, totals, SYMBOLS) + 0.5
+    overall = _added(texts, totals, SYMBOLS) + 0.5
     overall /= overall.sum()
-    model = first_guess(runs, overall, states)
+    model = first_guess(texts, overall, states)
     for _ in range(rounds):
 
         def share(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            quick = Model(model.start.astype(np.float32), model.move.astype(np.float32), model.emit.astype(np.float32))
             total = np.zeros(states + states * states + SYMBOLS * states)
             for batch in batches:
                 for lengths, symbols in _unpacked(batch):
-                    total += np.concatenate([x.ravel() for x in expected(quick, symbols, lengths)])
+                    total += np.concatenate([x.ravel() for x in expected(model, symbols, lengths)])
             yield _sums(total)
 
-        c = _added(runs, share, states + states * states + SYMBOLS * states)
+        c = _added(texts, share, states + states * states + SYMBOLS * states)
         start = c[:states] + 1
         move = c[states : states + states * states].reshape(states, states) + 1
         emit = c[states + states * states :].reshape(SYMBOLS, states) + 50 * overall[:, None]
@@ -302,8 +388,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     train = slim.where(~held_out(F.col("doc_id"), FOLDS))
     counts = checkpointed(word_counts(train))
     lexicon = build_lexicon(counts)
-    runs = checkpointed(training_runs(train, lexicon))
-    model = fit(runs, states, rounds)
+    model = fit(checkpointed(training_texts(train, lexicon)), states, rounds)
     held = docs.sparkSession.sparkContext.broadcast((lexicon, model))
     base_log = math.log10(lexicon.tokens + lexicon.types + 1)
     end_log, end_known = math.log10(lexicon.ends + 1), int(lexicon.ends > 0)
@@ -340,7 +425,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 pending.append(symbols)
                 key += 1
                 size += n
-                if size >= 8 * BLOCK:
+                if size >= 4 * BLOCK:
                     yield out()
                     rows, pending, tails, size = [], [], [], 0
         if rows:

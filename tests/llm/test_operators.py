@@ -175,6 +175,42 @@ def test_forward_is_the_sum_over_paths():
     assert math.isclose(start.sum(), 2) and math.isclose(move.sum(), 3) and math.isclose(counts.sum(), 5)
 
 
+def small_model(states=2):
+    r = np.random.default_rng(0)
+    emit, move = r.random((hmm.SYMBOLS, states)), r.random((states, states))
+    return hmm.Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+
+
+def test_pieces_give_the_counts_of_whole_texts(monkeypatch):
+    r = np.random.default_rng(1)
+    lengths = np.array([1, 9, 30, 4, 17, 3, 8])
+    symbols = r.integers(0, 20, lengths.sum())
+    whole = (hmm.forward(small_model(3), symbols, lengths), *hmm.expected(small_model(3), symbols, lengths))
+    assert math.isclose(whole[1].sum(), len(lengths)) and math.isclose(whole[2].sum(), lengths.sum() - len(lengths)) and math.isclose(whole[3].sum(), lengths.sum())
+    for piece, group in ((1, 2), (4, 1000), (5, 3), (30, 2)):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        monkeypatch.setattr(hmm, "GROUP", group)
+        cut = (hmm.forward(small_model(3), symbols, lengths), *hmm.expected(small_model(3), symbols, lengths))
+        assert all(np.allclose(x, y, rtol=1e-10) for x, y in zip(whole, cut, strict=True))
+
+
+def test_likelihood_never_falls():
+    r = np.random.default_rng(2)
+    lengths = r.integers(1, 40, 30)
+    symbols = r.integers(0, 15, lengths.sum())
+    model, last = small_model(3), -math.inf
+    for _ in range(25):
+        now = hmm.forward(model, symbols, lengths).sum()
+        assert now >= last - 1e-9
+        start, move, emit = hmm.expected(model, symbols, lengths)
+        model, last = hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), now
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, table):
+    one, two = (sorted((r.doc_id, r.score) for r in hmm.score_documents(x).collect()) for x in (table.coalesce(1), table.repartition(16)))
+    assert all(a == b and math.isclose(x, y, rel_tol=1e-9) for (a, x), (b, y) in zip(one, two, strict=True))
+
+
 # --- licences ------------------------------------------------------------------------------
 
 
