@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.text import _mix, shingle_hashes, slices, word_hashes
+from skarn.llm.text import _mix, checkpointed, shingle_hashes, slices, word_hashes
 
 LABELLED_ROWS = 20_000  # bound on the labelled rows that a classifier is fitted on
 CALIBRATION_BINS = 400
@@ -23,18 +23,22 @@ def held_out(doc_id: Column, folds: int = 4) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = LABELLED_ROWS, distinct: bool = False) -> DataFrame:
     """(label, text) of at most ``rows`` labelled documents that aren't held out: the first by a
-    hash of the id.  The chosen ids are broadcast: their number is bounded by ``rows``.
+    hash of the id.  The chosen ids are broadcast: their number is bounded by ``rows``.  An id with
+    both labels has none; of several texts with one id the least counts.
     With ``distinct``, a row goes if an earlier one shares a minimum hash with it: copies and near
     copies count once."""
     chosen = (
         labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
-        .orderBy(F.xxhash64("_id"), "_id", "label")
+        .groupBy("_id")
+        .agg(F.min("label").alias("label"), F.max("label").alias("_other"))
+        .where("label = _other")
+        .select("_id", "label")
+        .orderBy(F.xxhash64("_id"), "_id")
         .limit(rows)
-        .dropDuplicates(["_id"])
     )
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    held = texts.join(F.broadcast(chosen), "_id")
+    held = checkpointed(texts.join(F.broadcast(chosen), "_id").groupBy("_id", "label").agg(F.min("text").alias("text")))
     if not distinct:
         return held.select("label", "text")
     names = ["_id", "label", *(f"h{i}" for i in range(SKETCHES))]
@@ -47,13 +51,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = LA
     schema = "_id bigint, label int, " + ", ".join(f"h{i} bigint" for i in range(SKETCHES))
     seen: set = set()
     kept = []
-    for r in sorted(tuple(r) for r in held.select("_id", "label", "text").mapInArrow(sketch, schema).collect()):  # ``rows`` rows at most
+    for r in sorted(tuple(r) for r in held.mapInArrow(sketch, schema).collect()):  # one row for each chosen id
         marks = {(i, h) for i, h in enumerate(r[2:])}
         if not marks & seen:
-            kept.append(r[:2])
+            kept.append(r[:1])
         seen |= marks
-    few = docs.sparkSession.createDataFrame(kept, "_id bigint, label int")
-    return texts.join(F.broadcast(few), "_id").select("label", "text")
+    return held.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "_id bigint")), "_id").select("label", "text")
 
 
 def minimum_hashes(texts: pa.Array) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 *Token scores*: log-odds of a token's, or of its stems', document frequency in toxic against clean training
 documents, with an informative Dirichlet prior (the pooled frequencies); the lexicon holds the
-tokens and stems whose log-odds stand out of their own error by ``LEAST_Z`` and are ``LEAST_ODDS`` or more, at most ``LEXICON`` of them.  Near copies among the training documents count once.
+tokens and stems whose log-odds stand out of their own error by ``LEAST_Z`` and are ``LEAST_ODDS`` or more, and that
+``LEAST_SHARE`` of the toxic rows hold (which bounds their number).  Near copies among the training documents count once.
 Every other token has the log-odds of a plain token in a toxic passage, which is negative.
 
 *Segments*: the linear-time scan of all maximal scoring segments (Ruzzo and Tompa); a run of
@@ -10,15 +11,15 @@ plain tokens is one step of the scan, so whole texts of any length are read.
 
 *Calibration*: ``lambda`` solves ``sum p(s) exp(lambda s) = 1`` over the scores of clean tokens;
 ``K`` comes from the clean training documents' maxima.  A segment of score S in n tokens has the
-extreme-value tail ``1 - exp(-K n exp(-lambda S))``; a document's evidence is the normalised sum
-of its positive segments, and isotonic regression over the training documents turns evidence into
+extreme-value tail ``1 - exp(-K n exp(-lambda S))`` and is significant at ``SIGNIFICANT`` or less; a document's
+evidence is the normalised sum of its significant segments, and isotonic regression over the training documents turns evidence into
 a probability.
 
 The classifier is fitted on at most ``LABELLED_ROWS`` labelled rows (documented bound); every text
 is scored whole.
 
 Defined cases: null text is empty; an empty text has no evidence and gets the score of that;
-repeated rows get equal scores; without toxic and clean labelled
+repeated rows get equal scores; an id with both labels has none; without toxic and clean labelled
 rows all scores are 0, without a lexicon all are the toxic share; an empty table gives
 an empty result; clashing columns of the input are ignored.
 """
@@ -41,10 +42,9 @@ THRESHOLD = 0.3
 PRIOR_TOKENS = 200.0
 LEAST_Z = 4.0
 LEAST_ODDS = 1.2  # weak but certain tokens tell languages and lengths apart, not toxicity
-LEXICON = 4096
 LEAST_SHARE = 0.01  # of the toxic training documents that a lexicon token occurs in
 PASSAGE_RATE = 0.15  # share of lexicon tokens expected within a toxic passage
-SIGNIFICANT = 0.01
+SIGNIFICANT = 0.05
 STEMS = (4, 5, 6, 7)
 WORDS_KEPT = 200_000
 
@@ -67,29 +67,35 @@ class Model:
 
 def maximal_segments(hits: list[tuple[int, float]], plain: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score) of a sequence in which the
-    tokens at ``hits`` have positive scores and every other token has ``plain`` < 0."""
-    out: list[tuple[int, int, float, float]] = []  # first, last, total before, total through
+    tokens at ``hits`` have positive scores and every other token has ``plain`` < 0.
+
+    Each segment knows the nearest one before it with a lower total before its start (-1: none).  A new
+    segment goes from one to the next by these; what lies between has a higher total than the one it left, so
+    no step is taken twice and the time is linear."""
+    out: list[tuple[int, int, float, float, int]] = []  # first, last, total before, total through, lower one
     total, at = 0.0, 0
     for place, score in hits:
         total += plain * (place - at)
         first, before = place, total
         total += score
         at = place + 1
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= before:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= total:
-                out.append((first, place, before, total))
+                out.append((first, place, before, total, j))
                 break
-            first, before = out[j][0], out[j][2]
+            first, _, before, _, lower = out[j]
             del out[j:]
-    return [(a, b, r - l) for a, b, l, r in out]
+            j = lower
+    return [(a, b, r - l) for a, b, l, r, _ in out]
 
 
 def features(word: bytes) -> list[bytes]:
-    """A token's own entry and those of its stems (the first STEMS bytes, marked by a star)."""
-    return [word, *(word[:k] + b"*" for k in STEMS if len(word) >= k)]
+    """A token's own entry and those of its stems (the first STEMS characters, marked by a star)."""
+    letters = word.decode("utf-8", "surrogatepass")
+    return [word, *(letters[:k].encode("utf-8", "surrogatepass") + b"*" for k in STEMS if len(letters) >= k)]
 
 
 def token_score(word: bytes, model: Model) -> float | None:
@@ -104,7 +110,7 @@ def token_score(word: bytes, model: Model) -> float | None:
 
 
 def tokenised(text: str | None) -> list[bytes]:
-    return tokens_of((text or "").encode().lower())
+    return tokens_of((text or "").encode("utf-8", "surrogatepass").lower())
 
 
 def passages(words: list[bytes], model: Model) -> list[tuple[int, int, float]]:
@@ -112,17 +118,24 @@ def passages(words: list[bytes], model: Model) -> list[tuple[int, int, float]]:
     return maximal_segments(hits, model.plain) if hits else []
 
 
-def evidence(segments: list[tuple[int, int, float]], n: int, model: Model) -> float:
-    """Normalised score of all positive segments, less the log of the search space: -log of the
-    extreme-value tail's rate, 0 at least."""
-    total = sum(s for _, _, s in segments)
-    return max(0.0, model.scale * total - np.log(max(model.k * max(n, 1), 1e-12))) if segments else -1.0
-
-
 def tail(score: float, n: int, model: Model) -> float:
+    """Probability of a segment of so high a score somewhere in n clean tokens."""
     return -float(np.expm1(-model.k * max(n, 1) * np.exp(-model.scale * score)))
 
 
+def significant(segments: list[tuple[int, int, float]], n: int, model: Model) -> list[tuple[int, int, float, float]]:
+    """The segments whose tail is ``SIGNIFICANT`` or less, with it."""
+    tails = [(a, b, s, tail(s, n, model)) for a, b, s in segments]
+    return [x for x in tails if x[3] <= SIGNIFICANT]
+
+
+def evidence(found: list[tuple[int, int, float, float]], n: int, model: Model) -> float:
+    """Normalised sum of the significant segments' scores, less the log of the search space: for one segment
+    minus the log of its tail's rate.  -1 without any."""
+    total = sum(s for _, _, s, _ in found)
+    return max(0.0, float(model.scale * total - np.log(max(model.k * max(n, 1), 1e-12)))) if found else -1.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = labelled.LABELLED_ROWS) -> Model:
     train = labelled.training_rows(docs, labels, label, rows, distinct=True)
 
@@ -165,9 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
         .withColumn("odds", odds(F.col("toxic"), n1) - odds(F.col("clean"), n0))
         .withColumn("z", z)
         .where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
-        .orderBy(F.desc("z"), "word")
-        .limit(LEXICON)
-        .collect()
+        .collect()  # each occurs in LEAST_SHARE of the toxic rows: at most the features of 1 / LEAST_SHARE rows
     )
     if not lexicon:
         return model
@@ -191,13 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = la
             for y, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokenised(x)
                 found = passages(words, model)
-                rows.append((y, len(words), sum(s for _, _, s in found), max((s for _, _, s in found), default=0.0)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.float64()))], ["y", "n", "total", "top"])
+                rows.append((y, len(words), max((s for _, _, s in found), default=0.0), evidence(significant(found, len(words), model), len(words), model)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.float64()))], ["y", "n", "top", "x"])
 
-    got = train.mapInArrow(measure, "y int, n bigint, total double, top double").toPandas()  # at most ``rows`` rows of four numbers
-    clean = got[got.y == 0]
+    measured = lambda: train.mapInArrow(measure, "y int, n bigint, top double, x double").toPandas()  # noqa: E731  at most ``rows`` rows of four numbers
+    clean = measured().query("y == 0")
     model.k = float(min(max((clean.top > 0).sum() / max(np.maximum(clean.n, 1).sum() * np.exp(-model.scale * min(scores)), 1e-9), 1e-6), 10.0))
-    got["x"] = np.where(got.total > 0, np.maximum(0.0, model.scale * got.total - np.log(np.maximum(model.k * np.maximum(got.n, 1), 1e-12))), -1.0)
+    got = measured()
     edges = np.unique(np.quantile(got.x, np.linspace(0, 1, labelled.CALIBRATION_BINS + 1)[1:]))
     bins = np.searchsorted(edges, got.x)
     weight, positive = np.bincount(bins, minlength=len(edges)), np.bincount(bins, weights=got.y, minlength=len(edges))
@@ -216,10 +227,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             xs, found = [], []
             for x in batch.column(1).to_pylist():
                 words = tokenised(x)
-                segments = passages(words, model)
+                segments = significant(passages(words, model), len(words), model)
                 xs.append(evidence(segments, len(words), model))
-                tails = [(a, b, s, tail(s, len(words), model)) for a, b, s in segments]
-                found.append([{"first": a, "last": b, "score": s, "p": p} for a, b, s, p in tails if p <= SIGNIFICANT])
+                found.append([{"first": a, "last": b, "score": s, "p": p} for a, b, s, p in segments])
             y = labelled.calibrated(np.array(xs), model.ends, model.values) if xs else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "passages"])
 
@@ -236,7 +246,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             xs = []
             for x in batch.column(place).to_pylist():
                 words = tokenised(x)
-                xs.append(evidence(passages(words, model), len(words), model))
+                xs.append(evidence(significant(passages(words, model), len(words), model), len(words), model))
             keep = labelled.calibrated(np.array(xs), model.ends, model.values) < THRESHOLD if xs else np.zeros(0, bool)
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -276,33 +277,62 @@ def test_classifiers_on_held_out_rows(spark, module, label):
     assert sum(r.predicted == r[label] for r in got) / len(got) > 0.9
 
 
+def all_maximal(scores):
+    """By definition: the best segment of all, then those of what is left and right of it."""
+    want = []
+
+    def best(a, b):
+        spans = [(sum(scores[i:j]), i - j, -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+        if not spans or max(spans)[0] <= 0:
+            return
+        _, _, _, i, j = max(spans)  # of equal sums the shortest, then the first
+        best(a, i)
+        want.append((i, j - 1, sum(scores[i:j])))
+        best(j, b)
+
+    best(0, len(scores))
+    return want
+
+
 def test_maximal_segments_against_brute_force():
     r = random.Random(4)
-    for _ in range(300):
-        scores = [r.choice([-0.5, -0.5, 1.0, 2.0, 0.3]) for _ in range(r.randint(1, 14))]
+    for _ in range(600):
+        # binary fractions, so that sums are exact; no two segments tie but for their length
+        scores = [-0.5 if r.random() < 0.6 else 0.25 + r.randrange(1, 1 << 20) / (1 << 19) for _ in range(r.randint(1, 16))]
         hits = [(i, s) for i, s in enumerate(scores) if s > 0]
-        got = toxicity.maximal_segments(hits, -0.5)
-        want = []
-
-        def best(a, b):
-            if a >= b:
-                return
-            spans = [(round(sum(scores[i:j]), 9), i - j, -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
-            top = max(s[0] for s in spans)
-            if top <= 0:
-                return
-            # of equal sums the shortest, then the first
-            _, _, _, i, j = max(s for s in spans if s[0] == top)
-            best(a, i)
-            want.append((i, j - 1, round(top, 9)))
-            best(j, b)
-
-        best(0, len(scores))
-        assert math.isclose(max((s for *_, s in got), default=0), max((s for *_, s in want), default=0), abs_tol=1e-9)
-        for (a, b, s), (c, _d, _s) in zip(got, got[1:], strict=False):
-            assert b < c
-        for a, b, s in got:
-            assert math.isclose(s, sum(scores[a : b + 1]), abs_tol=1e-9)
+        assert toxicity.maximal_segments(hits, -0.5) == all_maximal(scores)
+
+
+def test_maximal_segments_take_linear_time():
+    took = []
+    for n in (20_000, 80_000):
+        hits = [(40 * i, 1.0 + (i % 7) / 8) for i in range(n)]  # totals fall all the way
+        began = time.process_time()
+        assert len(toxicity.maximal_segments(hits, -0.15)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.005)
+
+
+def test_only_significant_passages_count():
+    model = toxicity.Model(scores={b"bad": 2.0}, plain=-0.15, scale=1.0, k=0.05)
+    one, many = (toxicity.passages(toxicity.tokenised("good " * 400 + "bad " * k + "good " * 400), model) for k in (1, 9))
+    assert one and not toxicity.significant(one, 801, model)
+    assert [(a, b) for a, b, _, _ in toxicity.significant(many, 809, model)] == [(400, 408)]
+    assert toxicity.evidence([], 5, model) == -1.0
+
+
+def test_stems_are_cut_by_characters():
+    assert toxicity.features("плохой".encode())[1] == "плох*".encode()
+
+
+def test_training_rows(spark):
+    docs = docs_of(spark, [(i, f"text {i}") for i in range(40)] + [(3, "a second text"), (None, "x")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(4, 1), (5, 1), (6, None), (7, 9), (None, 1)], "doc_id bigint, toxic int")
+    from skarn.llm import labelled
+
+    got = sorted(tuple(r) for r in labelled.training_rows(docs, labels, "toxic").collect())
+    out = {i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert got == sorted((i % 2, "a second text" if i == 3 else f"text {i}") for i in range(40) if i not in out and i != 4)
 
 
 # --- decontamination -----------------------------------------------------------------------
