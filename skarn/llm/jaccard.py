@@ -4,12 +4,12 @@ A document's tokens are its distinct n-word shingles (54-bit hashes).  Two sets
 similarity ``t`` or more share a token within their first ``n - ceil(t n) + 1`` tokens under *any*
 global order of the tokens, so candidates are the pairs that share a prefix token under every one
 of three orders: by document frequency, then hash; and by two independent hashes (tokens of a
-single document first and the very frequent last in all three).  Candidates are verified exactly.
+single document first and the very frequent last in all three, these again by frequency or hash).  Candidates are verified exactly.
 
 Steps, all distributed:
 
-1. Tokens of very high frequency are counted from what each batch sees often (at most
-   ``FREQUENT`` of them; they only move to the end of the orders).
+1. Tokens that more than one row in ``FREQUENT_ROWS`` has are counted (at most ``FREQUENT`` of them; they
+   only move to the end of the orders, and any other token takes the ordinary way).
 2. Each task sends its tokens as packed blocks, by hash range; each range is sorted and gives back
    the tokens that occur in two rows or more.  Tokens of a single row need no place of their own:
    their number is what is left.  Equal sets are one class from here on.
@@ -19,6 +19,9 @@ Steps, all distributed:
    group's other components: pairs within one component need no second link.
 4. Components by minimum labels with pointer jumping, checkpointed each round.
 
+Joins by token, hub, label or class look up one row for each key; keys of very many rows are found first and
+meet their row by broadcast or salted copies, so no task gets a third of all rows.
+
 Result per row: doc_id, n_shingles, component_id.
 
 Defined cases: null text is empty; a text without words has no shingles and is alone; fewer words
@@ -44,6 +47,10 @@ WORDS = 3
 PERCENT = 90
 FREQUENT = 20_000
 LEAST_FREQUENT = 512
+FREQUENT_ROWS = 2048  # a token of more than one row in so many is frequent
+HELD = 1 << 20
+HEAVY_SALTS = 128
+HEAVY_PARTS, HEAVY_ROWS = 1000, 1000  # a key of more than this part and number of all rows is heavy
 RANGE_TOKENS = 2_000_000
 HASH_BITS = 54
 HEAD = ["doc_id", "n", "s1", "s2", "frequent"]
@@ -73,18 +80,34 @@ def unplanes(x: bytes, width: int) -> np.ndarray:
 
 
 def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
-    """(frequent tokens, rarest first; number of tokens of all rows)."""
+    """(frequent tokens, rarest first; number of tokens of all rows).
+
+    Each task adds up the tokens that two rows of a batch have, over all its batches, and reports those
+    of one row in ``FREQUENT_ROWS``; of more than ``HELD`` at once it forgets the rarest.  So a token of a
+    larger share of all rows is found however it is spread, and what is missed is an ordinary token."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        tokens, place = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        return tokens, np.bincount(place, weights=np.concatenate([c for _, c in parts]), minlength=len(tokens)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = rows = size = 0
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         for batch in batches:
             tokens = [t for _, _, _, t in token_sets(batch.column(1), words)]
             tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             total += len(tokens)
+            rows += batch.num_rows
             t, c = np.unique(tokens, return_counts=True)
-            often = c >= max(8, batch.num_rows // 32)
-            yield pa.RecordBatch.from_arrays([pa.array(t[often].astype(np.int64)), pa.array(c[often].astype(np.int64))], ["token", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], ["token", "n"])
+            parts.append((t[c > 1], c[c > 1]))
+            size += len(parts[-1][0])
+            if size > 2 * HELD:
+                t, c = merged(parts)
+                keep = np.argsort(-c, kind="stable")[:HELD]
+                parts, size = [(t[keep], c[keep])], len(keep)
+        t, c = merged(parts)
+        often = c >= max(8, rows // FREQUENT_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array([*t[often].astype(np.int64), -1], pa.int64()), pa.array([*c[often], total], pa.int64())], ["token", "n"])
 
     counts = checkpointed(texts.mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
     total = counts.where("token = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -104,7 +127,7 @@ def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
 def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int) -> DataFrame:
     """Rows dealt to buckets of keys, of two kinds: for each row of ``texts`` its key and HEAD, and
     blocks of the tokens that other rows have too (keys; number of the token within its hash
-    range and its frequency up to 255)."""
+    range and its frequency, by steps of an eighth of a doubling from 128 on)."""
     ranges = max(12, math.ceil(total / RANGE_TOKENS))
     order = np.argsort(frequent)
     by_value = frequent[order]
@@ -169,7 +192,7 @@ def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int
         start = np.ones(len(t), bool)
         start[1:] = t[1:] != t[:-1]
         number = np.cumsum(start) - 1  # of the token within its range
-        df = np.minimum(np.bincount(number), 255)[number] if len(t) else number
+        df = frequency_code(np.bincount(number))[number] if len(t) else number
         del t, start
         target = bucket_of(k, ranges)
         by = np.lexsort((k, target))
@@ -191,6 +214,11 @@ def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int
     return blocks.groupBy("range").applyInArrow(meet, "bucket int, range int, key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, frequent array<int>, keys binary, entries binary")
 
 
+def frequency_code(n: np.ndarray) -> np.ndarray:
+    """8 bits that never fall with n: n itself below 128, from there steps of 2 ** (1 / 8)."""
+    return np.where(n < 128, n, np.minimum(128 + 8 * np.log2(np.maximum(n, 128) / 128), 255).astype(n.dtype))
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((_mix(keys) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
@@ -227,9 +255,10 @@ def with_prefixes(met: DataFrame, percent: int) -> DataFrame:
                 u, c = e[a:b] >> np.uint64(8), e[a:b] & np.uint64(255)
                 t = u.astype(np.int64)
                 orders = [np.lexsort((t, c)), np.argsort(_mix(u)), np.argsort(_mix(u ^ np.uint64(0x5BD1E9955BD1E995)))]
-                # among the frequent, all orders go by frequency
-                last = [-1 - r for r in sorted(often)]
-                fronts = [[*t[o[:room]].tolist(), *last[: max(0, room - len(t))]] for o in orders]
+                last = np.sort(np.array(often, np.int64))
+                lasts = [last, *(last[np.argsort(_mix(last.astype(np.uint64) ^ np.uint64(x)))] for x in (1 << 40, 1 << 41))]
+                fronts = [[*t[o[:room]].tolist(), *(-1 - x[: max(0, room - len(t))]).tolist()] for o, x in zip(orders, lasts, strict=True)]
+                last = (-1 - last).tolist()
                 values = [own, [*t.tolist(), *last], *fronts]
             for column, v in zip(more, values, strict=True):
                 column.append(v)
@@ -243,27 +272,50 @@ def with_prefixes(met: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("bucket").applyInArrow(cut, f"key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, own bigint, {arrays}")
 
 
+def heavy_keys(df: DataFrame, *keys: str) -> list[int]:
+    """Hashes of the keys that more than one in HEAVY_PARTS of all rows have: fewer than HEAVY_PARTS."""
+    n = F.count("*").alias("_n")
+    least = max(HEAVY_ROWS, df.count() / HEAVY_PARTS)
+    return [r[0] for r in df.groupBy(*keys).agg(n).where(F.col("_n") > least).select(F.xxhash64(*keys)).collect()]
+
+
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], heavy: list[int], how: str = "inner", salt: str | None = None) -> DataFrame:
+    """Join with ``right``, which has one row for each key, so that no task gets all rows of a heavy key: they
+    meet its row by broadcast where they are; or, where such a row may be wide, are dealt by ``salt`` to one
+    of ``HEAVY_SALTS`` copies of it."""
+    if not heavy:
+        return left.join(right, keys, how)
+    these = F.xxhash64(*keys).isin(heavy)
+    rest = left.where(~these).join(right.where(~these), keys, how)
+    if salt is None:
+        return left.where(these).join(F.broadcast(right.where(these)), keys, how).unionByName(rest)
+    copies = right.where(these).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HEAVY_SALTS - 1))))
+    dealt = left.where(these).withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(HEAVY_SALTS)).cast("int"))
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt").unionByName(rest)
+
+
 def linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that share a prefix token under every order and whose exact similarity is enough."""
     sides = [nodes.select(F.col("key").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "tokens", "p2", "p3"))) for s in ("a", "b")]
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    met = pairs.join(sides[0], "a").join(sides[1], "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+    pairs = checkpointed(pairs)
+    met = looked_up(pairs, sides[0], ["a"], heavy_keys(pairs, "a"), salt="b")
+    met = looked_up(met, sides[1], ["b"], heavy_keys(pairs, "b"), salt="a").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
     return met.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(key, label): the smallest key reachable, for the nodes that have a link."""
     edges = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
+    heavy = heavy_keys(edges, "b")
     labels = checkpointed(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        offers = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("offer"))
-        step = labels.join(offers, "key", "left").select("key", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
-        jump = step.select(F.col("key").alias("at"), F.col("label").alias("next"))
-        step = step.join(jump, F.col("label") == F.col("at"), "left").select("key", "old", F.least("label", "next").alias("label"))
-        step = checkpointed(step)
-        labels = step.select("key", "label")
+        offers = looked_up(edges, labels.select(F.col("key").alias("b"), "label"), ["b"], heavy).groupBy(F.col("a").alias("key")).agg(F.min("label").alias("offer"))
+        step = checkpointed(labels.join(offers, "key", "left").select("key", F.col("label").alias("old"), F.least("label", "offer").alias("label")))
         if not step.where(F.col("old") != F.col("label")).limit(1).count():
             return labels
+        jump = step.select(F.col("key").alias("label"), F.col("label").alias("next"))
+        labels = checkpointed(looked_up(step, jump, ["label"], heavy_keys(step, "label"), "left").select("key", F.least("label", "next").alias("label")))
 
 
 def _possible(before_a: Column, n_a: Column, before_b: Column, n_b: Column, percent: int) -> Column:
@@ -276,17 +328,18 @@ def _possible(before_a: Column, n_a: Column, before_b: Column, n_b: Column, perc
 
 def class_links(nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect all classes with a path of links, and only those."""
-    slots = nodes.select("key", "n", "own", F.posexplode("p1").alias("place", "token")).withColumn("before", F.col("own") + F.col("place"))
+    slots = nodes.select("key", "n", "own", F.posexplode("p1").alias("place", "token")).withColumn("before", F.col("own") + F.col("place")).drop("place")
     hubs = slots.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("own", "key", "n", "before")).alias("h")).where("members > 1")
-    hubs = checkpointed(hubs.select("token", F.col("h.key").alias("hub"), F.col("h.before").alias("hub_before"), F.col("h.n").alias("hub_n")))
-    slots = checkpointed(slots.join(hubs.select("token"), "token", "left_semi"))
+    hubs = checkpointed(hubs.select("token", "members", F.col("h.key").alias("hub"), F.col("h.before").alias("hub_before"), F.col("h.n").alias("hub_n")))
     c = F.col
-    stars = slots.join(hubs, "token").where((c("key") != c("hub")) & _possible(c("before"), c("n"), c("hub_before"), c("hub_n"), percent))
+    heavy = [r[0] for r in hubs.where(c("members") > max(HEAVY_ROWS, slots.count() / HEAVY_PARTS)).select(F.xxhash64("token")).collect()]
+    met = checkpointed(looked_up(slots, hubs.drop("members"), ["token"], heavy))
+    stars = met.where((c("key") != c("hub")) & _possible(c("before"), c("n"), c("hub_before"), c("hub_n"), percent))
     first = checkpointed(linked(stars.select(c("key").alias("a"), c("hub").alias("b")).distinct(), nodes, percent))
     labels = components(nodes, first)
-    named = slots.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    hub_labels = hubs.join(labels.withColumnRenamed("key", "hub"), "hub", "left").select("token", F.coalesce("label", "hub").alias("hub_label"))
-    placed = checkpointed(named.join(hub_labels, "token"))
+    named = met.select("token", "key", "n", "before").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    hub_labels = checkpointed(hubs.join(labels.withColumnRenamed("key", "hub"), "hub", "left").select("token", F.coalesce("label", "hub").alias("hub_label")))
+    placed = checkpointed(looked_up(named, hub_labels, ["token"], heavy))
     left = placed.where(c("label") != c("hub_label")).select("token", *(c(x).alias(f"{x}_a") for x in ("key", "n", "before", "label")))
     right = placed.select(c("token").alias("token_b"), *(c(x).alias(f"{x}_b") for x in ("key", "n", "before", "label", "hub_label")))
     pairs = left.join(
@@ -304,11 +357,16 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     texts = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
     frequent, total = frequent_tokens(texts, words)
     rows = checkpointed(with_prefixes(shared_tokens(texts, frequent, total, words), percent))
-    classes = checkpointed(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("class")))
+    same = ["n", "s1", "s2"]
+    classes = rows.where("n > 0").groupBy(*same).agg(F.min("key").alias("class"), F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    classes = checkpointed(classes)
     nodes = rows.where("own is not null").join(classes.select(F.col("class").alias("key")), "key", "left_semi").select("key", "n", "own", "tokens", "p1", "p2", "p3")
     nodes = checkpointed(nodes)
-    labels = components(nodes, class_links(nodes, percent))
-    member = rows.select("key", "doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", F.coalesce("class", "key").alias("class"))
-    named = checkpointed(member.join(labels.select(F.col("key").alias("class"), "label"), "class", "left").select("doc_id", "n", F.coalesce("label", "class").alias("label")))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    labels = components(nodes, class_links(nodes, percent)).withColumnRenamed("key", "class")
+    named = checkpointed(classes.join(labels, "class", "left").select(*same, "least", "size", F.coalesce("label", "class").alias("label")))
+    firsts = checkpointed(named.groupBy("label").agg(F.min("least").alias("component_id")))
+    placed = checkpointed(looked_up(named, firsts, ["label"], heavy_keys(named, "label")).select(*same, "size", "component_id"))
+    copied = [r[0] for r in placed.where(F.col("size") > max(HEAVY_ROWS, rows.count() / HEAVY_PARTS)).select(F.xxhash64(*same)).collect()]
+    members = rows.select("doc_id", *same)
+    found = looked_up(members.where("n > 0"), placed.drop("size"), same, copied).select("doc_id", "n", "component_id")
+    return found.unionByName(members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))).withColumnRenamed("n", "n_shingles")

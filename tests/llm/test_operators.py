@@ -412,6 +412,37 @@ def test_jaccard_components(spark, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
+def test_heavy_keys_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAVY_ROWS", 3)
+    monkeypatch.setattr(jaccard, "HEAVY_PARTS", 10_000)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(60):
+        x = list(base)
+        for _ in range(r.randint(1, 3)):
+            x[r.randrange(80)] = f"e{r.randrange(4)}"
+        rows.append((100 + i, " ".join(x)))
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.similarity_components(docs_of(spark, rows), words=5, percent=80).collect()), key=str)
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_evenly_spread_tokens_are_found(spark):
+    r = random.Random(9)
+    texts = [" ".join([*(f"w{r.randrange(10**7)}" for _ in range(6)), *(["a b c"] if i % 50 == 0 else []), *(["d e f"] if i % 200 == 1 else [])]) for i in range(120_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    frequent, _ = jaccard.frequent_tokens(df, 3)
+    want = [int(h) >> 10 for h in jaccard.shingle_hashes(*jaccard.word_hashes(jaccard.pa.array(["d e f", "a b c"])), 3)[0]]
+    assert frequent.tolist() == want
+
+
+def test_frequency_codes_never_fall():
+    n = np.array([1, 2, 127, 128, 129, 140, 150, 1000, 10**6, 10**9])
+    code = jaccard.frequency_code(n)
+    assert (np.diff(code) >= 0).all() and code[:4].tolist() == [1, 2, 127, 128] and code[-1] <= 255 and code[7] < code[8] < code[9]
+
+
 def test_frequent_tokens_only_move_to_the_end(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 4)
     rows = [(i, "a b c d e f g h i j k l m n o p q r s t u v w " + ("x y" if i % 2 else "x z")) for i in range(60)]
