@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,15 +16,15 @@ def session(app: str = "skarn", **conf: str) -> SparkSession:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage through the shared folder of ``spark.checkpoint.dir``.
 
-    The session's own setting is used; a temporary folder is set only where there is none
-    (local tests)."""
+    The session's own setting is used.  Where there is none, a temporary folder serves a local master;
+    on a cluster it is an error, as no folder of one machine would outlive an executor."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", "")
         if not where:
-            import tempfile
-
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = tempfile.mkdtemp(prefix="skarn-checkpoint-")
         sc.setCheckpointDir(where)
     return df.checkpoint()
