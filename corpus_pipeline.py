@@ -21,17 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked near duplicates (five words, 0.8) stays: the first by id, then text
-    (rows without an id come last), whatever other rows have its id.  Rows without words are all alone and stay."""
+    """One row of each group of linked near duplicates (five words, 0.8) stays: the first by id, then by a hash of its
+    text (rows without an id come last), whatever other rows have its id.  Rows without words are all alone and stay."""
     queries._arrow(spark)
     row = "_near_duplicates_row"
     keyed = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = checkpointed(jaccard.similarity_components(keyed, doc_id=row, words=5, percent=80).select(F.col("doc_id").alias(row), "component_id"))
-    several = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = groups.join(several, "component_id", "left_semi").join(keyed.select(row, "doc_id", "text"), row)
-    firsts = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text", row)).alias("f")).select(F.col(f"f.{row}").alias(row))
-    others = checkpointed(members.select(row).join(firsts, row, "left_anti"))
-    return keyed.join(others, row, "left_anti").select(docs.columns)
+    groups = jaccard.similarity_components(keyed, doc_id=row, words=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
+    ranked = groups.join(keyed.select(row, F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")), row)
+    firsts = checkpointed(ranked.groupBy("component_id").agg(F.min(F.struct("none", "id", "hash", row)).alias("first")).select(f"first.{row}"))
+    return keyed.join(firsts, row, "left_semi").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +39,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by a mask; all documents stay."""
+    """Every secret is replaced by a mask; all documents stay, and their other columns as they are."""
     queries._arrow(spark)
-    scanned = secret_scan.scan_secrets(docs, mask=SECRET_MASK)
-    return scanned.withColumns({"text": F.col("redacted"), "n_chars": F.length("redacted").cast("bigint")}).select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = docs.select("doc_id", "text", F.struct(*others).alias("_others") if others else F.lit(None).alias("_others"))
+    masked = secret_scan.scan_secrets(kept, mask=SECRET_MASK)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("redacted"), "n_chars": F.length("redacted").cast("bigint")}
+    return masked.select(*(own.get(c, F.col("_others").getField(c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
