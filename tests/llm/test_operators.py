@@ -511,3 +511,101 @@ def test_item_weights_do_not_depend_on_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 3)
     parts = list(decontaminate._blocks(df, "item_id", "text"))
     assert len(parts) == 3 and all(p.unknown == whole.unknown and p.weight.items() <= whole.weight.items() for p in parts)
+
+
+# --- the pipeline's stages -----------------------------------------------------------------
+
+
+def brute_near_duplicates(rows):
+    """The rows that stay, by all pairs."""
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    sets = [shingles(x, 5) if words(x) else frozenset() for _, x in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                label[root(i)] = root(j)
+    groups: dict = {}
+    for i in range(len(rows)):
+        groups.setdefault(root(i), []).append(rows[i])
+    return groups.values()
+
+
+def planted(r):
+    """Documents with their role: clean, toxic, copy, contaminated."""
+    plain = [f"w{i}" for i in range(3000)]
+    bad = ["bad", "worse", "worst", "vile", "foul", "nasty"]
+    items = [" ".join(r.choice(plain) for _ in range(30)) for _ in range(5)]
+    docs = []
+    for i in range(960):
+        x = [r.choice(plain) for _ in range(80)]
+        role = "clean"
+        if i % 6 == 1:
+            x[10:10] = [r.choice(bad) for _ in range(12)]
+            role = "toxic"
+        if i % 12 == 5:
+            x[7:7] = items[i % 5].upper().split()
+            role = "contaminated"
+        if i % 12 == 9:
+            x = docs[-1][1].split() + ["more"]
+            role = "copy"
+        if i % 12 == 2:
+            x[5:5] = ["password", "=", "hunter2secret"]
+        docs.append((i, " ".join(x), role))
+    return docs, items
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    docs, items = planted(random.Random(11))
+    spark.createDataFrame([(i, int(role == "toxic"), int(role == "toxic")) for i, _, role in docs], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = docs_of(spark, [d[:2] for d in docs]).repartition(3)
+    roles = {i: role for i, _, role in docs}
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, at, str(tmp_path)).write.parquet(str(tmp_path / str(k)))
+        at = spark.read.parquet(str(tmp_path / str(k)))
+        kept.append({r.doc_id for r in at.select("doc_id").collect()})
+    left = {i for i, role in roles.items() if role != "toxic"}
+    assert kept[0] == left
+    rows = [d[:2] for d in docs if d[0] in left]
+    left = {min(i for i, _ in g) for g in brute_near_duplicates(rows)}
+    assert kept[1] == left
+    left -= {i for i, x, _ in docs if any(y.lower() in x.lower() for y in items)}
+    assert kept[2] == kept[3] == kept[4] == left
+    masked = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "3")).collect()}
+    for i, x, _ in docs:
+        if i in left:
+            for a, _, b in reversed(brute_spans(x)):
+                x = x[:a] + corpus_pipeline.SECRET_MASK + x[b:]
+            assert masked[i] == x
+    ids = [(p.doc_id, p.length, p.doc_tokens) for p in at.collect()]
+    for i in left:
+        assert sum(n for d, n, _ in ids if d == i) == next(t for d, _, t in ids if d == i)
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_on_odd_and_empty_tables(spark, tmp_path, kind):
+    """Nulls, empty and long texts, repeated rows and ids, columns with the operators' own names."""
+    rows = ODD if kind == "odd" else []
+    labels = [(i, i % 2, i % 2) for i in range(12)] + [(3, None, None)] if rows else []
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, ""), (2, "zq zr zs zt zu zv"), (3, "one")] if rows else [], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = docs_of(spark, rows).withColumns({"redacted": F.lit("mine"), "n_hex": F.lit(9), "_others": F.lit("o")})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, d, str(tmp_path))
+        assert after.columns == d.columns
+        got = after.collect()
+        assert all(r.redacted == "mine" and r.n_hex == 9 and r._others == "o" for r in got)
+        if name == "secrets":
+            assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+            assert not any("abc123def" in r.text for r in got)
+        if name == "near_duplicates" and rows:
+            assert sorted(str(r.doc_id) for r in got) == ["1", "10", "11", "2", "3", "4", "5", "6", "8", "None"]
+    assert (corpus_pipeline.pack(spark, d, str(tmp_path)).count() > 0) == bool(rows)
