@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash windows.
 
 For each benchmark item, windows of the item's own length in words slide over the documents.
-A window's and an item's fingerprint is the 64-bit SimHash of its five-word shingles, weighted by
-how rare they are among the items.  Fingerprints are compared through eight blocks of eight bits:
-two within ``RADIUS`` bits agree to within ``RADIUS // 8`` in one block at least, so looking up
-each block's neighbours finds all of them.  What is found within the radius is verified by the
-exact weighted similarity, ``sum(w * min) / sum(w * max)`` over shingle counts, of ``SIMILARITY``
+A window's and an item's fingerprint is the SimHash of ``BITS`` bits of its five-word shingles, weighted by
+how rare they are among the items.  It has ``BLOCKS`` blocks of 16 bits: two fingerprints within
+``RADIUS`` bits agree to within ``NEAR`` bits in one block at least, as ``BLOCKS * (NEAR + 1) > RADIUS``.
+Each item is filed under all values within ``NEAR`` bits of its own, in each block, so looking up a window's
+blocks finds every item within the radius.  What is found there is verified by the exact
+weighted similarity, ``sum(w * min) / sum(w * max)`` over shingle counts, of ``SIMILARITY``
 or more; the best window of each (document, item) is returned.
 
 Windows without any shingle of an item have similarity 0 with it, so only windows that hold one are
@@ -33,17 +34,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.text import checkpointed, shingle_hashes, slices, word_hashes
+from skarn.llm.text import _mix, checkpointed, shingle_hashes, slices, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 23
-ITEM_BLOCK = 4096
+BITS = 256
+BLOCKS = BITS // 16
+NEAR = 3
+RADIUS = BLOCKS * (NEAR + 1) - 1
+WINDOWS = 8192  # places whose windows are fingerprinted at once
+ITEM_BLOCK = 1024
 FILTER_BITS = 22
 
 SCHEMA = "doc_id bigint, item_id bigint, first_word int, n_words int, distance int, similarity double"
 _BITS = np.arange(64, dtype=np.uint64)
-_NEAR = np.array([[bin(a ^ b).count("1") <= RADIUS // 8 for b in range(256)] for a in range(256)])
+_ALL = np.arange(1 << 16, dtype=np.uint16)
+_CHANGES = _ALL[np.bitwise_count(_ALL) <= NEAR]
 
 
 class Index:
@@ -67,13 +73,27 @@ class Index:
         self.shingles = np.array(sorted(self.weight), np.uint64)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.shingles >> np.uint64(64 - FILTER_BITS)] = True
-        self.prints = np.zeros(len(ids), np.uint64)
+        self.prints = np.zeros((len(ids), BITS // 64), np.uint64)
         for o, c in enumerate(self.counts):
             if c:
                 h = np.array(list(c), np.uint64)
                 w = np.array([self.weight[x] * n for x, n in c.items()])
                 self.prints[o] = fingerprints((signs(h) * w[:, None]).sum(0)[None])[0]
+        self.sizes = np.unique(self.size)
         self.short = sorted({int(n) for n in self.size if 0 < n < SHINGLE})
+        self.files: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"files": []}  # each worker files the items itself
+
+    def file(self) -> None:
+        """By block, (value and size as one number, item) of every value near an item's own, sorted."""
+        rank = np.searchsorted(self.sizes, self.size)
+        mine = self.prints.view(np.uint16).reshape(len(self.ids), BLOCKS)
+        for b in range(BLOCKS):
+            keys = ((mine[:, b, None] ^ _CHANGES).astype(np.int64) << 16 | rank[:, None]).ravel()
+            by = np.argsort(keys, kind="stable")
+            self.files.append((keys[by], (by // len(_CHANGES)).astype(np.int16)))
 
     def found(self, hashes: np.ndarray) -> np.ndarray:
         """Places of the hashes that some item has."""
@@ -83,19 +103,23 @@ class Index:
         near = np.minimum(np.searchsorted(self.shingles, hashes[at]), len(self.shingles) - 1)
         return at[self.shingles[near] == hashes[at]]
 
-    def within(self, prints: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(place in prints, item, distance) of all within RADIUS, by way of the blocks."""
-        own = self.prints[items].view(np.uint8).reshape(-1, 8)
-        theirs = prints.view(np.uint8).reshape(-1, 8)
-        for i, item in enumerate(items.tolist()):
-            table = _NEAR[own[i]]  # block, value
-            hit = np.zeros(len(prints), bool)
-            for b in range(8):
-                hit |= table[b][theirs[:, b]]
-            at = np.flatnonzero(hit)
-            far = np.bitwise_count(prints[at] ^ self.prints[item])
-            for p, d in zip(at[far <= RADIUS].tolist(), far[far <= RADIUS].tolist(), strict=True):
-                yield p, item, d
+    def within(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+        """(place in prints, item, distance) of all items of a size within RADIUS, by way of the blocks."""
+        if not self.files:
+            self.file()
+        rank = int(np.searchsorted(self.sizes, size))
+        theirs = prints.view(np.uint16).reshape(len(prints), BLOCKS)
+        met = []
+        for b, (keys, items) in enumerate(self.files):
+            wanted = theirs[:, b].astype(np.int64) << 16 | rank
+            low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, side="right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            met.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + items[at])
+        place, item = np.divmod(np.unique(np.concatenate(met)), len(self.ids))
+        far = np.bitwise_count(prints[place] ^ self.prints[item]).sum(1)
+        near = far <= RADIUS
+        yield from zip(place[near].tolist(), item[near].tolist(), far[near].tolist(), strict=True)
 
     def similarity(self, window: Counter, item: int) -> float:
         both = total = 0.0
@@ -110,42 +134,41 @@ class Index:
     def search(self, shingles: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(item, first word, distance, similarity): for each item its best window in one
         document, whose shingles (by place) and places of known shingles are given."""
-        by_size: dict[int, set[int]] = {}
-        starts: dict[int, set[int]] = {}
+        starts: dict[tuple[int, int], set[int]] = {}  # by window's and item's size
         last = len(shingles) + SHINGLE - 1
         for q in hits.tolist():
-            for o in self.holders[int(shingles[q])]:
-                n = int(self.size[o])
+            for n in {int(self.size[o]) for o in self.holders[int(shingles[q])]}:
                 if SHINGLE <= n <= last:
-                    by_size.setdefault(n, set()).add(o)
-                    starts.setdefault(n, set()).update(range(max(0, q - n + SHINGLE), min(q, last - n) + 1))
+                    starts.setdefault((n, n), set()).update(range(max(0, q - n + SHINGLE), min(q, last - n) + 1))
                 elif n > last:
-                    by_size.setdefault(last, set()).add(o)
-                    starts.setdefault(last, set()).add(0)
+                    starts.setdefault((last, n), set()).add(0)
         best: dict[int, tuple] = {}
-        for n, items in by_size.items():
-            at = np.array(sorted(starts[n]))
-            low, high = int(at[0]), int(at[-1]) + n - SHINGLE + 1
-            part = shingles[low:high]
-            w = np.array([self.weight.get(h, self.unknown) for h in part.tolist()])
-            sums = np.zeros((len(part) + 1, 64))
-            np.cumsum(signs(part) * w[:, None], axis=0, out=sums[1:])
-            windows = fingerprints(sums[at - low + n - SHINGLE + 1] - sums[at - low])
-            for p, item, d in self.within(windows, np.array(sorted(items))):
-                a = int(at[p])
-                s = self.similarity(Counter(shingles[a : a + n - SHINGLE + 1].tolist()), item)
-                if s >= SIMILARITY and (item not in best or (s, -a) > (best[item][2], -best[item][0])):
-                    best[item] = (a, d, s)
+        for (n, size), places in starts.items():
+            places = np.array(sorted(places))
+            for at in np.split(places, np.flatnonzero(np.diff(places // WINDOWS)) + 1):
+                low, high = int(at[0]), int(at[-1]) + n - SHINGLE + 1
+                part = shingles[low:high]
+                w = np.array([self.weight.get(h, self.unknown) for h in part.tolist()])
+                sums = np.zeros((len(part) + 1, BITS))
+                np.cumsum(signs(part) * w[:, None], axis=0, out=sums[1:])
+                windows = fingerprints(sums[at - low + n - SHINGLE + 1] - sums[at - low])
+                for p, item, d in self.within(windows, size):
+                    a = int(at[p])
+                    s = self.similarity(Counter(shingles[a : a + n - SHINGLE + 1].tolist()), item)
+                    if s >= SIMILARITY and (item not in best or (s, -a) > (best[item][2], -best[item][0])):
+                        best[item] = (a, d, s)
         for item, (a, d, s) in sorted(best.items()):
             yield item, a, d, s
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes[:, None] >> _BITS) & np.uint64(1)).astype(np.float64) * 2 - 1
+    """+1 or -1 for each of BITS bits that a shingle's hash is drawn out to."""
+    drawn = np.stack([_mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(BITS // 64)], 1)
+    return ((drawn[:, :, None] >> _BITS) & np.uint64(1)).reshape(len(hashes), BITS).astype(np.float64) * 2 - 1
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(np.uint64) << _BITS).sum(1, dtype=np.uint64)
+    return np.packbits(sums > 0, axis=1).view(np.uint64).reshape(len(sums), BITS // 64)
 
 
 def matches_in(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
@@ -162,17 +185,20 @@ def matches_in(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, i
             a, b = bounds[row], bounds[row + 1]
             for item, at, d, s in index.search(hashes[a:b], hits[rows == row] - a):
                 yield base + row, item, at, d, s
+        owners = np.repeat(np.arange(len(part)), whole)
         for n in index.short:
-            long_enough = np.flatnonzero(whole >= n)
-            for row in long_enough.tolist():
-                w = words[first[row] : first[row + 1]]
-                windows = np.concatenate([shingle_hashes(w[j : j + n], np.array([0, n]), SHINGLE)[0] for j in range(len(w) - n + 1)])
-                seen = set()
-                for at in index.found(windows).tolist():
-                    for item in index.holders[int(windows[at])]:
-                        if index.size[item] == n and item not in seen:
-                            seen.add(item)
-                            yield base + row, item, at, 0, 1.0
+            m = max(len(words) - n + 1, 0)
+            windows = _mix(words[:m])
+            for j in range(1, n):
+                windows = _mix(windows + words[j : j + m])
+            at = index.found(_mix(windows + np.uint64(n)))
+            seen = set()
+            for q in at[owners[at] == owners[at + n - 1]].tolist():
+                row = int(owners[q])
+                for item in index.holders[int(_mix(windows[q : q + 1] + np.uint64(n))[0])]:
+                    if index.size[item] == n and (row, item) not in seen:
+                        seen.add((row, item))
+                        yield base + row, item, q - int(first[row]), 0, 1.0
 
 
 def _item_shingles(texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:

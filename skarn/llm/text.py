@@ -124,11 +124,12 @@ def shingle_hashes(words: np.ndarray, row_first: np.ndarray, k: int) -> tuple[np
     hashes, owners = out[ok], rows[:whole][ok]
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
-        extra = np.zeros(len(short), np.uint64)
-        for i, r in enumerate(short.tolist()):
-            for j, w in enumerate(range(row_first[r], row_first[r + 1])):
-                extra[i : i + 1] = _mix(extra[i : i + 1] + words[w : w + 1]) if j else _mix(words[w : w + 1])
-        extra = _mix(extra + counts[short].astype(np.uint64))
+        at, size = np.asarray(row_first)[short], counts[short]
+        extra = _mix(words[at])
+        for j in range(1, k - 1):
+            more = np.flatnonzero(size > j)
+            extra[more] = _mix(extra[more] + words[at[more] + j])
+        extra = _mix(extra + size.astype(np.uint64))
         hashes, owners = np.concatenate([hashes, extra]), np.concatenate([owners, short])
     return hashes, owners
 

@@ -609,3 +609,35 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path, kind):
         if name == "near_duplicates" and rows:
             assert sorted(str(r.doc_id) for r in got) == ["1", "10", "11", "2", "3", "4", "5", "6", "8", "None"]
     assert (corpus_pipeline.pack(spark, d, str(tmp_path)).count() > 0) == bool(rows)
+
+
+def test_every_fingerprint_within_the_radius_is_found():
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 500, n)) for n in [9] * 20 + [14] * 20]
+    index = decontaminate.Index(list(range(40)), texts)
+    bits = np.unpackbits(index.prints.view(np.uint8), axis=1)
+    windows = []
+    for b in bits:
+        for d in (0, 1, decontaminate.RADIUS - 1, decontaminate.RADIUS, decontaminate.RADIUS + 1):
+            x = b.copy()
+            x[r.choice(decontaminate.BITS, d, replace=False)] ^= 1
+            windows.append(x)
+    prints = np.packbits(np.array(windows), axis=1).view(np.uint64)
+    for size in (9, 14):
+        far = np.bitwise_count(prints[:, None] ^ index.prints[None]).sum(2)
+        want = {(p, o, int(far[p, o])) for p in range(len(prints)) for o in range(40) if index.size[o] == size and far[p, o] <= decontaminate.RADIUS}
+        assert set(index.within(prints, size)) == want and len(want) >= 80
+
+
+def test_short_items(spark):
+    items = spark.createDataFrame([(1, "two words"), (2, "One"), (3, "four words of it"), (4, None), (5, "")], "item_id bigint, text string")
+    rows = [(1, "here are TWO\nwords, two words"), (2, "two"), (3, "words"), (4, "of one four words of"), (5, "four words of it"), (6, None), (7, "two"), (8, "words one")]
+    got = {(x.doc_id, x.item_id, x.first_word) for x in decontaminate.find_contamination(docs_of(spark, rows), items).collect()}
+    assert got == {(1, 1, 4), (4, 2, 1), (5, 3, 0), (8, 2, 1)}
+
+
+def test_decontamination_of_empty_tables(spark):
+    none = docs_of(spark, []), spark.createDataFrame([], "item_id bigint, text string")
+    some = docs_of(spark, [(1, "a b c d e f"), (None, "a b c d e f"), (2, None)]), spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
+    assert not decontaminate.find_contamination(none[0], some[1]).count() and not decontaminate.find_contamination(some[0], none[1]).count()
+    assert {x.doc_id for x in decontaminate.find_contamination(*some).collect()} == {1, None}
