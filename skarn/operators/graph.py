@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.session import checkpointed
@@ -10,15 +12,12 @@ from skarn.session import checkpointed
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, depth: all nodes reachable from ``seeds`` (node) over edges (src, dst), at least depth."""
-    seen = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("bigint")))
-    front, depth = seen, 0
-    while True:
-        depth += 1
-        step = front.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        front = checkpointed(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
-        if front.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(front))
+    fronts = [checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("bigint")))]
+    while not fronts[-1].isEmpty():
+        step = fronts[-1].select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, fronts).select("node")
+        fronts.append(checkpointed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(len(fronts)).cast("bigint"))))
+    return reduce(DataFrame.unionByName, fronts)
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
@@ -87,10 +86,14 @@ def shortest_cycle(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def boundary_violations(edges: DataFrame, rules: list[dict], allowed: list[dict]) -> DataFrame:
-    """Edges (src, dst, from_name, to_name) that a forbidden rule's patterns match and no allowed
-    rule's do; rules are a configuration, a condition each."""
+    """Edges (src, dst, from_name, to_name, kind) that a forbidden rule's patterns and kinds match and no
+    allowed rule's do; rules are a configuration, a condition each.  A rule without kinds has all."""
+
+    def matches(r: dict) -> Column:
+        kinds = F.col("kind").isin(r["edges"]) if "edges" in r else F.lit(True)
+        return F.col("from_name").rlike(r["from"]) & F.col("to_name").rlike(r["to"]) & kinds
+
     free = F.lit(False)
     for r in allowed:
-        free = free | (F.col("from_name").rlike(r["from"]) & F.col("to_name").rlike(r["to"]))
-    hits = F.array(*[F.when(F.col("from_name").rlike(r["from"]) & F.col("to_name").rlike(r["to"]), F.lit(r["name"])) for r in rules])
-    return edges.where(~free).withColumn("rule", F.explode(F.array_compact(hits)))
+        free = free | matches(r)
+    return edges.where(~free).withColumn("rule", F.explode(F.array_compact(F.array(*[F.when(matches(r), F.lit(r["name"])) for r in rules]))))

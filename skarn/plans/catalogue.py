@@ -335,7 +335,6 @@ def containment(spark, d):
 
 _ORDER = "l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag, l_linestatus, l_discount, l_tax"
 _EDGES = f"raw AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS dst, l_quantity, l_returnflag FROM lineitem), e AS (SELECT * FROM raw WHERE dst IS NOT NULL)"
-_SMALL = f"{_EDGES}, s AS (SELECT DISTINCT src, dst FROM e WHERE l_quantity = 50 AND l_returnflag = 'R' AND src < dst + 30)"
 
 
 def supplier_edges(spark, d) -> DataFrame:
@@ -343,90 +342,80 @@ def supplier_edges(spark, d) -> DataFrame:
     return t(spark, d, "lineitem").withColumn("dst", F.lead("l_suppkey").over(w)).where("dst IS NOT NULL").select(F.col("l_suppkey").alias("src"), "dst", "l_quantity", "l_returnflag")
 
 
-def small_edges(spark, d) -> DataFrame:
-    return supplier_edges(spark, d).where("l_quantity = 50 AND l_returnflag = 'R' AND src < dst + 30").select("src", "dst").distinct()
-
-
 @query(f"WITH {_EDGES} SELECT src, count(*) AS edges, count(DISTINCT dst) AS targets, count(*) FILTER (l_returnflag = 'R') AS type_only, count(*) FILTER (src = dst) AS loops FROM e GROUP BY src")
 def graph_edges(spark, d):
     return supplier_edges(spark, d).groupBy("src").agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"), F.count_if(F.col("l_returnflag") == "R").alias("type_only"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
 
 
-_SCC = f"{_SMALL}, r(a, b) AS (SELECT src, dst FROM s UNION SELECT r.a, s.dst FROM r JOIN s ON s.src = r.b), scc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
+# A user's event types are the modules of a package; consecutive events are imports.
+_TYPES = ["click", "error", "purchase", "signup", "view"]
+_NODES = f"v AS (SELECT user_id, user_id * 10 + list_position({_TYPES}, event_type) AS node, event_type, ts, event_id FROM events)"
+_STEPS = f"{_NODES}, s AS (SELECT DISTINCT src, dst FROM (SELECT node AS src, lead(node) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM v) WHERE dst IS NOT NULL)"
+_SCC = f"{_STEPS}, r(a, b) AS (SELECT src, dst FROM s UNION SELECT r.a, s.dst FROM r JOIN s ON s.src = r.b), scc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
 
 
-@query(f"WITH RECURSIVE {_SCC} SELECT component, count(*) AS size, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members, row_number() OVER (ORDER BY component) AS id FROM scc GROUP BY component")
-def scc_groups(spark, d):
-    return component_groups(graph.strong_components(small_edges(spark, d)))
+def modules(spark, d) -> DataFrame:
+    place = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("event_type"))
+    return t(spark, d, "events").select("user_id", (F.col("user_id") * 10 + place).cast("bigint").alias("node"), "event_type", "ts", "event_id")
 
 
-def component_groups(members: DataFrame) -> DataFrame:
-    groups = members.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members"))
-    return groups.withColumn("id", F.row_number().over(Window.orderBy("component")).cast("bigint"))
+def steps(spark, d) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return checkpointed(modules(spark, d).select(F.col("node").alias("src"), F.lead("node").over(w).alias("dst")).where("dst IS NOT NULL").distinct())
 
 
-@query(f"WITH RECURSIVE {_SCC} SELECT n_name, count(*) AS modules, count(component) AS affected, floor(count(component) / count(*) * 1e6 + 0.5) / 1e6 AS density FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN scc ON node = s_suppkey GROUP BY n_name")
-def cycle_density(spark, d):
-    return component_density(spark, d, graph.strong_components(small_edges(spark, d)))
+@query(f"WITH RECURSIVE {_SCC} SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM scc")
+def scc_groups(spark, d):
+    members = checkpointed(graph.strong_components(steps(spark, d)))
+    return members.join(members.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
-def component_density(spark, d, members: DataFrame) -> DataFrame:
-    nodes = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(members, F.col("s_suppkey") == F.col("node"), "left")
-    return nodes.groupBy("n_name").agg(F.count("*").alias("modules"), F.count("component").alias("affected")).withColumn("density", half_up(F.col("affected") / F.col("modules"), 6))
+@query(f"""WITH RECURSIVE {_SCC}, m AS (SELECT DISTINCT user_id, node FROM v) SELECT user_id, count(*) AS modules, count(component) AS affected, floor(count(component) / count(*) * 1e6 + 0.5) / 1e6 AS density,
+array_to_string(list_sort(list(DISTINCT component) FILTER (component IS NOT NULL)), ',') AS groups FROM m LEFT JOIN scc USING (node) GROUP BY user_id""")
+def cycle_density(spark, d):
+    """By package: modules, those on a cycle, their share, and the groups (a package's, so few)."""
+    nodes = modules(spark, d).select("user_id", "node").distinct().join(graph.strong_components(steps(spark, d)), "node", "left")
+    groups = F.transform(F.array_sort(F.collect_set("component")), lambda x: x.cast("string"))
+    views = nodes.groupBy("user_id").agg(F.count("*").alias("modules"), F.count("component").alias("affected"), F.when(F.count("component") > 0, F.array_join(groups, ",")).alias("groups"))
+    return views.withColumn("density", half_up(F.col("affected") / F.col("modules"), 6))
 
 
 @query(f"""WITH RECURSIVE {_SCC}, i AS (SELECT s.src, s.dst, a.component FROM s JOIN scc a ON a.node = s.src JOIN scc b ON b.node = s.dst AND a.component = b.component),
-p(component, node, n) AS (SELECT component, dst, 1 FROM i WHERE src = component UNION SELECT p.component, i.dst, p.n + 1 FROM p JOIN i ON i.component = p.component AND i.src = p.node AND p.node <> p.component WHERE p.n < 40)
-SELECT component, CAST(min(n) AS BIGINT) AS length FROM p WHERE node = component GROUP BY component""")
+p(component, node, path) AS (SELECT component, dst, [src, dst] FROM i WHERE src = component UNION SELECT p.component, i.dst, list_append(p.path, i.dst) FROM p JOIN i ON i.component = p.component AND i.src = p.node AND p.node <> p.component AND (i.dst = p.component OR NOT list_contains(p.path, i.dst))),
+k AS (SELECT component, path, row_number() OVER (PARTITION BY component ORDER BY len(path), path) AS k FROM p WHERE node = component)
+SELECT component, CAST(len(path) - 1 AS BIGINT) AS length, array_to_string(path, ',') AS path FROM k WHERE k = 1""")
 def shortest_cycle(spark, d):
-    return cycle_lengths(small_edges(spark, d))
-
+    """The shortest cycle through each component's smallest node, the first by nodes of several."""
+    edges = steps(spark, d)
+    return graph.shortest_cycle(edges, graph.strong_components(edges)).select("component", (F.size("path") - 1).cast("bigint").alias("length"), F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
-def cycle_lengths(edges: DataFrame) -> DataFrame:
-    return graph.shortest_cycle(edges, graph.strong_components(edges)).select("component", (F.size("path") - 1).cast("bigint").alias("length"))
 
-
-@query(f"""WITH RECURSIVE {_SMALL}, r(node, depth) AS (SELECT DISTINCT src, 0 FROM s WHERE src % 10 = 3 UNION SELECT s.dst, r.depth + 1 FROM r JOIN s ON s.src = r.node WHERE r.depth < 60) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node""")
+@query(f"""WITH RECURSIVE {_STEPS}, r(node, depth) AS (SELECT DISTINCT node, 0 FROM v WHERE event_type = 'signup' UNION SELECT s.dst, r.depth + 1 FROM r JOIN s ON s.src = r.node WHERE r.depth < 6) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node""")
 def ci_reach(spark, d):
-    edges = small_edges(spark, d)
-    return graph.reach(edges, edges.where("src % 10 = 3").select(F.col("src").alias("node")))
-
-
-# The same over all distinct edges.  Their recursive SQL keeps every pair or path, so these have none.
-def all_edges(spark, d) -> DataFrame:
-    return checkpointed(supplier_edges(spark, d).select("src", "dst").distinct())
+    """Depth from the entry points (signups); a user has five nodes, so no depth is over four."""
+    return graph.reach(steps(spark, d), modules(spark, d).where("event_type = 'signup'").select("node"))
 
 
-@query()
-def scc_groups_all(spark, d):
-    return component_groups(graph.strong_components(all_edges(spark, d)))
-
+_NAMED = "e AS (SELECT * FROM raw WHERE dst IS NOT NULL), n AS (SELECT DISTINCT src, dst, a.n_name AS from_name, b.n_name AS to_name, CASE WHEN l_returnflag = 'R' THEN 'type-only' ELSE 'runtime' END AS kind FROM e JOIN supplier x ON x.s_suppkey = src JOIN nation a ON a.n_nationkey = x.s_nationkey JOIN supplier y ON y.s_suppkey = dst JOIN nation b ON b.n_nationkey = y.s_nationkey)"
+_BOUNDARY = f"""{_EDGES.split(', e AS')[0]}, {_NAMED},
+w AS (SELECT *, unnest(['no-1-to-2', 'no-3-to-any']) AS rule FROM n WHERE NOT (regexp_matches(from_name, '_3$') AND regexp_matches(to_name, '_3$|_4$') AND kind = 'runtime')),
+v AS (SELECT src, dst, from_name, to_name, kind, rule FROM w WHERE (rule = 'no-1-to-2' AND regexp_matches(from_name, '_1[0-9]$') AND regexp_matches(to_name, '_2$') AND kind = 'runtime') OR (rule = 'no-3-to-any' AND regexp_matches(from_name, '_3$') AND regexp_matches(to_name, '.')))"""
+FORBIDDEN = [{"name": "no-1-to-2", "from": "_1[0-9]$", "to": "_2$", "edges": ["runtime"]}, {"name": "no-3-to-any", "from": "_3$", "to": "."}]
+ALLOWED = [{"from": "_3$", "to": "_3$|_4$", "edges": ["runtime"]}]
 
-@query()
-def cycle_density_all(spark, d):
-    return component_density(spark, d, graph.strong_components(all_edges(spark, d)))
 
-
-@query()
-def shortest_cycle_all(spark, d):
-    return cycle_lengths(all_edges(spark, d))
-
-
-@query()
-def ci_reach_all(spark, d):
-    """The seeds of ``ci_reach`` stand for entry points: a reach from all nodes would be 0 everywhere."""
-    edges = all_edges(spark, d)
-    return graph.reach(edges, edges.where("src % 10 = 3").select(F.col("src").alias("node")))
-
-
-@query(f"""WITH {_EDGES}, n AS (SELECT DISTINCT src, dst, a.n_name AS from_name, b.n_name AS to_name FROM e JOIN supplier x ON x.s_suppkey = src JOIN nation a ON a.n_nationkey = x.s_nationkey JOIN supplier y ON y.s_suppkey = dst JOIN nation b ON b.n_nationkey = y.s_nationkey),
-v AS (SELECT *, unnest(['no-a-to-c', 'no-i-to-any']) AS rule FROM n WHERE NOT (regexp_matches(from_name, '^I') AND regexp_matches(to_name, '^I')))
-SELECT src, dst, from_name, to_name, rule FROM v WHERE (rule = 'no-a-to-c' AND regexp_matches(from_name, '^A') AND regexp_matches(to_name, '^C')) OR (rule = 'no-i-to-any' AND regexp_matches(from_name, '^I') AND regexp_matches(to_name, '.'))""")
+@query(f"WITH {_BOUNDARY} SELECT * FROM v")
 def boundary_rules(spark, d):
     names = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    e = supplier_edges(spark, d).select("src", "dst").distinct()
-    e = e.join(names.toDF("src", "from_name"), "src").join(names.toDF("dst", "to_name"), "dst").select("src", "dst", "from_name", "to_name")
-    return graph.boundary_violations(e, [{"name": "no-a-to-c", "from": "^A", "to": "^C"}, {"name": "no-i-to-any", "from": "^I", "to": "."}], [{"from": "^I", "to": "^I"}])
+    kind = F.when(F.col("l_returnflag") == "R", "type-only").otherwise("runtime").alias("kind")
+    e = supplier_edges(spark, d).select("src", "dst", kind).distinct()
+    e = e.join(names.toDF("src", "from_name"), "src").join(names.toDF("dst", "to_name"), "dst").select("src", "dst", "from_name", "to_name", "kind")
+    return graph.boundary_violations(e, FORBIDDEN, ALLOWED)
+
+
+@query(f"WITH {_BOUNDARY} SELECT rule, kind, count(*) AS violations FROM v GROUP BY rule, kind")
+def violations_by_rule(spark, d):
+    return boundary_rules(spark, d).groupBy("rule", "kind").agg(F.count("*").alias("violations"))
 
 
 # --- comparison, policy, history -----------------------------------------------------------
@@ -540,24 +529,13 @@ def prefix_coverage(spark, d):
     return t(spark, d, "part").groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("prefix")).agg(F.count("*").alias("files"), F.sum("p_size").alias("s")).select("prefix", "files", half_up(F.col("s").cast("double") / F.col("files"), 6).alias("mean_coverage"))
 
 
-_BRANDS = "b AS (SELECT DISTINCT c_nationkey % 5 AS dom, o_custkey AS site, p_brand AS item FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderdate < TIMESTAMP '1993-01-01')"
+_BRANDS = "b AS (SELECT DISTINCT o_custkey AS site, p_brand AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"
 
 
 @query(f"""WITH {_BRANDS}, n AS (SELECT site, count(*) AS n FROM b GROUP BY site), p AS (SELECT x.site AS a, y.site AS b, count(*) AS shared FROM b x JOIN b y ON x.item = y.item AND x.site < y.site GROUP BY ALL)
 SELECT p.a AS site_a, p.b AS site_b, shared FROM p JOIN n s ON s.site = p.a JOIN n t ON t.site = p.b WHERE shared >= 2 AND 3 * shared >= 2 * (s.n + t.n - shared) AND shared < s.n + t.n - shared""")
 def dispatch_disagreement(spark, d):
     """Pairs of sites whose item sets nearly agree: 2/3 or more of all items, two at least, not equal."""
-    orders = t(spark, d, "orders").where(F.col("o_orderdate").cast("timestamp_ntz") < F.lit("1993-01-01").cast("timestamp_ntz")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("site"))
-    items = t(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(orders, "l_orderkey").join(t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("item")), "p_partkey").select("site", "item").distinct()
-    n = items.groupBy("site").agg(F.count("*").alias("n"))
-    pairs = items.select(F.col("site").alias("site_a"), "item").join(items.select(F.col("site").alias("site_b"), "item"), "item").where("site_a < site_b").groupBy("site_a", "site_b").agg(F.count("*").alias("shared"))
-    sized = pairs.join(n.toDF("site_a", "n_a"), "site_a").join(n.toDF("site_b", "n_b"), "site_b").withColumn("both", F.expr("n_a + n_b - shared"))
-    return sized.where("shared >= 2 AND 3 * shared >= 2 * both AND shared < both").select("site_a", "site_b", "shared")
-
-
-@query()
-def dispatch_disagreement_all(spark, d):
-    """The pairs of ``dispatch_disagreement`` over all orders, which its SQL is too slow for."""
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("site"))
     items = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item"))
     return agreement.near_sets(t(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").join(items, "l_partkey"))

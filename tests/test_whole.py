@@ -35,7 +35,7 @@ def test_all_orders_are_paired(spark):
     sets = {}
     for site, item in duckdb.sql("SELECT o_custkey, p_brand FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {part} ON p_partkey = l_partkey".format(**tables)).fetchall():
         sets.setdefault(site, set()).add(item)
-    got = sorted(tuple(r) for r in catalogue.queries()["dispatch_disagreement_all"](spark, SF).collect())
+    got = sorted(tuple(r) for r in catalogue.queries()["dispatch_disagreement"](spark, SF).collect())
     assert got == near_pairs(sets) and len(got) > 1000
 
 
@@ -57,18 +57,6 @@ def cycle_length(edges, members, node):
     return 1 + depths(inner, {b for a, b in inner if a == node})[node]
 
 
-def test_graph_queries_take_all_edges(spark):
-    order = catalogue._ORDER
-    edges = set(duckdb.sql(f"SELECT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY {order}) AS dst FROM '{SF}/lineitem.parquet') WHERE dst IS NOT NULL").fetchall())
-    run = lambda name: catalogue.queries()[name](spark, SF).collect()
-    members = components(edges)
-    groups = {c: sorted(n for n in members if members[n] == c) for c in members.values()}
-    assert {r.component: r.members for r in run("scc_groups_all")} == {c: ",".join(map(str, g)) for c, g in groups.items()}
-    assert sum(r.affected for r in run("cycle_density_all")) == len(members)
-    assert {r.component: r.length for r in run("shortest_cycle_all")} == {c: cycle_length(edges, members, c) for c in groups}
-    assert {r.node: r.depth for r in run("ci_reach_all")} == depths(edges, {a for a, _ in edges if a % 10 == 3})
-
-
 def test_graph_operators_equal_brute_force(spark):
     rng = random.Random(4)
     edges = {(6 * g + rng.randrange(6), 6 * g + rng.randrange(6)) for g in range(4) for _ in range(9)} | {(2, 7), (8, 13), (3, 20)}
