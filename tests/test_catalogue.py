@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from skarn.plans import catalogue
+from skarn.plans import catalogue, evidence  # noqa: F401  (evidence adds its queries)
 
 SF = os.environ.get("SKARN_SF", "/root/testdata/sf0.001")
 
