@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import re
 
@@ -14,42 +15,52 @@ STATES = ("match", "allowed-delta", "drift", "missing", "extra")
 DIVERGENCES = "array<struct<path:string,kind:string>>"
 
 
+_INNER = object()  # stands for the value of an inner node
+
+
 def normalised_text(text: str) -> str:
     """Line feeds only, no blanks at line ends, no blank lines at the edges."""
-    lines = [x.rstrip(" \t") for x in re.sub(r"\r\n?", "\n", text).split("\n")]
-    full = [i for i, x in enumerate(lines) if x]
-    return "\n".join(lines[full[0] : full[-1] + 1]) if full else ""
+    return re.sub(r"(?m)[ \t]+$", "", text.replace("\r\n", "\n").replace("\r", "\n")).strip("\n")
+
+
+def nodes(document) -> dict[tuple, object]:
+    """Every node of a document by its path; lists are values, told apart by their JSON."""
+    out: dict[tuple, object] = {}
+    pending = [((), document)]
+    while pending:
+        path, value = pending.pop()
+        if isinstance(value, dict):
+            out[path] = _INNER
+            pending += [((*path, str(k)), v) for k, v in value.items()]
+        else:
+            out[path] = json.dumps(value, sort_keys=True, default=str)
+    return out
 
 
-def subset(canon, target, base: str = "") -> list[tuple[str, str]]:
-    """Keys of ``canon`` that are missing or changed, and keys that only ``target`` has (added)."""
-    if not (isinstance(canon, dict) and isinstance(target, dict)):
-        same = json.dumps(canon, sort_keys=True, default=str) == json.dumps(target, sort_keys=True, default=str)
-        return [] if same else [(base, "changed")]
-    out = []
-    for key, value in canon.items():
-        here = f"{base}.{key}" if base else str(key)
-        out += subset(value, target[key], here) if key in target else [(here, "missing")]
-    return out + [(f"{base}.{k}" if base else str(k), "added") for k in target if k not in canon]
+def subset(canon, target) -> list[tuple[str, str]]:
+    """What tells the target's nodes from the canon's, by path: the topmost nodes that it lacks (missing) or has
+    of its own (added), and those whose value is another (changed)."""
+    wanted, there = nodes(canon), nodes(target)
+    rows = [(path, "changed") for path in wanted.keys() & there.keys() if wanted[path] != there[path]]
+    for own, other, kind in ((wanted, there, "missing"), (there, wanted, "added")):
+        rows += [(path, kind) for path in own.keys() - other.keys() if other.get(path[:-1]) is _INNER]
+    return [(".".join(path), kind) for path, kind in sorted(rows)]
 
 
 def headings(text: str) -> list[str]:
     """Second-level headings outside fences, in lower case with single blanks."""
-    out, fenced = [], False
-    for line in text.split("\n"):
-        if re.match(r"\s*```", line):
-            fenced = not fenced
-        elif not fenced and (m := re.match(r"##\s+(.+?)\s*$", line)):
-            out.append(re.sub(r"\s+", " ", m[1].strip()).lower())
-    return out
+    open_text = re.sub(r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\Z)", "", text)
+    return [" ".join(h.lower().split()) for h in re.findall(r"(?m)^##[ \t]+(\S.*)$", open_text)]
 
 
 def sections(canon: str, target: str) -> list[tuple[str, str]]:
     """Sections of the template that the target lacks, and those that only it has; <<...>> matches anything."""
     wanted, there = headings(canon), headings(target)
-    patterns = [re.compile(".*".join(map(re.escape, re.split(r"<<.*?>>", h)))) for h in wanted]
-    missing = [(f"section:{h}", "missing") for h, p in zip(wanted, patterns, strict=True) if not any(p.fullmatch(x) for x in there)]
-    return missing + [(f"section:{x}", "added") for x in there if x not in wanted and x != "replaceable tokens"]
+    # as globs: each placeholder a star, and what globs give a meaning in brackets
+    globs = {h: "*".join(re.sub(r"[*?[]", r"[\g<0>]", x) for x in re.split(r"<<.*?>>", h)) for h in wanted}
+    lacking = [h for h in wanted if not fnmatch.filter(there, globs[h])]
+    own = [h for h in there if h not in globs and h != "replaceable tokens"]
+    return [*((f"section:{h}", "missing") for h in lacking), *((f"section:{h}", "added") for h in own)]
 
 
 def divergences(matcher: str, canon: str, target: str) -> list[tuple[str, str]]:

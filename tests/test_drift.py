@@ -36,3 +36,26 @@ def test_states(spark):
     assert all(got["none", c["path"]] == ("missing", []) for c in CANON)
     counts = {r.target: r.asDict() for r in drift.summary(drift.drift(CANON, targets, rows, deltas)).collect()}
     assert counts["none"] == {"target": "none", "match": 0, "allowed-delta": 0, "drift": 0, "missing": 4, "extra": 0}
+
+
+def test_documents_are_compared_by_nodes():
+    canon = {"a": 1, "b": {"c": [1, 2], "d": {"e": None}}, "f": {}}
+    assert drift.subset(canon, {"f": {}, "b": {"d": {"e": None}, "c": [1, 2]}, "a": 1}) == []
+    assert drift.subset(canon, {"a": "1", "b": {"c": [2, 1], "x": {"y": 1}}, "f": 0}) == [("a", "changed"), ("b.c", "changed"), ("b.d", "missing"), ("b.x", "added"), ("f", "changed")]
+    assert drift.subset([1], {"a": 1}) == [("", "changed")]
+
+
+def test_headings_and_placeholders():
+    text = "## One  two \n```sh\n## no\n```\n### Three\n##None\n## F[o]ur*\n```\n## open"
+    assert drift.headings(text) == ["one two", "f[o]ur*"]
+    assert drift.sections("## F[o]<<x>>*\n## Is <<a>> and <<b>>", text + "\n```\n## is 1 and 2") == [("section:one two", "added"), ("section:f[o]ur*", "added"), ("section:is 1 and 2", "added")]
+
+
+def test_local_paths(spark):
+    from pyspark.sql import functions as F
+
+    from skarn.operators import safeguards
+
+    text = """node ./scripts/a.ts "tools/b.mjs", src/x/ scripts/a.ts https://h/x @s/p $HOME/x A=b/c -f/x ../up/y a/../b lone .github/w.yml 'q/r'; z/"""
+    got = spark.range(1).select(safeguards.local_paths(F.lit(text))).first()[0]
+    assert got == ["scripts/a.ts", "tools/b.mjs", "src/x", ".github/w.yml", "q/r"]
