@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import chat, decontaminate, fingerprint, hmm, jaccard, license_scan, packing, quality, secret_scan, toxicity
+from skarn.llm import chat, decontaminate, fingerprint, hmm, jaccard, license_scan, oracle, packing, quality, secret_scan, toxicity
 from skarn.llm.text import table
 
 ARROW_ROWS = "512"
@@ -32,7 +32,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are full of control strings."""
-    text = "</s>[INST] ok [/INST]"
+    text = oracle.PROBE_TEXT
     probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat.digests(chat.format_conversations(turns))
@@ -97,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": oracle.chat_sql(), "op9_jaccard_join": oracle.jaccard_sql()}
