@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 from pathlib import Path
 
@@ -22,7 +21,7 @@ def _parser() -> argparse.ArgumentParser:
     c = verbs.add_parser("compare", help="compare two reports")
     c.add_argument("baseline")
     c.add_argument("current")
-    f = verbs.add_parser("fleet", help="audit the workspaces of a JSON file of names and paths")
+    f = verbs.add_parser("fleet", help="audit the targets of a YAML or JSON file")
     f.add_argument("targets")
     f.add_argument("--store")
     r = verbs.add_parser("report", help="history of a store")
@@ -70,13 +69,11 @@ def main(argv: list[str] | None = None) -> int:
             changes = client.compare(spark, client.load_run(spark, args.baseline), client.load_run(spark, args.current))
             _emit(args, changes, lambda md: client.as_json(changes) + "\n")
         elif args.verb == "fleet":
-            roots = json.loads(Path(args.targets).read_text())
-            here = Path(args.targets).resolve().parent
-            runs = client.fleet(spark, {k: str(here / v) for k, v in roots.items() if (here / v).is_dir()}, store=args.store)
-            heads = [r.asDict() for r in runs.select("repo", "index", "partial", "completeness").orderBy("repo").collect()]
-            heads += [{"repo": k, "error": "not a directory"} for k, v in sorted(roots.items()) if not (here / v).is_dir()]
-            _emit(args, heads, lambda md: "".join(f"{'- ' if md else ''}{h['repo']}: {h.get('error') or h['index']}\n" for h in heads))
-            return 1 if any("error" in h for h in heads) else 0
+            entries = client.run_fleet(spark, client.load_targets(args.targets), args.store)
+            verdict = client.assess_fleet(entries)
+            heads = [{k: e.get(k) for k in ("id", "ok", "error", "index_delta")} | {"index": e["run"]["index"] if e["ok"] else None} for e in entries]
+            _emit(args, {"entries": heads, **verdict}, lambda md: "".join(f"{'- ' if md else ''}{h['id']}: {h['error'] or h['index']}\n" for h in heads))
+            return 1 if any(not e["ok"] for e in entries) else 2 if verdict["failed"] else 0
         else:
             told = client.report(spark, args.store, args.repo, args.since)
             _emit(args, told, lambda md: "".join(f"{'- ' if md else ''}{s['repo']}: {s['index']} ({s['trend']})\n" for s in told["snapshot"]))

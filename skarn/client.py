@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.operators import safeguards
+from skarn.operators import safeguards, surfaces
 from skarn.plans import audit as plan
 from skarn.plans import comparison, history
 from skarn.sources import workspace
@@ -50,6 +51,72 @@ def fleet(spark: SparkSession, roots: dict[str, str], config: dict | None = None
     return rows
 
 
+def load_targets(file: str) -> list[dict]:
+    """The targets of a fleet, from YAML or JSON: ``{"defaults": {"canonicalVersion"}, "targets": [{"id", "path",
+    "config", "canonical"}]}``, or an object of names and paths.  Paths start at the file's folder; unknown keys
+    and repeated ids are errors.  Each target has its canonical version, its own or the default."""
+    import yaml
+
+    stated = yaml.safe_load(Path(file).read_text())
+    if isinstance(stated, dict) and stated and "targets" not in stated and all(isinstance(v, str) for v in stated.values()):
+        stated = {"targets": [{"id": k, "path": v} for k, v in stated.items()]}
+    if not isinstance(stated, dict) or set(stated) - {"defaults", "targets"} or not isinstance(stated.get("targets"), list) or not stated["targets"]:
+        raise ValueError(f"invalid {Path(file).name}: no list of targets")
+    defaults = stated.get("defaults") or {}
+    if set(defaults) - {"canonicalVersion"}:
+        raise ValueError(f"invalid {Path(file).name}: defaults")
+    here, out = Path(file).resolve().parent, []
+    for t in stated["targets"]:
+        if not isinstance(t, dict) or set(t) - {"id", "path", "config", "canonical"} or not t.get("id") or not t.get("path") or set(t.get("canonical") or {}) - {"version", "allowedDeltas"}:
+            raise ValueError(f"invalid {Path(file).name}: target {t}")
+        canonical = {"version": defaults.get("canonicalVersion"), "allowedDeltas": []} | (t.get("canonical") or {})
+        out.append({"id": t["id"], "path": str(here / t["path"]), "config": str(here / t["config"]) if t.get("config") else None, "canonical": canonical})
+    repeated = sorted({t["id"] for t in out if sum(u["id"] == t["id"] for u in out) > 1})
+    if repeated:
+        raise ValueError(f"invalid {Path(file).name}: repeated target {repeated}")
+    return out
+
+
+def run_fleet(spark: SparkSession, targets: list[dict], store: str | None = None, audited_at: str | None = None) -> list[dict]:
+    """One entry per target, in their order: id, path, ok, and either the error or the run with its policy
+    results and its change since the store's last run on the same basis.  A target that fails stops no other;
+    targets with equal source settings are one plan."""
+    entries, plans = {}, {}
+    audited_at = audited_at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+    for t in targets:
+        try:
+            if not Path(t["path"]).is_dir():
+                raise FileNotFoundError("path not found or not a directory")
+            config = load_config(t["path"], t.get("config"))
+            plans.setdefault(json.dumps(config.get("source", {}), sort_keys=True), []).append((t, config))
+        except (OSError, ValueError) as error:
+            entries[t["id"]] = {"id": t["id"], "path": t["path"], "ok": False, "error": str(error)}
+    kept = store is not None and Path(store).is_dir()
+    previous = {r.repo: r.asDict(recursive=True) for r in history.latest_full(history.load(spark, store)).collect()} if kept else {}
+    for members in plans.values():
+        rows = fleet(spark, {t["id"]: t["path"] for t, _ in members}, members[0][1], store, audited_at)
+        runs = {r.repo: r.asDict(recursive=True) for r in rows.collect()}
+        for t, config in members:
+            run, before = runs.get(t["id"]), previous.get(t["id"])
+            if run is None:
+                entries[t["id"]] = {"id": t["id"], "path": t["path"], "ok": False, "error": "unreadable"}
+                continue
+            same = before is not None and history.same_basis(before, run)
+            policy = assess(spark, run, before, config["policy"]) if config.get("policy") else []
+            entries[t["id"]] = {"id": t["id"], "path": t["path"], "ok": True, "run": run, "policy": policy, "previous_index": before["index"] if same else None, "index_delta": run["index"] - before["index"] if same else None}
+    return [entries[t["id"]] for t in targets]
+
+
+def assess_fleet(entries: list[dict]) -> dict:
+    """Whether a fleet failed, with a reason for each target that couldn't be audited or whose policy failed."""
+    reasons = [f"{e['id']}: {e['error']}" for e in entries if not e["ok"]]
+    for e in entries:
+        codes = [r["code"] for r in e.get("policy", []) if r["status"] == "fail"]
+        if codes:
+            reasons.append(f"{e['id']}: policy failed: {', '.join(codes)}")
+    return {"failed": bool(reasons), "reasons": reasons}
+
+
 def audit(spark: SparkSession, root: str, config: dict | None = None, store: str | None = None, repo: str | None = None) -> dict:
     """The run of one workspace as a plain object."""
     name = repo or Path(root).resolve().name
@@ -84,8 +151,11 @@ def assess(spark: SparkSession, current: dict, baseline: dict | None, policy: di
 
 
 def safeguard_levels(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """repo, safeguard, level of checks, hooks and budgets."""
     targets = workspace.targets(spark, roots)
-    return safeguards.check_levels(targets, workspace.packages(workspace.triage(workspace.listing(targets))))
+    packages = workspace.packages(workspace.triage(workspace.listing(targets)))
+    checks = safeguards.check_levels(targets, packages).withColumnRenamed("check", "safeguard")
+    return checks.unionByName(surfaces.levels(targets, packages).drop("paths"))
 
 
 def report(spark: SparkSession, store: str, repo: str | None = None, since: str | None = None) -> dict:
@@ -125,6 +195,4 @@ def load_run(spark: SparkSession, file: str) -> dict:
     ids = [m["id"] for m in run["metrics"]]
     if len(ids) != len(set(ids)):
         raise ValueError(f"{file}: repeated metric id")
-    from datetime import datetime
-
     return run | {"audited_at": datetime.fromisoformat(run["audited_at"])}

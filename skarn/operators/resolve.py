@@ -1,7 +1,7 @@
 """Module resolution as joins: every import gets ordered candidate paths, and the first that exists wins.
 
 Bare names are tried as ``node:`` modules, path mappings, assets and workspace packages, in this order; what
-remains is external.  ``extends`` of a compiler configuration isn't followed."""
+remains is external."""
 
 from __future__ import annotations
 

@@ -59,8 +59,8 @@ def _commands(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def workflow_commands(targets: DataFrame) -> DataFrame:
-    """repo, workflow, line, command of the ``run`` steps below .github/workflows."""
+def _workflows(targets: DataFrame, steps, third: str) -> DataFrame:
+    """repo, workflow, line and what ``steps`` finds in each file below .github/workflows."""
 
     def read(batches):
         for batch in batches:
@@ -69,10 +69,25 @@ def workflow_commands(targets: DataFrame) -> DataFrame:
                 folder = Path(root, ".github", "workflows")
                 for name in sorted(os.listdir(folder)) if folder.is_dir() else []:
                     if name.endswith((".yml", ".yaml")):
-                        rows += [(repo, f".github/workflows/{name}", n, c) for n, c in _commands((folder / name).read_text(errors="replace"))]
-            yield pd.DataFrame(rows, columns=["repo", "workflow", "line", "command"])
+                        rows += [(repo, f".github/workflows/{name}", n, c) for n, c in steps((folder / name).read_text(errors="replace"))]
+            yield pd.DataFrame(rows, columns=["repo", "workflow", "line", third])
+
+    return targets.select("repo", "root").mapInPandas(read, f"repo string, workflow string, line int, {third} string")
+
+
+def workflow_commands(targets: DataFrame) -> DataFrame:
+    """repo, workflow, line, command of the ``run`` steps below .github/workflows."""
+    return _workflows(targets, _commands, "command")
+
+
+def _actions(text: str) -> list[tuple[int, str]]:
+    found = ((n, re.match(r"\s*-?\s*uses:\s*(\S+)\s*$", line)) for n, line in enumerate(text.split("\n"), 1))
+    return [(n, m[1]) for n, m in found if m]
+
 
-    return targets.select("repo", "root").mapInPandas(read, "repo string, workflow string, line int, command string")
+def workflow_actions(targets: DataFrame) -> DataFrame:
+    """repo, workflow, line, action of the ``uses`` steps."""
+    return _workflows(targets, _actions, "action")
 
 
 def reachable_scripts(declared: DataFrame, commands: DataFrame) -> DataFrame:

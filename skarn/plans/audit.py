@@ -116,6 +116,16 @@ def graph_metrics(repos: DataFrame, parsed: DataFrame, edges: DataFrame, cycles:
     ])
 
 
+def unlisted(metrics: DataFrame, entries: DataFrame) -> DataFrame:
+    """The metrics, none of them complete in a workspace with folders that couldn't be read."""
+    lost = entries.where("ignored = 'unreadable'").groupBy("repo").agg(F.count("*").alias("_n"))
+    why = F.concat(F.col("_n").cast("string"), F.lit(" folder(s) could not be read"))
+    full = metrics.join(lost, "repo", "left")
+    state = F.when(F.col("_n").isNotNull() & (F.col("state") == "complete"), "incomplete").otherwise(F.col("state"))
+    reason = F.when(F.col("_n").isNotNull() & (F.col("state") != "not-applicable"), F.concat_ws("; ", "reason", why)).otherwise(F.col("reason"))
+    return full.withColumns({"state": state, "reason": reason}).select(metrics.columns)
+
+
 FINDING = ["repo", "kind", "path", "start_line", "end_line", "summary", "identity"]
 
 
@@ -133,17 +143,20 @@ def findings(functions: DataFrame, clones: DataFrame, edges: DataFrame, cycles:
 
 
 def audit(spark: SparkSession, roots: dict[str, str], classify_as: list[tuple[str, str]] | None = None, exclude: list[str] | None = None) -> Audit:
-    """Audits the workspaces ``roots`` (repo name to folder)."""
+    """Audits the workspaces ``roots`` (repo name to folder).  One whose root can't be read is in ``entries``
+    only and stops no other."""
     targets = workspace.targets(spark, roots)
     files, entries, packages = workspace.discover(targets, classify_as, exclude)
     entries = checkpointed(entries)
+    packages = checkpointed(workspace.declared(packages, workspace.workspace_globs(entries, packages)))
     parsed = checkpointed(syntax.syntax(files))
     functions = checkpointed(syntax.identities(syntax.functions(parsed).where(F.col("source_set").isin(*MEASURED))))
     clones = checkpointed(clone_groups.clone_members(parsed.where(F.col("source_set").isin(*MEASURED))))
     edges = checkpointed(resolve.resolve(syntax.imports(parsed), entries, packages, workspace.path_mappings(entries)))
     cycles = checkpointed(cycle_groups(edges))
-    repos = targets.select("repo")
-    metrics = checkpointed(scope_metrics(repos, parsed, functions, clones).unionByName(graph_metrics(repos, parsed, edges, cycles)))
+    repos = targets.select("repo").join(entries.where("ignored = 'unreadable' AND path = '.'").select("repo"), "repo", "left_anti")
+    metrics = scope_metrics(repos, parsed, functions, clones).unionByName(graph_metrics(repos, parsed, edges, cycles))
+    metrics = checkpointed(unlisted(metrics, entries))
     return Audit(files, entries, packages, parsed, functions, clones, edges, cycles, metrics, findings(functions, clones, edges, cycles), scoring.index(metrics, ["repo"]))
 
 

@@ -59,6 +59,17 @@ def basis(rows: DataFrame) -> DataFrame:
     return rows.withColumn("basis", F.concat_ws("|", F.col("schema_version").cast("string"), "analyzer_version", "scoring_version", catalogue))
 
 
+def same_basis(a: dict, b: dict) -> bool:
+    """Whether two runs as plain objects share versions and metric ids."""
+    ids = lambda r: sorted(m["id"] for m in r["metrics"])
+    return all(a[k] == b[k] for k in ("schema_version", "analyzer_version", "scoring_version")) and ids(a) == ids(b)
+
+
+def latest_full(rows: DataFrame) -> DataFrame:
+    """The whole latest run of each workspace."""
+    return rows.groupBy("repo").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "repo"]), "audited_at").alias("r")).select("repo", "r.*").select(rows.columns)
+
+
 def snapshot(rows: DataFrame) -> DataFrame:
     """The latest run of each workspace with its change against the run before on the same basis."""
     keyed = basis(rows).select("repo", "audited_at", F.col("audited_at").alias("id"), "basis", "index", "partial", "completeness")

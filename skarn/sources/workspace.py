@@ -37,7 +37,12 @@ def _list(repo: str, root: str) -> Iterator[tuple]:
     pending = [""]
     while pending:
         here = pending.pop()
-        for entry in sorted(os.scandir(os.path.join(root, here)), key=lambda e: e.name):
+        try:
+            inside = sorted(os.scandir(os.path.join(root, here)), key=lambda e: e.name)
+        except OSError:
+            yield repo, root, here or ".", "unreadable"
+            continue
+        for entry in inside:
             rel = f"{here}/{entry.name}" if here else entry.name
             if entry.is_symlink() and entry.is_dir():
                 yield repo, root, rel, "symlink"
@@ -52,7 +57,8 @@ def _list(repo: str, root: str) -> Iterator[tuple]:
 
 
 def listing(targets: DataFrame) -> DataFrame:
-    """Every file of the workspaces, and the directories left out with the reason (``ignored``)."""
+    """Every file of the workspaces, and the directories left out with the reason (``ignored``).  A directory
+    that can't be read is a row (``unreadable``; the root's path is ``.``) and stops no other."""
 
     def walk(batches):
         for batch in batches:
@@ -131,23 +137,98 @@ def packages(entries: DataFrame) -> DataFrame:
     return own.unionByName(roots.select("repo", F.lit(".").alias("directory"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("has_manifest"), F.lit(None).cast("string").alias("manifest")))
 
 
+def workspace_globs(entries: DataFrame, owned_by: DataFrame) -> DataFrame:
+    """repo, glob, regex, negative: the package globs that the root manifest (a list, or an object's ``packages``)
+    and ``pnpm-workspace.yaml`` declare; what isn't a list of strings declares nothing."""
+    stated = owned_by.where("directory = '.' AND has_manifest").select("repo", F.lit("json").alias("form"), F.col("manifest").alias("text"))
+    pnpm = with_text(entries.where("ignored IS NULL AND path = 'pnpm-workspace.yaml'").select("repo", "root", "path")).select("repo", F.lit("yaml").alias("form"), "text")
+
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for repo, form, text in zip(batch["repo"], batch["form"], batch["text"], strict=True):
+                value = loose_json(text).get("workspaces") if form == "json" else _yaml(text)
+                value = value.get("packages") if isinstance(value, dict) else value if form == "json" else None
+                for glob in value if isinstance(value, list) else []:
+                    if isinstance(glob, str):
+                        rows.append((repo, glob, glob_regex(glob.removeprefix("!")), glob.startswith("!")))
+            yield pd.DataFrame(rows, columns=["repo", "glob", "regex", "negative"])
+
+    return stated.unionByName(pnpm).mapInPandas(read, "repo string, glob string, regex string, negative boolean")
+
+
+def _yaml(text: str):
+    import yaml
+
+    try:
+        return yaml.safe_load(text or "")
+    except yaml.YAMLError:
+        return None
+
+
+def declared(owned_by: DataFrame, globs: DataFrame) -> DataFrame:
+    """Adds ``declared``: the root always is, any other package if a glob matches its directory and no negative
+    glob does."""
+    hits = owned_by.select("repo", "directory").join(globs, "repo").where(F.rlike("directory", F.col("regex")))
+    verdict = hits.groupBy("repo", "directory").agg((F.bool_or(~F.col("negative")) & ~F.bool_or("negative")).alias("_hit"))
+    return owned_by.join(verdict, ["repo", "directory"], "left").withColumn("declared", (F.col("directory") == ".") | F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def _extended(root: str, path: str, wanted: str) -> str | None:
+    """The file, relative to the root, that a configuration's ``extends`` names: a path beside it, or a package
+    in the nearest ``node_modules``; null if it isn't there or lies outside the root."""
+    here = os.path.dirname(path)
+    if wanted.startswith((".", "/")):
+        bases = [os.path.join(here, wanted)] if wanted.startswith(".") else []
+    else:
+        ups = [here] + [os.path.dirname(here[:i]) for i in range(len(here), 0, -1) if here[i - 1] == "/"] + [""]
+        bases = [os.path.join(u, "node_modules", wanted) for u in dict.fromkeys(ups)]
+    for base in map(os.path.normpath, bases):
+        for name in (base, base + ".json", os.path.join(base, "tsconfig.json")):
+            if not name.startswith("..") and os.path.isfile(os.path.join(root, name)):
+                return name
+    return None
+
+
+def _effective(root: str, path: str, text: str, seen: frozenset = frozenset()) -> dict:
+    """Base directory and path mappings of a configuration after those that it extends: a later one overrides an
+    earlier one, its own override all, and mappings are replaced as a whole.  A cycle ends where it closes."""
+    config = loose_json(text)
+    out: dict = {}
+    parents = config.get("extends")
+    for wanted in [parents] if isinstance(parents, str) else parents if isinstance(parents, list) else []:
+        file = _extended(root, path, wanted) if isinstance(wanted, str) else None
+        if file and file not in seen | {path}:
+            try:
+                inherited = Path(root, file).read_text(encoding="utf-8", errors="replace")
+            except OSError:
+                continue
+            out |= _effective(root, file, inherited, seen | {path})
+    own = config.get("compilerOptions")
+    own = own if isinstance(own, dict) else {}
+    directory = os.path.dirname(path) or "."
+    if own.get("baseUrl"):
+        out["base"] = os.path.normpath(os.path.join(directory, str(own["baseUrl"])))
+    if isinstance(own.get("paths"), dict):
+        out |= {"paths": own["paths"], "stated_in": directory}
+    return out
+
+
 def path_mappings(entries: DataFrame) -> DataFrame:
-    """repo, directory, pattern, targets: the path mappings of every compiler configuration, targets relative
-    to the workspace; pattern and targets are null for one without mappings."""
+    """repo, directory, pattern, targets: the path mappings of every compiler configuration and of those that it
+    extends, targets relative to the workspace; pattern and targets are null for one without mappings."""
     configs = with_text(entries.where("status = 'config'").select("repo", "root", "path"))
 
     def read(batches):
         for batch in batches:
             rows = []
-            for repo, path, text in zip(batch["repo"], batch["path"], batch["text"], strict=True):
+            for repo, root, path, text in zip(batch["repo"], batch["root"], batch["path"], batch["text"], strict=True):
+                options = _effective(root, path, text)
+                base = options.get("base", options.get("stated_in", "."))
+                stated = options.get("paths", {})
+                mapped = stated | {"*": ["*"]} if "base" in options and "*" not in stated else stated
                 directory = os.path.dirname(path) or "."
-                options = loose_json(text).get("compilerOptions")
-                options = options if isinstance(options, dict) else {}
-                base = os.path.normpath(os.path.join(directory, str(options.get("baseUrl") or ".")))
-                mapped = options.get("paths") if isinstance(options.get("paths"), dict) else {}
-                if options.get("baseUrl") and "*" not in mapped:
-                    mapped = mapped | {"*": ["*"]}
-                found = [(repo, directory, p, [os.path.normpath(os.path.join(base, str(x))) for x in xs], p in (options.get("paths") or {})) for p, xs in mapped.items() if isinstance(xs, list)]
+                found = [(repo, directory, p, [os.path.normpath(os.path.join(base, str(x))) for x in xs], p in stated) for p, xs in mapped.items() if isinstance(xs, list)]
                 rows += found or [(repo, directory, None, None, False)]
             yield pd.DataFrame(rows, columns=["repo", "directory", "pattern", "targets", "stated"])
 

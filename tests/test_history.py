@@ -89,7 +89,7 @@ def test_command_line(spark, place, tmp_path, capsys):
     assert main(["audit", str(root / "nowhere")]) == 1
     (root / "targets.json").write_text('{"busy": "busy", "gone": "gone"}')
     assert main(["fleet", str(root / "targets.json")]) == 1
-    assert "gone: not a directory" in capsys.readouterr().out
+    assert "gone: path not found or not a directory" in capsys.readouterr().out
     assert main(["report", store, "--repo", "calm"]) == 0
 
 
