@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SEED = 7  # of the second hash
+
 
 def tokens(docs: DataFrame, key: str, group: str, words) -> DataFrame:
     """key, group, pos (from 0), token."""
@@ -12,22 +14,41 @@ def tokens(docs: DataFrame, key: str, group: str, words) -> DataFrame:
 
 
 def windows(docs: DataFrame, key: str, group: str, words, k: int) -> DataFrame:
-    """key, group, pos, gram, before, after: the SHA-256 of every k tokens (32 bytes are shuffled, not
-    the tokens) with the token on either side (null at the text's edge)."""
-    w = docs.select(key, group, words.alias("_w"))
-    starts = F.when(F.size("_w") >= k, F.sequence(F.lit(0), F.size("_w") - k)).otherwise(F.array().cast("array<int>"))
-    placed = w.select(key, group, "_w", F.explode(starts).alias("pos"))
-    return placed.select(key, group, "pos", F.unhex(F.sha2(F.array_join(F.slice("_w", F.col("pos") + 1, k), " "), 256)).alias("gram"), F.get("_w", F.col("pos") - 1).alias("before"), F.get("_w", F.col("pos") + k).alias("after"))
+    """key, group, pos, g1, g2, before, after: a 128-bit hash of every k tokens, and a 64-bit one of the token on
+    either side (null at the text's edge).
+
+    Tokens are hashed once a text and windows hash the numbers, so no text is joined or shuffled at a position.
+    Windows of 10**13 positions collide with a probability under 10**-12."""
+    hashed = docs.select(key, group, F.transform(words, lambda w: F.xxhash64(w)).alias("_a"), F.transform(words, lambda w: F.xxhash64(F.lit(SEED), w)).alias("_b"))
+    starts = F.when(F.size("_a") >= k, F.sequence(F.lit(0), F.size("_a") - k)).otherwise(F.array().cast("array<int>"))
+    placed = hashed.select(key, group, "_a", "_b", F.explode(starts).alias("pos"))
+    part = lambda c: F.slice(c, F.col("pos") + 1, k)
+    return placed.select(key, group, "pos", F.xxhash64(part("_a")).alias("g1"), F.xxhash64(F.lit(SEED), part("_b")).alias("g2"), F.get("_a", F.col("pos") - 1).alias("before"), F.get("_a", F.col("pos") + k).alias("after"))
+
+
+def _repeated(grams: DataFrame, group: str) -> DataFrame:
+    return grams.groupBy(group, "g1", "g2").agg(F.count("*").alias("n")).where("n > 1").select(group, "g1", "g2")
 
 
 def contexts(grams: DataFrame, key: str, group: str) -> DataFrame:
-    """Per repeated gram: occurrences, the documents, and the distinct contexts on each side; a text's
-    edge is a context of its own."""
-    edge = F.concat(F.lit("\n"), F.col(key).cast("string"), F.lit(":"), F.col("pos").cast("string"))
+    """Per repeated gram (g1, g2): occurrences, the documents, the distinct contexts on each side, and one
+    occurrence (first_key, first_pos); a text's edge is a context of its own."""
+    edge = F.xxhash64(F.lit("\n"), F.col(key), F.col("pos"))
     side = lambda c: F.count_distinct(F.coalesce(F.col(c), edge))
-    repeated = grams.groupBy(group, "gram").agg(F.count("*").alias("n")).where("n > 1").select(group, "gram")
     # most grams occur once: they go before the distinct counts multiply the rows
-    return grams.join(repeated, [group, "gram"], "left_semi").groupBy(group, "gram").agg(F.count("*").alias("occurrences"), F.count_distinct(key).alias("documents"), side("before").alias("left_contexts"), side("after").alias("right_contexts"))
+    hits = grams.join(_repeated(grams, group), [group, "g1", "g2"], "left_semi")
+    return hits.groupBy(group, "g1", "g2").agg(
+        F.count("*").alias("occurrences"), F.count_distinct(key).alias("documents"), side("before").alias("left_contexts"), side("after").alias("right_contexts"),
+        F.min(key).alias("first_key"), F.min_by("pos", key).alias("first_pos"),
+    )
+
+
+def with_digests(counted: DataFrame, docs: DataFrame, key: str, words, k: int) -> DataFrame:
+    """Adds sha256, of the words of the one occurrence that ``contexts`` names.  A text is joined once, whatever
+    the number of its grams; ``key`` identifies it."""
+    by_text = counted.groupBy(F.col("first_key").alias(key)).agg(F.collect_list(F.struct(*counted.columns)).alias("_f"))
+    texts = docs.select(key, words.alias("_w")).join(by_text, key).select("_w", F.explode("_f").alias("_g"))
+    return texts.select("_g.*", F.sha2(F.array_join(F.slice("_w", F.col("_g.first_pos") + 1, k), " "), 256).alias("sha256"))
 
 
 def repeated_spans(grams: DataFrame, key: str, group: str, k: int) -> DataFrame:
@@ -35,8 +56,7 @@ def repeated_spans(grams: DataFrame, key: str, group: str, k: int) -> DataFrame:
 
     Counts come from an aggregate that combines before the shuffle and are joined back by gram, so a
     gram that very many texts share doesn't gather its rows in one task."""
-    repeated = grams.groupBy(group, "gram").agg(F.count("*").alias("n")).where("n > 1").select(group, "gram")
-    hits = grams.select(key, group, "pos", "gram").join(repeated, [group, "gram"], "left_semi")
+    hits = grams.select(key, group, "pos", "g1", "g2").join(_repeated(grams, group), [group, "g1", "g2"], "left_semi")
     w = Window.partitionBy(key).orderBy("pos")
     islands = hits.withColumn("_i", F.col("pos") - F.row_number().over(w))
     return islands.groupBy(key, group, "_i").agg(F.min("pos").alias("start"), (F.max("pos") + k).alias("end")).drop("_i")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import half_up, package_name
@@ -279,9 +279,12 @@ _WORDS = "w AS (SELECT doc_id, lang, list_filter(string_split_regex(lower(text),
 _GRAMS = f"""{_WORDS}, g AS (SELECT doc_id, lang, CAST(p AS INT) AS pos, array_to_string(w[p + 1:p + {K}], ' ') AS gram, CASE WHEN p > 0 THEN w[p] END AS before, w[p + {K} + 1] AS after FROM (SELECT *, unnest(range(0, len(w) - {K} + 1)) AS p FROM w))"""
 
 
+def words() -> Column:
+    return F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
+
+
 def word_windows(spark, d) -> DataFrame:
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
-    return clones.windows(t(spark, d, "documents"), "doc_id", "lang", words, K)
+    return clones.windows(t(spark, d, "documents"), "doc_id", "lang", words(), K)
 
 
 @query(f"""WITH {_GRAMS}, h AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM g WHERE (lang, gram) IN (SELECT (lang, gram) FROM g GROUP BY lang, gram HAVING count(*) > 1))
@@ -293,16 +296,17 @@ def clone_runs(spark, d):
 @query(f"""WITH {_GRAMS} SELECT lang, sha256(gram) AS gram_sha256, count(*) AS occurrences, count(DISTINCT doc_id) AS documents, count(DISTINCT coalesce(before, chr(10) || doc_id || ':' || pos)) AS left_contexts, count(DISTINCT coalesce(after, chr(10) || doc_id || ':' || pos)) AS right_contexts
 FROM g GROUP BY lang, gram HAVING count(*) > 1""")
 def clone_context_count(spark, d):
-    return clones.contexts(word_windows(spark, d), "doc_id", "lang").select("lang", F.lower(F.hex("gram")).alias("gram_sha256"), "occurrences", "documents", "left_contexts", "right_contexts")
+    counted = clones.contexts(word_windows(spark, d), "doc_id", "lang")
+    counted = clones.with_digests(counted, t(spark, d, "documents"), "doc_id", words(), K)
+    return counted.select("lang", F.col("sha256").alias("gram_sha256"), "occurrences", "documents", "left_contexts", "right_contexts")
 
 
 @query()
 def clone_group_members(spark, d):
     """Maximal repeated word runs as groups of equal content; a language beyond the operator's bounds is one
     row that says so."""
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
-    lines = F.transform(words, lambda w: F.lit(1))
-    docs = t(spark, d, "documents").select(F.lit("documents").alias("repo"), F.col("lang").alias("source_set"), F.col("doc_id").cast("string").alias("path"), words.alias("kinds"), lines.alias("start_lines"), lines.alias("end_lines"))
+    lines = F.transform(words(), lambda w: F.lit(1))
+    docs = t(spark, d, "documents").select(F.lit("documents").alias("repo"), F.col("lang").alias("source_set"), F.col("doc_id").cast("string").alias("path"), words().alias("kinds"), lines.alias("start_lines"), lines.alias("end_lines"))
     return clone_groups.clone_members(docs, least=K, min_lines=1)
 
 
