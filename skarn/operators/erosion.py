@@ -15,10 +15,18 @@ def with_mass(measures: DataFrame) -> DataFrame:
 
 
 def hotspots(measures: DataFrame) -> DataFrame:
-    """Eroded functions ranked by unrounded mass within each source set."""
-    ranked = with_mass(measures).where("eroded")
-    w = Window.partitionBy("source_set").orderBy(F.desc("mass"), "path")
-    return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).withColumn("mass", half_up(F.col("mass"), 3)).drop("eroded")
+    """Eroded functions ranked by unrounded mass within each source set, ties by path.
+
+    Masses are dealt to sixteenths of an octave, so no task sorts a whole source set; a function's rank is its
+    place in its bucket after all functions of higher ones.  A source set has under 34,000 buckets, whatever its
+    size: their counts are broadcast."""
+    bucket = F.coalesce(F.floor(F.log2("mass") * 16), F.lit(-(2**20)))
+    eroded = with_mass(measures).where("eroded").withColumn("_b", bucket)
+    higher = Window.partitionBy("_s").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    before = eroded.groupBy(F.col("source_set").alias("_s"), F.col("_b").alias("_k")).agg(F.count("*").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(higher), F.lit(0)))
+    placed = eroded.join(F.broadcast(before), F.col("source_set").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_k")))
+    place = F.row_number().over(Window.partitionBy("source_set", "_b").orderBy(F.desc("mass"), "path"))
+    return placed.withColumn("rank", F.col("_above") + place).withColumn("mass", half_up(F.col("mass"), 3)).drop("eroded", "_b", "_s", "_k", "_n", "_above")
 
 
 def _totals() -> list[Column]:
