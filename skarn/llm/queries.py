@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import chat, decontaminate, fingerprint, hmm, jaccard, license_scan, oracle, packing, quality, secret_scan, toxicity
+from skarn.llm import balls, chat, decontaminate, fingerprint, hmm, jaccard, license_scan, oracle, packing, quality, repair, secret_scan, sharding, toxicity
 from skarn.llm.text import table
 
 ARROW_ROWS = "512"
@@ -81,6 +81,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _arrow(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_digests(repair.damaged(turns), turns)
+
+
+def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -93,8 +107,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_toxicity": op10_toxicity,
+        "op11_sharding": op11_sharding,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_ball_clusters": op13_ball_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": oracle.chat_sql(), "op9_jaccard_join": oracle.jaccard_sql()}
+    return {
+        "op2_chat_format": oracle.chat_sql(),
+        "op9_jaccard_join": oracle.jaccard_sql(),
+        "op11_sharding": oracle.sharding_sql(),
+        "op12_conversation_repair": oracle.repair_sql(),
+        "op13_ball_clusters": oracle.clusters_sql(),
+    }

@@ -14,13 +14,14 @@ SF = "/root/testdata/sf0.001"
 
 
 def rows_of(frame: pd.DataFrame) -> list[tuple]:
-    return sorted(map(tuple, frame[sorted(frame.columns)].values.tolist()), key=str)
+    frame = frame[sorted(frame.columns)].astype(object)
+    return sorted(map(tuple, frame.where(frame.notna(), None).values.tolist()), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, SF).toPandas()
