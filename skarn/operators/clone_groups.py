@@ -1,151 +1,199 @@
 """Maximal repeated token runs as groups of equal content, exact, within each (repo, source_set).
 
 A run belongs to a group if another occurrence of the same tokens differs on both sides (a file's edge differs
-from everything).  A scope holds at most ``max_tokens`` tokens, which bounds the rows that one task sorts; a
-larger one, or one that would take more than ``max_work`` steps, is reported as not measured and yields no
-partial groups.  ``clones.repeated_spans`` has no such bound."""
+from everything).  No scope, file set or group is held by one task, and there is no bound on their sizes.
+
+* **Anchors.**  A group's occurrences don't all have the same token before them, so neither do those of its first ``n``
+  tokens, for any ``n``: a run starts at an anchor, a position whose window of ``n`` tokens is repeated after different tokens;
+  and ends at one whose window before it is followed by different tokens.  Within a copied passage there are few.
+* **Levels.**  Anchors of windows of ``least`` tokens come from counting all windows.  Each further level takes
+  windows ``FACTOR`` times as long at the anchors that are left; runs of lengths between two levels are pairs of a first and a
+  last anchor.  So the number of rounds is logarithmic in the longest file, and most files drop out early.
+* **Contents.**  Runs meet by their hash (two prefix look-ups, see ``functions.windows``).  All occurrences of a group have
+  anchors, so they all meet.
+* **Both sides differ.**  One occurrence's sides (l, r) serve as witness for all that differ from both.  For the others
+  the least and largest right side among those of another left side decide, and conversely; these come from
+  aggregates that combine before the shuffle.
+
+Files of one short period have quadratically many pairs of anchors in the length of one file, never of the table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# The least run, and the bounds of a scope.
-MIN_TOKENS, MIN_LINES = 100, 3
-MAX_TOKENS, MAX_WORK = 2_000_000, 100_000_000
-
-MEMBERS = "repo string, source_set string, group_id int, path string, start_line int, end_line int, token_count int, start_token int, exhausted boolean"
+from skarn.functions import windows
+from skarn.operators.keyed import looked_up, numbered
+from skarn.session import checkpointed
 
-
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by doubling the compared length until all ranks differ."""
-    n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    step = 1
+# The least run.
+MIN_TOKENS, MIN_LINES = 100, 3
+FACTOR = 4
+PAIRS = 1 << 20
+RUN, FIRST, LAST = 0, 1, 2
+
+WINDOWS = "kind tinyint, doc bigint, start int, end int, g1 bigint, g2 bigint, before bigint, after bigint"
+_NAMES = [c.split()[0] for c in WINDOWS.split(", ")]
+
+
+def _sides(code: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the tokens on either side; at a file's edge one that no other place has."""
+    edge = windows.mixed(doc.astype(np.uint64)[row] * np.uint64(2) + np.uint64(0x5851F42D4C957F2D))
+    padded = np.concatenate((code, [0])).astype(np.uint64)
+    before = np.where(starts > offsets[row], padded[starts - 1], edge)
+    after = np.where(ends < offsets[row + 1], padded[ends], windows.mixed(edge + np.uint64(1)))
+    return before.view(np.int64), after.view(np.int64)
+
+
+def _table(kind: np.ndarray | int, doc, row, offsets, starts, ends, hashes, sides) -> pa.RecordBatch:
+    kinds = np.full(len(starts), kind, np.int8) if np.isscalar(kind) else kind
+    at = offsets[row]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (kinds, doc[row], (starts - at).astype(np.int32), (ends - at).astype(np.int32), *hashes, *sides)], _NAMES)
+
+
+def all_windows(texts: DataFrame, length: int) -> DataFrame:
+    """WINDOWS of every ``length`` tokens of the texts (doc, scope, codes)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, scopes = (np.asarray(batch.column(i)) for i in (0, 1))
+            for first, n, offsets, code in windows.parts(batch.column(2)):
+                doc, scope = docs[first : first + n], scopes[first : first + n]
+                row = np.repeat(np.arange(n), np.diff(offsets))
+                starts = np.flatnonzero(np.arange(len(code)) + length <= offsets[row + 1])
+                row, ends = row[starts], starts + length
+                hashes = windows.PrefixHashes(code).windows(starts, ends, scope[row])
+                yield _table(RUN, doc, row, offsets, starts, ends, hashes, _sides(code, offsets, doc, row, starts, ends))
+
+    return texts.select("doc", "scope", "codes").mapInArrow(each, WINDOWS)
+
+
+def _pairs(first: np.ndarray, last: np.ndarray, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, ends) of all runs of ``least`` to below ``most`` tokens, in pieces of about PAIRS."""
+    low, high = np.searchsorted(last, first + least), np.searchsorted(last, first + most)
+    total = np.cumsum(high - low)
+    block = total // PAIRS
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(first)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        n = high[a:b] - low[a:b]
+        if n.sum():
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(first[a:b], n), last[np.repeat(low[a:b], n) + within]
+
+
+def anchored_windows(texts: DataFrame, length: int) -> DataFrame:
+    """WINDOWS of the texts (doc, scope, codes, first, last): runs of ``length`` to below FACTOR times as many tokens
+    between anchors (RUN), and windows of FACTOR times as many from the first (FIRST) and before the last anchors (LAST)."""
+    longer = FACTOR * length
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, scopes = (np.asarray(batch.column(i)) for i in (0, 1))
+            for top, n, offsets, code in windows.parts(batch.column(2)):
+                hashes = windows.PrefixHashes(code)
+                waiting, size = [], 0
+                for row in range(n):
+                    begin, stop = offsets[row], offsets[row + 1]
+                    first, last = (np.sort(np.asarray(batch.column(i)[top + row].values, dtype=np.int64)) + begin for i in (3, 4))
+                    ahead, back = first[first + longer <= stop], last[last - longer >= begin]
+                    found = [(RUN, a, b) for a, b in _pairs(first, last, length, longer)] + [(FIRST, ahead, ahead + longer), (LAST, back - longer, back)]
+                    for kind, a, b in found:
+                        waiting.append((np.full(len(a), kind, np.int8), np.full(len(a), row), a, b))
+                        size += len(a)
+                        if size >= PAIRS:
+                            yield whole(waiting, top, offsets, code, hashes, docs, scopes)
+                            waiting, size = [], 0
+                if size:
+                    yield whole(waiting, top, offsets, code, hashes, docs, scopes)
+
+    def whole(waiting, top, offsets, code, hashes, docs, scopes) -> pa.RecordBatch:
+        kinds, row, starts, ends = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        doc, scope = (x[top : top + len(offsets) - 1] for x in (docs, scopes))
+        return _table(kinds, doc, row, offsets, starts, ends, hashes.windows(starts, ends, scope[row]), _sides(code, offsets, doc, row, starts, ends))
+
+    return texts.select("doc", "scope", "codes", "first", "last").mapInArrow(each, WINDOWS)
+
+
+def _anchors(found: DataFrame, key: list[str]) -> DataFrame:
+    """(doc, first, last): anchors by text.  Of a window (FIRST) the token before has to vary, of one (LAST) the token after; of a window of neither kind both are asked."""
+    c = F.col
+    counted = found.groupBy(*key).agg(F.count("*").alias("n"), (F.min("before") != F.max("before")).alias("starts"), (F.min("after") != F.max("after")).alias("ends")).where("n > 1 AND (starts OR ends)")
+    kept = checkpointed(counted)
+    placed = looked_up(found, kept, key, "n")
+    starts, ends = c("starts") & (c("kind") != LAST), c("ends") & (c("kind") != FIRST)
+    marks = placed.where(starts | ends).groupBy("doc").agg(F.collect_list(F.when(starts, c("start"))).alias("first"), F.collect_list(F.when(ends, c("end"))).alias("last"))
+    return marks.where((F.size("first") > 0) & (F.size("last") > 0))
+
+
+def candidate_runs(texts: DataFrame, least: int) -> DataFrame:
+    """Runs (doc, start, end, g1, g2, before, after) between anchors, at all levels: all occurrences of every maximal repeat."""
+    length = least
+    here = checkpointed(texts.join(_anchors(all_windows(texts, least), ["g1", "g2"]), "doc"))
+    levels = []
     while True:
-        second = np.zeros(n, np.int64)
-        if step < n:
-            second[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        changed = np.concatenate(([0], (np.diff(key[order]) != 0).astype(np.int64)))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(changed)
-        if rank[order[-1]] == n - 1:
-            return order
-        step *= 2
-
-
-def common_prefixes(codes: np.ndarray, order: np.ndarray) -> list[int]:
-    """Length of the prefix that each suffix shares with the one before it."""
-    n = len(codes)
-    where = np.empty(n, np.int64)
-    where[order] = np.arange(n)
-    c, o, out, h = codes.tolist(), order.tolist(), [0] * n, 0
-    for i, r in enumerate(where.tolist()):
-        if r == 0:
-            h = 0
-            continue
-        j = o[r - 1]
-        while i + h < n and j + h < n and c[i + h] == c[j + h]:
-            h += 1
-        out[r] = h
-        h = max(h - 1, 0)
-    return out
-
-
-def maximal_groups(streams: list[list], least: int = MIN_TOKENS, max_work: int = MAX_WORK) -> list[tuple[int, list[tuple[int, int]]]] | None:
-    """(length, [(stream, start)]) of every group; None if the work would exceed ``max_work``."""
-    ids: dict = {}
-    parts, owner, offset = [], [], []
-    for s, tokens in enumerate(streams):
-        offset.append(sum(map(len, parts)) if s == 0 else offset[-1] + len(parts[-1]))
-        parts.append(np.array([ids.setdefault(t, len(ids)) for t in tokens] + [-1 - s], np.int64))
-        owner.append(np.full(len(parts[-1]), s))
-    if not parts:
-        return []
-    codes, owner = np.concatenate(parts), np.concatenate(owner)
-    order = suffix_array(codes)
-    shared = common_prefixes(codes, order) + [0]
-    left_of = np.concatenate(([-1 - len(streams)], codes[:-1]))
-    groups, open_runs, work = [], [], 0
-    for rank in range(1, len(shared)):
-        begin = rank - 1
-        while open_runs and open_runs[-1][1] > shared[rank]:
-            begin, length = open_runs.pop()
-            if length < least:
-                continue
-            work += rank - begin
-            if work > max_work:
-                return None
-            at = order[begin:rank]
-            left, right = left_of[at], codes[at + length]
-            inverse = lambda x: np.unique(x, return_inverse=True, return_counts=True)[1:]
-            li, ln = inverse(left)
-            ri, rn = inverse(right)
-            pi, pn = inverse(li * (len(rn) + 1) + ri)
-            partners = len(at) - ln[li] - rn[ri] + pn[pi]
-            members = sorted((int(owner[p]), int(p) - offset[owner[p]]) for p in at[partners > 0])
-            if members:
-                groups.append((length, members))
-        if shared[rank] and (not open_runs or open_runs[-1][1] < shared[rank]):
-            open_runs.append((begin, shared[rank]))
-    return groups
-
-
-def finished(groups, paths: list[str], starts: list, ends: list, min_lines: int = MIN_LINES) -> list[tuple]:
-    """Members with lines, ordered and numbered: short members, lone members and groups that lie wholly within
-    longer ones go."""
-    located = []
-    for length, members in groups:
-        kept = [(paths[s], int(starts[s][p]), int(ends[s][p + length - 1]), p) for s, p in members]
-        kept = sorted(m for m in kept if m[2] - m[1] + 1 >= min_lines)
-        if len(kept) >= 2:
-            located.append((length, kept))
-    spans: dict[str, list[tuple[int, int, int]]] = {}
-    for g, (length, members) in enumerate(located):
-        for path, _, _, p in members:
-            spans.setdefault(path, []).append((p, -(p + length), g))
-    alive = set()
-    for of_file in spans.values():
-        reach = -1  # the furthest end of the spans before, longer ones first at equal starts
-        before = None
-        for p, minus_end, g in sorted(of_file):
-            if reach < -minus_end or before == (p, minus_end):
-                alive.add(g)
-                before = (p, minus_end)
-            reach = max(reach, -minus_end)
-    out = sorted((located[g] for g in alive), key=lambda x: (x[1][0][:3], -x[0], -len(x[1])))
-    return [(n + 1, path, a, b, length, p) for n, (length, members) in enumerate(out) for path, a, b, p in members]
-
-
-def clone_members(parsed: DataFrame, least: int = MIN_TOKENS, min_lines: int = MIN_LINES, max_tokens: int = MAX_TOKENS, max_work: int = MAX_WORK) -> DataFrame:
-    """MEMBERS of all groups of the parsed files (repo, source_set, path, kinds, start_lines, end_lines).  A
-    scope beyond the bounds is one row with ``exhausted`` and nulls."""
-    sizes = parsed.groupBy("repo", "source_set").agg(F.sum(F.size("kinds")).alias("tokens"))
-    within = sizes.where(F.col("tokens") <= max_tokens).select("repo", "source_set")
-    beyond = sizes.where(F.col("tokens") > max_tokens).select("repo", "source_set")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("path", kind="stable").reset_index(drop=True)
-        key = (pdf["repo"][0], pdf["source_set"][0])
-        groups = maximal_groups([list(k) for k in pdf["kinds"]], least, max_work)
-        columns = ["repo", "source_set", "group_id", "path", "start_line", "end_line", "token_count", "start_token", "exhausted"]
-        if groups is None:
-            return pd.DataFrame([(*key, None, None, None, None, None, None, True)], columns=columns)
-        rows = finished(groups, list(pdf["path"]), list(pdf["start_lines"]), list(pdf["end_lines"]), min_lines)
-        return pd.DataFrame([(*key, *r, False) for r in rows], columns=columns)
-
-    files = parsed.select("repo", "source_set", "path", "kinds", "start_lines", "end_lines").join(within, ["repo", "source_set"], "left_semi")
-    measured = files.groupBy("repo", "source_set").applyInPandas(one, MEMBERS)
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in MEMBERS.split(", ")[2:-1])]
-    return measured.unionByName(beyond.select("repo", "source_set", *empty, F.lit(True).alias("exhausted")))
+        found = checkpointed(anchored_windows(here, length))
+        levels.append(found.where(F.col("kind") == RUN).drop("kind"))
+        length *= FACTOR
+        marks = _anchors(found.where(F.col("kind") != RUN), ["kind", "g1", "g2"])
+        here = checkpointed(here.drop("first", "last").where(F.size("codes") >= length).join(marks, "doc"))
+        if here.isEmpty():
+            break
+    runs = levels[0]
+    for level in levels[1:]:
+        runs = runs.unionByName(level)
+    return runs
+
+
+def maximal_repeats(texts: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+    """(g1, g2, doc, start, end) of every occurrence that another of the same tokens differs from on both sides."""
+    c, key = F.col, ["g1", "g2"]
+    runs = candidate_runs(texts, least)
+    one = F.min(F.struct("before", "after"))
+    counted = runs.groupBy(*key).agg(F.count("*").alias("n"), one.alias("one"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.min("after").alias("a1"), F.max("after").alias("a2"))
+    met = checkpointed(looked_up(runs, checkpointed(counted.where("n > 1 AND b1 <> b2 AND a1 <> a2").select(*key, "n", "one")), key, "n"))
+    elsewhere, onward = c("before") != c("one.before"), c("after") != c("one.after")
+    sides = met.groupBy(*key).agg(
+        F.count("*").alias("n"), F.min(F.when(elsewhere, c("after"))).alias("a1"), F.max(F.when(elsewhere, c("after"))).alias("a2"),
+        F.min(F.when(onward, c("before"))).alias("b1"), F.max(F.when(onward, c("before"))).alias("b2"),
+    )
+    varied = F.when(elsewhere & onward, True).when(~elsewhere & ((c("a1") != c("after")) | (c("a2") != c("after"))), True).when(~onward & ((c("b1") != c("before")) | (c("b2") != c("before"))), True)
+    return looked_up(met.drop("n"), checkpointed(sides), key, "n").where(varied).select(*key, "doc", "start", "end")
+
+
+def clone_members(parsed: DataFrame, least: int = MIN_TOKENS, min_lines: int = MIN_LINES) -> DataFrame:
+    """repo, source_set, group_id, path, start_line, end_line, token_count, start_token of all groups of the files (repo,
+    source_set, path, kinds, start_lines, end_lines).
+
+    Members of under ``min_lines`` lines don't count; groups of one member, and those whose every member lies strictly within another
+    group's in its file, go.  Groups are numbered within (repo, source_set) by their first member."""
+    c, scope = F.col, ["repo", "source_set"]
+    files = parsed.select(*scope, "path", "start_lines", "end_lines", F.monotonically_increasing_id().alias("doc"), F.xxhash64(*scope).alias("scope"), windows.codes(c("kinds")).alias("codes"))
+    files = checkpointed(files)
+    members = checkpointed(maximal_repeats(files.select("doc", "scope", "codes"), least))
+    by_file = members.groupBy("doc").agg(F.collect_list(F.struct("g1", "g2", "start", "end")).alias("runs"))
+    lines = lambda name, at: F.element_at(name, at)
+    located = files.drop("codes", "scope").join(by_file, "doc").withColumn("run", F.explode("runs"))
+    located = located.select(*scope, "path", "doc", "run.*", lines("start_lines", c("run.start") + 1).alias("start_line"), lines("end_lines", c("run.end")).alias("end_line"))
+    located = checkpointed(located.where(c("end_line") - c("start_line") + 1 >= min_lines))
+    group = ["g1", "g2"]
+    first = F.min(F.struct("path", "start_line", "end_line", "start"))
+    length = F.first(c("end") - c("start")).alias("token_count")
+    groups = checkpointed(located.groupBy(*scope, *group).agg(F.count("*").alias("n"), first.alias("f"), length).where("n > 1"))
+    kept = checkpointed(looked_up(located, groups.select(*group, "n"), group, "n"))
+    earlier = Window.partitionBy("doc").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = kept.withColumn("reach", F.max("end").over(earlier)).where("reach IS NULL OR reach < end").select(*group).distinct()
+    ordered = groups.join(outer, group, "left_semi").select(*scope, *group, "n", "token_count", "f.*").withColumn("by_length", -c("token_count")).withColumn("by_size", -c("n"))
+    ids = checkpointed(numbered(ordered, scope, ["path", "start_line", "end_line", "by_length", "by_size", "start"], "group_id").select(*group, "n", "token_count", (c("group_id") + 1).cast("int").alias("group_id")))
+    found = looked_up(kept.drop("n"), ids, group, "n")
+    return found.select(*scope, "group_id", "path", "start_line", "end_line", "token_count", c("start").alias("start_token"))
 
 
 def duplicated_lines(members: DataFrame, parsed: DataFrame) -> DataFrame:
     """repo, source_set, duplicated: code lines that any member covers, each once."""
-    covered = members.where("NOT exhausted").select("repo", "source_set", "path", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
+    covered = members.select("repo", "source_set", "path", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
     code = parsed.select("repo", "source_set", "path", F.explode("code_lines").alias("line"))
     return covered.join(code, ["repo", "source_set", "path", "line"]).groupBy("repo", "source_set").agg(F.count("*").alias("duplicated"))

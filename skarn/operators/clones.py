@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEED = 7  # of the second hash
+from skarn.functions import windows as prefix
 
 
 def tokens(docs: DataFrame, key: str, group: str, words) -> DataFrame:
@@ -14,16 +18,24 @@ def tokens(docs: DataFrame, key: str, group: str, words) -> DataFrame:
 
 
 def windows(docs: DataFrame, key: str, group: str, words, k: int) -> DataFrame:
-    """key, group, pos, g1, g2, before, after: a 128-bit hash of every k tokens, and a 64-bit one of the token on
-    either side (null at the text's edge).
-
-    Tokens are hashed once a text and windows hash the numbers, so no text is joined or shuffled at a position.
-    Windows of 10**13 positions collide with a probability under 10**-12."""
-    hashed = docs.select(key, group, F.transform(words, lambda w: F.xxhash64(w)).alias("_a"), F.transform(words, lambda w: F.xxhash64(F.lit(SEED), w)).alias("_b"))
-    starts = F.when(F.size("_a") >= k, F.sequence(F.lit(0), F.size("_a") - k)).otherwise(F.array().cast("array<int>"))
-    placed = hashed.select(key, group, "_a", "_b", F.explode(starts).alias("pos"))
-    part = lambda c: F.slice(c, F.col("pos") + 1, k)
-    return placed.select(key, group, "pos", F.xxhash64(part("_a")).alias("g1"), F.xxhash64(F.lit(SEED), part("_b")).alias("g2"), F.get("_a", F.col("pos") - 1).alias("before"), F.get("_a", F.col("pos") + k).alias("after"))
+    """key, group, pos, g1, g2, before, after: a 128-bit hash of every k tokens (two prefix look-ups each), and the 64-bit
+    code of the token on either side (null at the text's edge)."""
+    texts = docs.select(key, group, prefix.codes(words).alias("_codes"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, offsets, code in prefix.parts(batch.column(2)):
+                row = np.repeat(np.arange(n), np.diff(offsets))
+                starts = np.flatnonzero(np.arange(len(code)) + k <= offsets[row + 1])
+                row, ends = row[starts], starts + k
+                hashes = prefix.PrefixHashes(code).windows(starts, ends)
+                padded = np.concatenate((code, [0])).astype(np.uint64).view(np.int64)
+                sides = [pa.array(padded[at], mask=edge) for at, edge in ((starts - 1, starts == offsets[row]), (ends, ends == offsets[row + 1]))]
+                named = [batch.column(i).take(pa.array(first + row)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*named, pa.array((starts - offsets[row]).astype(np.int32)), *map(pa.array, hashes), *sides], [key, group, "pos", "g1", "g2", "before", "after"])
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:2])
+    return texts.mapInArrow(each, f"{head}, pos int, g1 bigint, g2 bigint, before bigint, after bigint")
 
 
 def _repeated(grams: DataFrame, group: str) -> DataFrame:

@@ -54,22 +54,20 @@ def scope_metrics(repos: DataFrame, parsed: DataFrame, functions: DataFrame, clo
         F.count("*").alias("functions"), F.sum(micro).alias("mass"), F.sum(F.when(F.col("eroded"), micro).otherwise(0)).alias("eroded_mass"), F.count_if("eroded").alias("eroded"), F.max("nesting").alias("nesting"), F.max("cc").alias("cc_max"),
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY cc)").alias("p50"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY cc)").alias("p90"),
     )
-    groups = clones.groupBy(*key).agg(F.count_distinct("group_id").alias("groups"), F.bool_or("exhausted").alias("exhausted"))
+    groups = clones.groupBy(*key).agg(F.count_distinct("group_id").alias("groups"))
     lines = clone_groups.duplicated_lines(clones, parsed)
     full = _scopes(repos)
     for part in (sizes, sums, groups, lines):
         full = full.join(part, key, "left")
-    full = full.fillna(0, ["sloc", "broken", "functions", "mass", "eroded_mass", "eroded", "groups", "duplicated"]).fillna(False, ["exhausted"])
+    full = full.fillna(0, ["sloc", "broken", "functions", "mass", "eroded_mass", "eroded", "groups", "duplicated"])
     why = F.when(F.col("broken") > 0, F.concat(F.col("broken").cast("string"), F.lit(" "), "source_set", F.lit(" file(s) produced parse diagnostics; values are partial")))
-    dup_why = F.when(F.col("exhausted"), "duplication limit exceeded; duplication not measured").otherwise(why)
     of = lambda name: F.concat(F.lit(name + "."), "source_set")
-    if_measured = lambda c: F.when(~F.col("exhausted"), c)
     return _state(full, [
         (of("complexity.functions"), F.col("functions"), why), (of("complexity.cc.p50"), F.col("p50"), why), (of("complexity.cc.p90"), F.col("p90"), why), (of("complexity.cc.max"), F.col("cc_max"), why),
         (of("complexity.nesting.max"), F.col("nesting"), why), (of("erosion.mass"), half_up(F.col("mass") / 1e6, 3), why), (of("erosion.eroded-count"), F.col("eroded"), why),
         (of("erosion.eroded-share"), F.when(F.col("mass") > 0, half_up(F.col("eroded_mass") / F.col("mass"), 6)), why),
-        (of("duplication.groups"), if_measured(F.col("groups")), dup_why), (of("duplication.duplicated-lines"), if_measured(F.col("duplicated")), dup_why),
-        (of("duplication.density"), if_measured(F.when(F.col("sloc") > 0, half_up(F.col("duplicated") / F.col("sloc"), 6))), dup_why),
+        (of("duplication.groups"), F.col("groups"), why), (of("duplication.duplicated-lines"), F.col("duplicated"), why),
+        (of("duplication.density"), F.when(F.col("sloc") > 0, half_up(F.col("duplicated") / F.col("sloc"), 6)), why),
     ])
 
 
@@ -135,7 +133,7 @@ def findings(functions: DataFrame, clones: DataFrame, edges: DataFrame, cycles:
     shown = lambda c, d=3: F.regexp_replace(F.format_string(f"%.{d}f", c), r"\.?0+$", "")
     hot = erosion.with_mass(functions).where("eroded")
     hot = hot.select("repo", F.lit("complexity.hotspot").alias("kind"), "path", "start_line", "end_line", F.concat(F.lit("CC "), "cc", F.lit(", mass "), shown(half_up(F.col("mass"), 3)), F.lit(", nesting "), "nesting", F.lit(", SLOC "), "sloc").alias("summary"), F.when(~F.col("ambiguous"), F.concat_ws("#", "path", "identity")).alias("identity"))
-    first = clones.where("NOT exhausted").groupBy("repo", "source_set", "group_id", "token_count").agg(F.count("*").alias("n"), F.min(F.struct("path", "start_line", "end_line")).alias("f"))
+    first = clones.groupBy("repo", "source_set", "group_id", "token_count").agg(F.count("*").alias("n"), F.min(F.struct("path", "start_line", "end_line")).alias("f"))
     dup = first.select("repo", F.lit("duplication.clone-group").alias("kind"), "f.path", "f.start_line", "f.end_line", F.concat(F.col("n").cast("string"), F.lit(" copies of "), F.col("token_count").cast("string"), F.lit(" normalized tokens")).alias("summary"), none.alias("identity"))
     lost = edges.where("status = 'unresolved'").select("repo", F.lit("graph.unresolved-import").alias("kind"), "path", F.col("line").alias("start_line"), F.col("line").alias("end_line"), F.concat(F.lit("unresolved "), "kind", F.lit(" '"), F.coalesce("specifier", F.lit("(non-literal)")), F.lit("': "), "reason").alias("summary"), none.alias("identity"))
     cyc = cycles.select("repo", F.lit("import-cycle").alias("kind"), F.col("component").alias("path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.concat(F.col("edge_class"), F.lit(" cycle: "), F.array_join("path", " -> ")).alias("summary"), none.alias("identity"))

@@ -301,10 +301,16 @@ def clone_context_count(spark, d):
     return counted.select("lang", F.col("sha256").alias("gram_sha256"), "occurrences", "documents", "left_contexts", "right_contexts")
 
 
-@query()
+# All pairs of equal grams, joined along diagonals into maximal matches.
+@query(f"""WITH {_GRAMS}, m AS (SELECT a.lang, a.doc_id AS d1, a.pos AS p1, b.doc_id AS d2, b.pos - a.pos AS gap FROM g a JOIN g b ON a.lang = b.lang AND a.gram = b.gram AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.pos < b.pos))),
+i AS (SELECT *, p1 - row_number() OVER (PARTITION BY d1, d2, gap ORDER BY p1) AS i FROM m), r AS (SELECT lang, d1, d2, gap, min(p1) AS p1, CAST(count(*) + {K - 1} AS INT) AS n FROM i GROUP BY lang, d1, d2, gap, i),
+o AS (SELECT lang, d1 AS doc_id, p1 AS pos, n FROM r UNION SELECT lang, d2, p1 + gap, n FROM r), c AS (SELECT o.*, CAST(doc_id AS VARCHAR) AS path, sha256(array_to_string(w[pos + 1:pos + n], ' ')) AS content FROM o JOIN w USING (doc_id, lang)),
+x AS (SELECT *, max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+u AS (SELECT lang, content, any_value(n) AS n, count(*) AS size, min(path) AS path, min((path, pos)) AS f FROM x GROUP BY lang, content HAVING count(*) > 1 AND bool_or(reach IS NULL OR reach < pos + n)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY path, n DESC, size DESC, f) AS id FROM u)
+SELECT 'documents' AS repo, lang AS source_set, CAST(k.id AS INT) AS group_id, x.path, 1 AS start_line, 1 AS end_line, x.n AS token_count, x.pos AS start_token FROM x JOIN k USING (lang, content)""")
 def clone_group_members(spark, d):
-    """Maximal repeated word runs as groups of equal content; a language beyond the operator's bounds is one
-    row that says so."""
+    """Maximal repeated word runs as groups of equal content, of every language whatever its size."""
     lines = F.transform(words(), lambda w: F.lit(1))
     docs = t(spark, d, "documents").select(F.lit("documents").alias("repo"), F.col("lang").alias("source_set"), F.col("doc_id").cast("string").alias("path"), words().alias("kinds"), lines.alias("start_lines"), lines.alias("end_lines"))
     return clone_groups.clone_members(docs, least=K, min_lines=1)

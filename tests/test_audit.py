@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.operators import clone_groups, syntax
+from skarn.operators import syntax
 from skarn.plans import audit
 from skarn.sources import typescript, workspace
 
@@ -63,31 +63,6 @@ def test_problems(text):
     assert typescript.analyse(text)["problems"]
 
 
-def brute_force(streams, least):
-    """All maximal pairs, grouped by content."""
-    groups = {}
-    places = [(s, i) for s, x in enumerate(streams) for i in range(len(x))]
-    for n, (s, i) in enumerate(places):
-        for u, j in places[n + 1 :]:
-            a, b = streams[s], streams[u]
-            if i and j and a[i - 1] == b[j - 1]:
-                continue
-            h = 0
-            while i + h < len(a) and j + h < len(b) and a[i + h] == b[j + h]:
-                h += 1
-            if h >= least:
-                groups.setdefault(tuple(a[i : i + h]), set()).update([(s, i), (u, j)])
-    return sorted((len(k), sorted(v)) for k, v in groups.items())
-
-
-def test_clone_groups_equal_brute_force():
-    rng = random.Random(5)
-    for _ in range(300):
-        streams = [[rng.randint(0, 2) for _ in range(rng.randint(0, 14))] for _ in range(rng.randint(0, 4))]
-        least = rng.randint(2, 4)
-        assert sorted(clone_groups.maximal_groups(streams, least)) == brute_force(streams, least)
-
-
 @pytest.fixture(scope="module")
 def done(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("workspaces")
@@ -159,12 +134,6 @@ def test_metrics_and_score(done):
     assert runs["two"].completeness == "incomplete" and len(runs["one"].metrics) == 29
 
 
-def test_exhausted_scope_is_not_measured(spark, done):
-    rows = clone_groups.clone_members(done.parsed, max_tokens=10).collect()
-    assert rows and any(r.exhausted for r in rows)
-    assert all(r.group_id is None for r in rows if r.exhausted)
-
-
 def test_identities(spark):
     text = "class A { m() {} n() { const f = () => 1; const f2 = () => 2; } }\nfunction d() {}\nfunction d() {}\nfunction e() { [1].map(() => { function k() {} }); }\n"
     files = spark.createDataFrame([("r", "production", ".", "a.ts", text)], "repo string, source_set string, package_path string, path string, text string")
