@@ -10,12 +10,13 @@ from everything).  No scope, file set or group is held by one task, and there is
   windows ``FACTOR`` times as long at the anchors that are left; runs of lengths between two levels are pairs of a first and a
   last anchor.  So the number of rounds is logarithmic in the longest file, and most files drop out early.
 * **Contents.**  Runs meet by their hash (two prefix look-ups, see ``functions.windows``).  All occurrences of a group have
-  anchors, so they all meet.
+  anchors, so they all meet.  A text's occurrences between the same sides go as one row, so repeated lines add few rows.
 * **Both sides differ.**  One occurrence's sides (l, r) serve as witness for all that differ from both.  For the others
   the least and largest right side among those of another left side decide, and conversely; these come from
   aggregates that combine before the shuffle.
 
-Files of one short period have quadratically many pairs of anchors in the length of one file, never of the table."""
+Within a file of one short period the pairs of anchors are quadratic in that file's length, never in the table's; they are made
+and collapsed in pieces of PAIRS."""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import windows
@@ -34,25 +35,23 @@ from skarn.session import checkpointed
 MIN_TOKENS, MIN_LINES = 100, 3
 FACTOR = 4
 PAIRS = 1 << 20
-RUN, FIRST, LAST = 0, 1, 2
+RUN, FIRST, LAST = 0, 1, 2  # kinds of PLACES
 
-WINDOWS = "kind tinyint, doc bigint, start int, end int, g1 bigint, g2 bigint, before bigint, after bigint"
-_NAMES = [c.split()[0] for c in WINDOWS.split(", ")]
+WINDOWS = "doc bigint, start int, g1 bigint, g2 bigint, before bigint, after bigint"
+PLACES = "kind tinyint, doc bigint, starts array<int>, length int, g1 bigint, g2 bigint, before bigint, after bigint"
 
 
-def _sides(code: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _sides(code: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     """Codes of the tokens on either side; at a file's edge one that no other place has."""
     edge = windows.mixed(doc.astype(np.uint64)[row] * np.uint64(2) + np.uint64(0x5851F42D4C957F2D))
     padded = np.concatenate((code, [0])).astype(np.uint64)
     before = np.where(starts > offsets[row], padded[starts - 1], edge)
     after = np.where(ends < offsets[row + 1], padded[ends], windows.mixed(edge + np.uint64(1)))
-    return before.view(np.int64), after.view(np.int64)
-
-
-def _table(kind: np.ndarray | int, doc, row, offsets, starts, ends, hashes, sides) -> pa.RecordBatch:
-    kinds = np.full(len(starts), kind, np.int8) if np.isscalar(kind) else kind
-    at = offsets[row]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (kinds, doc[row], (starts - at).astype(np.int32), (ends - at).astype(np.int32), *hashes, *sides)], _NAMES)
+    return [before.view(np.int64), after.view(np.int64)]
 
 
 def all_windows(texts: DataFrame, length: int) -> DataFrame:
@@ -67,11 +66,22 @@ def all_windows(texts: DataFrame, length: int) -> DataFrame:
                 starts = np.flatnonzero(np.arange(len(code)) + length <= offsets[row + 1])
                 row, ends = row[starts], starts + length
                 hashes = windows.PrefixHashes(code).windows(starts, ends, scope[row])
-                yield _table(RUN, doc, row, offsets, starts, ends, hashes, _sides(code, offsets, doc, row, starts, ends))
+                columns = doc[row], (starts - offsets[row]).astype(np.int32), *hashes, *_sides(code, offsets, doc, row, starts, ends)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _names(WINDOWS))
 
     return texts.select("doc", "scope", "codes").mapInArrow(each, WINDOWS)
 
 
+def _places(kind: np.ndarray, doc: np.ndarray, starts: np.ndarray, length: np.ndarray, *facts: np.ndarray) -> pa.RecordBatch:
+    """PLACES: one row for all places of a text that have the same tokens between the same sides."""
+    order = np.lexsort((starts, length, kind, *facts, doc))
+    keys = [x[order] for x in (kind, doc, length, *facts)]
+    firsts = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in keys], axis=0))))
+    kinds, docs, lengths, *rest = (x[firsts] for x in keys)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(order)), pa.int32()), pa.array(starts[order].astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(docs), lists, pa.array(lengths.astype(np.int32)), *map(pa.array, rest)], _names(PLACES))
+
+
 def _pairs(first: np.ndarray, last: np.ndarray, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(starts, ends) of all runs of ``least`` to below ``most`` tokens, in pieces of about PAIRS."""
     low, high = np.searchsorted(last, first + least), np.searchsorted(last, first + most)
@@ -86,7 +96,7 @@ def _pairs(first: np.ndarray, last: np.ndarray, least: int, most: int) -> Iterat
 
 
 def anchored_windows(texts: DataFrame, length: int) -> DataFrame:
-    """WINDOWS of the texts (doc, scope, codes, first, last): runs of ``length`` to below FACTOR times as many tokens
+    """PLACES of the texts (doc, scope, codes, first, last): runs of ``length`` to below FACTOR times as many tokens
     between anchors (RUN), and windows of FACTOR times as many from the first (FIRST) and before the last anchors (LAST)."""
     longer = FACTOR * length
 
@@ -102,8 +112,9 @@ def anchored_windows(texts: DataFrame, length: int) -> DataFrame:
                     ahead, back = first[first + longer <= stop], last[last - longer >= begin]
                     found = [(RUN, a, b) for a, b in _pairs(first, last, length, longer)] + [(FIRST, ahead, ahead + longer), (LAST, back - longer, back)]
                     for kind, a, b in found:
-                        waiting.append((np.full(len(a), kind, np.int8), np.full(len(a), row), a, b))
-                        size += len(a)
+                        if len(a):
+                            waiting.append((np.full(len(a), kind, np.int8), np.full(len(a), row), a, b))
+                            size += len(a)
                         if size >= PAIRS:
                             yield whole(waiting, top, offsets, code, hashes, docs, scopes)
                             waiting, size = [], 0
@@ -113,33 +124,39 @@ def anchored_windows(texts: DataFrame, length: int) -> DataFrame:
     def whole(waiting, top, offsets, code, hashes, docs, scopes) -> pa.RecordBatch:
         kinds, row, starts, ends = (np.concatenate(x) for x in zip(*waiting, strict=True))
         doc, scope = (x[top : top + len(offsets) - 1] for x in (docs, scopes))
-        return _table(kinds, doc, row, offsets, starts, ends, hashes.windows(starts, ends, scope[row]), _sides(code, offsets, doc, row, starts, ends))
+        return _places(kinds, doc[row], starts - offsets[row], ends - starts, *hashes.windows(starts, ends, scope[row]), *_sides(code, offsets, doc, row, starts, ends))
+
+    return texts.select("doc", "scope", "codes", "first", "last").mapInArrow(each, PLACES)
+
 
-    return texts.select("doc", "scope", "codes", "first", "last").mapInArrow(each, WINDOWS)
+def _varied(found: DataFrame, key: list[str]) -> DataFrame:
+    """The windows of ``found`` whose tokens occur after different tokens (``starts``) or before different ones (``ends``)."""
+    differ = lambda c: F.min(c) != F.max(c)
+    counted = found.groupBy(*key).agg(F.count("*").alias("n"), differ("before").alias("starts_vary"), differ("after").alias("ends_vary"))
+    return looked_up(found, checkpointed(counted.where("starts_vary OR ends_vary")), key, "n")
 
 
-def _anchors(found: DataFrame, key: list[str]) -> DataFrame:
-    """(doc, first, last): anchors by text.  Of a window (FIRST) the token before has to vary, of one (LAST) the token after; of a window of neither kind both are asked."""
-    c = F.col
-    counted = found.groupBy(*key).agg(F.count("*").alias("n"), (F.min("before") != F.max("before")).alias("starts"), (F.min("after") != F.max("after")).alias("ends")).where("n > 1 AND (starts OR ends)")
-    kept = checkpointed(counted)
-    placed = looked_up(found, kept, key, "n")
-    starts, ends = c("starts") & (c("kind") != LAST), c("ends") & (c("kind") != FIRST)
-    marks = placed.where(starts | ends).groupBy("doc").agg(F.collect_list(F.when(starts, c("start"))).alias("first"), F.collect_list(F.when(ends, c("end"))).alias("last"))
+def _anchors(windows_: DataFrame, first: Column, last: Column) -> DataFrame:
+    """(doc, first, last): arrays of positions by text, where there are both."""
+    marks = windows_.groupBy("doc").agg(F.flatten(F.collect_list(first)).alias("first"), F.flatten(F.collect_list(last)).alias("last"))
     return marks.where((F.size("first") > 0) & (F.size("last") > 0))
 
 
 def candidate_runs(texts: DataFrame, least: int) -> DataFrame:
-    """Runs (doc, start, end, g1, g2, before, after) between anchors, at all levels: all occurrences of every maximal repeat."""
-    length = least
-    here = checkpointed(texts.join(_anchors(all_windows(texts, least), ["g1", "g2"]), "doc"))
+    """PLACES of runs between anchors, of all levels: all occurrences of every maximal repeat."""
+    c, length = F.col, least
+    found = _varied(all_windows(texts, least), ["g1", "g2"])
+    marks = _anchors(found, F.when(c("starts_vary"), F.array("start")), F.when(c("ends_vary"), F.array(c("start") + least)))
+    here = checkpointed(texts.join(marks, "doc"))
     levels = []
     while True:
         found = checkpointed(anchored_windows(here, length))
-        levels.append(found.where(F.col("kind") == RUN).drop("kind"))
+        levels.append(found.where(c("kind") == RUN).drop("kind"))
         length *= FACTOR
-        marks = _anchors(found.where(F.col("kind") != RUN), ["kind", "g1", "g2"])
-        here = checkpointed(here.drop("first", "last").where(F.size("codes") >= length).join(marks, "doc"))
+        longer = _varied(found.where(c("kind") != RUN), ["kind", "g1", "g2"])
+        first = F.when(c("starts_vary") & (c("kind") == FIRST), c("starts"))
+        last = F.when(c("ends_vary") & (c("kind") == LAST), F.transform("starts", lambda x: x + c("length")))
+        here = checkpointed(here.drop("first", "last").where(F.size("codes") >= length).join(_anchors(longer, first, last), "doc"))
         if here.isEmpty():
             break
     runs = levels[0]
@@ -154,14 +171,15 @@ def maximal_repeats(texts: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     runs = candidate_runs(texts, least)
     one = F.min(F.struct("before", "after"))
     counted = runs.groupBy(*key).agg(F.count("*").alias("n"), one.alias("one"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.min("after").alias("a1"), F.max("after").alias("a2"))
-    met = checkpointed(looked_up(runs, checkpointed(counted.where("n > 1 AND b1 <> b2 AND a1 <> a2").select(*key, "n", "one")), key, "n"))
+    met = checkpointed(looked_up(runs, checkpointed(counted.where("b1 <> b2 AND a1 <> a2").select(*key, "n", "one")), key, "n"))
     elsewhere, onward = c("before") != c("one.before"), c("after") != c("one.after")
     sides = met.groupBy(*key).agg(
         F.count("*").alias("n"), F.min(F.when(elsewhere, c("after"))).alias("a1"), F.max(F.when(elsewhere, c("after"))).alias("a2"),
         F.min(F.when(onward, c("before"))).alias("b1"), F.max(F.when(onward, c("before"))).alias("b2"),
     )
     varied = F.when(elsewhere & onward, True).when(~elsewhere & ((c("a1") != c("after")) | (c("a2") != c("after"))), True).when(~onward & ((c("b1") != c("before")) | (c("b2") != c("before"))), True)
-    return looked_up(met.drop("n"), checkpointed(sides), key, "n").where(varied).select(*key, "doc", "start", "end")
+    kept = looked_up(met.drop("n"), checkpointed(sides), key, "n").where(varied)
+    return kept.select(*key, "doc", "length", F.explode("starts").alias("start")).select(*key, "doc", "start", (c("start") + c("length")).alias("end"))
 
 
 def clone_members(parsed: DataFrame, least: int = MIN_TOKENS, min_lines: int = MIN_LINES) -> DataFrame:
