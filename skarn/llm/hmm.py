@@ -43,7 +43,8 @@ LOOKUP = 100_000
 OWN = 2_000
 CLASSES = 1_024
 STATES = 8
-ROUNDS = 3
+ROUNDS = 20  # at most; what ends the training is GAIN
+GAIN = 1e-3  # a round that improves the log likelihood of the training texts by a smaller part is the last
 GUESSES = 2
 PIECE = 1024  # symbols of a text that are worked on at once; what is before and after is carried exactly
 GROUP = 1024  # pieces that are worked on at once
@@ -237,12 +238,12 @@ def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return np.bincount(pieces.text, weights=logs, minlength=len(lengths))
 
 
-def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, move, emit) of whole texts of symbols: forward, then backward."""
+def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts (start, move, emit) of whole texts of symbols: forward, then backward; and their log likelihood."""
     pieces = pieces_of(model, symbols, lengths)
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states))
-    ones = np.ones((states, 1))
+    ones, log = np.ones((states, 1)), 0.0
     for part in _groups(pieces.length):
         at, lasting = pieces.first[part], _lasting(pieces.length[part])
         prior, before, after = pieces.prior[part], pieces.before[part], pieces.after[part]
@@ -254,6 +255,7 @@ def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np
             c = a @ ones
             a /= c
             e /= c
+            log += float(np.log10(c).sum())
             alphas.append(a)
             scaled.append(e)
         gammas = []
@@ -275,7 +277,7 @@ def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np
         start += gammas[-1][~before.any(1)].sum(0)
         g, s = np.concatenate(gammas[::-1]), np.concatenate(seen)
         emit += np.stack([np.bincount(s, weights=g[:, k], minlength=SYMBOLS) for k in range(states)], 1)
-    return start, move * model.move, emit
+    return start, move * model.move, emit, log
 
 
 def training_texts(train: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -353,20 +355,27 @@ def fit(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Model:
     overall = _added(texts, totals, SYMBOLS) + 0.5
     overall /= overall.sum()
     model = first_guess(texts, overall, states)
+    size = states + states * states + SYMBOLS * states
+    log = -math.inf
     for _ in range(rounds):
 
         def share(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(states + states * states + SYMBOLS * states)
+            total = np.zeros(size + 1)
             for batch in batches:
                 for lengths, symbols in _unpacked(batch):
-                    total += np.concatenate([x.ravel() for x in expected(model, symbols, lengths)])
+                    total += np.concatenate([np.ravel(x) for x in expected(model, symbols, lengths)])
             yield _sums(total)
 
-        c = _added(texts, share, states + states * states + SYMBOLS * states)
+        *c, now = _added(texts, share, size + 1)
+        c = np.array(c)
         start = c[:states] + 1
         move = c[states : states + states * states].reshape(states, states) + 1
         emit = c[states + states * states :].reshape(SYMBOLS, states) + 50 * overall[:, None]
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        # The likelihood is that of the model before this round.
+        if now - log < GAIN * abs(now):
+            break
+        log = now
     return model
 
 
