@@ -238,8 +238,13 @@ def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return np.bincount(pieces.text, weights=logs, minlength=len(lengths))
 
 
-def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts (start, move, emit) of whole texts of symbols: forward, then backward; and their log likelihood."""
+def expected(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts (start, move, emit) of whole texts of symbols."""
+    return expectation(model, symbols, lengths)[:3]
+
+
+def expectation(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The expected counts, forward, then backward; and the log10 likelihood of the texts."""
     pieces = pieces_of(model, symbols, lengths)
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states))
@@ -363,7 +368,7 @@ def fit(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Model:
             total = np.zeros(size + 1)
             for batch in batches:
                 for lengths, symbols in _unpacked(batch):
-                    total += np.concatenate([np.ravel(x) for x in expected(model, symbols, lengths)])
+                    total += np.concatenate([np.ravel(x) for x in expectation(model, symbols, lengths)])
             yield _sums(total)
 
         *c, now = _added(texts, share, size + 1)
