@@ -160,7 +160,7 @@ def safeguard_levels(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
 
 def report(spark: SparkSession, store: str, repo: str | None = None, since: str | None = None) -> dict:
     """Latest runs and their trends, of all workspaces or one."""
-    rows = history.load(spark, store, repo, since)
+    rows = history.load_runs(spark, store, repo, since)
     trends = {r.repo: r.trend for r in history.trend(rows).collect()}
     latest = history.snapshot(rows).orderBy("repo").collect()
     return {"scope": {"repo": repo, "since": since}, "snapshot": [r.asDict() | {"trend": trends.get(r.repo)} for r in latest]}

@@ -1,11 +1,13 @@
-"""Stored runs: an append-only Parquet table by workspace, its reports as JSON, and the history over it."""
+"""Stored runs and their findings: two tables under a commit log, reports as JSON, and the history over them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skarn.operators import compare
+from skarn.sources.commit_log import CommitLog, Tables
 from skarn.plans.audit import FINDING, Audit, run_rows
 
 SCHEMA_VERSION, ANALYZER_VERSION, SCORING_VERSION = 1, "1", "0.2.0-provisional"
@@ -27,18 +29,58 @@ def runs(done: Audit, audited_at: str | None = None) -> DataFrame:
     return full.withColumns(versions).select(*[c.split()[0] for c in RUN.split(", ") if " " in c])
 
 
-def append(rows: DataFrame, store: str) -> None:
-    """Adds the runs to the store; a workspace is a partition, so that reading one prunes the others."""
-    rows.write.mode("append").partitionBy("repo").parquet(store)
+def with_id(rows: DataFrame) -> DataFrame:
+    """Adds run_id: a run is its workspace and time."""
+    return rows.withColumn("run_id", F.sha2(F.concat_ws("|", "repo", F.date_format("audited_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")), 256))
 
 
-def load(spark: SparkSession, store: str, repo: str | None = None, since: str | None = None) -> DataFrame:
-    rows = spark.read.schema(RUN).option("mergeSchema", "true").parquet(store)
-    if repo is not None:
-        rows = rows.where(F.col("repo") == repo)
+def split(tables: Tables) -> Tables:
+    """Runs with nested findings as runs and a table of findings."""
+    rows = with_id(tables["runs"])
+    found = rows.select("run_id", "repo", F.explode("findings").alias("f")).select("run_id", "repo", "f.*")
+    return {"runs": rows.drop("findings"), "findings": found}
+
+
+MIGRATIONS = [(2, split)]
+
+
+def store_log(spark: SparkSession, store: str) -> CommitLog:
+    """Format 1 was a folder of runs by workspace, without a log."""
+    return CommitLog(spark, store, MIGRATIONS, plain=("runs", "repo=*", StructType.fromDDL(RUN)))
+
+
+def append(rows: DataFrame, store: str) -> int | None:
+    """Adds the runs that the store doesn't have; a workspace is a partition, so that reading one prunes the others."""
+    return store_log(rows.sparkSession, store).append(split({"runs": rows}), "run_id", "runs", partition="repo")
+
+
+def _chosen(rows: DataFrame, repo: str | None) -> DataFrame:
+    return rows if repo is None else rows.where(F.col("repo") == repo)
+
+
+def load_runs(spark: SparkSession, store: str, repo: str | None = None, since: str | None = None) -> DataFrame:
+    """The stored runs without their findings, with run_id."""
+    tables = store_log(spark, store).read()
+    empty = split({"runs": spark.createDataFrame([], RUN)})
+    rows = _chosen(tables.get("runs", empty["runs"]), repo)
     return rows.where(F.col("audited_at") >= F.lit(since).cast("timestamp")) if since else rows
 
 
+def load_findings(spark: SparkSession, store: str, repo: str | None = None) -> DataFrame:
+    """run_id, repo and the finding, a row each."""
+    empty = split({"runs": spark.createDataFrame([], RUN)})
+    return _chosen(store_log(spark, store).read().get("findings", empty["findings"]), repo)
+
+
+def load(spark: SparkSession, store: str, repo: str | None = None, since: str | None = None) -> DataFrame:
+    """Whole runs (RUN), each with its findings in its row."""
+    rows = load_runs(spark, store, repo, since)
+    fields = [c for c in load_findings(spark, store).columns if c not in ("run_id", "repo")]
+    found = load_findings(spark, store, repo).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("findings"))
+    names = [c.split()[0] for c in RUN.split(", ") if " " in c]
+    return rows.join(found, "run_id", "left").withColumn("findings", F.coalesce("findings", F.array().cast(found.schema["findings"].dataType))).select(*names)
+
+
 def write_reports(rows: DataFrame, folder: str) -> None:
     """One line of JSON per run."""
     rows.write.mode("overwrite").json(folder)
@@ -67,7 +109,8 @@ def same_basis(a: dict, b: dict) -> bool:
 
 def latest_full(rows: DataFrame) -> DataFrame:
     """The whole latest run of each workspace."""
-    return rows.groupBy("repo").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "repo"]), "audited_at").alias("r")).select("repo", "r.*").select(rows.columns)
+    newest = rows.groupBy("repo").agg(F.max("audited_at").alias("audited_at"))
+    return rows.join(newest, ["repo", "audited_at"]).dropDuplicates(["repo"]).select(rows.columns)
 
 
 def snapshot(rows: DataFrame) -> DataFrame:

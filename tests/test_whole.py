@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import time
 
 import duckdb
 
 from skarn.operators import agreement, graph
 from skarn.plans import catalogue
+from skarn.session import checkpointed
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,11 +60,47 @@ def cycle_length(edges, members, node):
     return 1 + depths(inner, {b for a, b in inner if a == node})[node]
 
 
+def held(spark, edges):
+    """All graph operators on these edges against brute force."""
+    members = components(edges)
+    df = spark.createDataFrame(sorted(edges), "src bigint, dst bigint").repartition(3)
+    got = checkpointed(graph.strong_components(df))
+    assert {r.node: r.component for r in got.collect()} == members
+    paths = {r.component: r.path for r in graph.shortest_cycle(df, got).collect()}
+    assert {c: len(p) - 1 for c, p in paths.items()} == {c: cycle_length(edges, members, c) for c in set(members.values())}
+    assert all(p[0] == p[-1] == c and set(itertools.pairwise(p)) <= edges for c, p in paths.items())
+    seeds = sorted({n for e in edges for n in e if n % 5 == 0})
+    depth = graph.reach(df, spark.createDataFrame([(n,) for n in [*seeds, seeds[0]]], "node bigint")).collect()
+    assert {r.node: r.depth for r in depth} == depths(edges, seeds) and len(depth) == len({r.node for r in depth})
+    return paths
+
+
 def test_graph_operators_equal_brute_force(spark):
+    """Small dense parts with bridges; sparse random graphs with long chains, loops, rings and trees."""
     rng = random.Random(4)
-    edges = {(6 * g + rng.randrange(6), 6 * g + rng.randrange(6)) for g in range(4) for _ in range(9)} | {(2, 7), (8, 13), (3, 20)}
-    members = components(edges)
-    df = spark.createDataFrame(sorted(edges), "src bigint, dst bigint")
-    got = graph.strong_components(df)
-    assert {r.node: r.component for r in got.collect()} == members and len(set(members.values())) > 1
-    assert {r.component: len(r.path) - 1 for r in graph.shortest_cycle(df, got).collect()} == {c: cycle_length(edges, members, c) for c in set(members.values())}
+    held(spark, {(6 * g + rng.randrange(6), 6 * g + rng.randrange(6)) for g in range(4) for _ in range(9)} | {(2, 7), (8, 13), (3, 20)})
+    sparse = {(rng.randrange(150), rng.randrange(150)) for _ in range(190)}
+    order = rng.sample(range(200, 260), 60)
+    rings = set(itertools.pairwise([*order[:25], order[0]])) | set(itertools.pairwise([*order[25:], order[25]]))
+    held(spark, sparse | rings | {(order[3], 0), (5, order[30]), (300, 300), (301, 302), (302, 303)})
+
+
+def test_first_of_several_shortest_cycles(spark):
+    """Of cycles of one length the first in node order, also where chains are contracted."""
+    paths = held(spark, {(0, 9), (9, 8), (8, 0), (0, 3), (3, 7), (7, 0), (0, 2), (2, 5), (5, 6), (6, 0), (10, 12), (12, 10), (12, 12)})
+    assert paths == {0: [0, 3, 7, 0], 10: [10, 12, 10]}
+
+
+def test_long_ring(spark):
+    """A ring of 1,000 nodes in no order takes a few rounds, not one a node."""
+    order = random.Random(6).sample(range(1000), 1000)
+    edges = list(itertools.pairwise([*order, order[0]]))
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    began = time.time()
+    members = checkpointed(graph.strong_components(df))
+    assert {(r.node, r.component) for r in members.collect()} == {(n, 0) for n in range(1000)}
+    (cycle,) = graph.shortest_cycle(df, members).collect()
+    assert set(itertools.pairwise(cycle.path)) == set(edges) and cycle.path[0] == 0
+    depth = {r.node: r.depth for r in graph.reach(df, spark.createDataFrame([(order[0],)], "node bigint")).collect()}
+    assert depth == {n: i for i, n in enumerate(order)}
+    assert time.time() - began < 60
