@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skarn.operators import graph
 from skarn.operators.keyed import numbered
-from skarn.session import checkpointed
+from skarn.session import written
 
 SEPARATOR = "\x1f"
 
@@ -23,7 +23,7 @@ def peeled(items: DataFrame, requires: DataFrame) -> tuple[DataFrame, DataFrame]
     Each round takes off the items without a remaining prerequisite, in all scopes together, and lowers the counts of those that
     require them; so there are as many rounds as levels."""
     counts = requires.groupBy("scope", "id").agg(F.count("*").alias("open"))
-    left = checkpointed(items.join(counts, ["scope", "id"], "left").select("scope", "id", F.coalesce("open", F.lit(0)).alias("open")))
+    left = written(items.join(counts, ["scope", "id"], "left").select("scope", "id", F.coalesce("open", F.lit(0)).alias("open")))
     done = []
     while True:
         ready = left.where("open = 0").select("scope", "id", F.lit(len(done)).alias("level"))
@@ -31,7 +31,7 @@ def peeled(items: DataFrame, requires: DataFrame) -> tuple[DataFrame, DataFrame]
         if ready.isEmpty():
             return reduce(DataFrame.unionByName, done), left.select("scope", "id")
         freed = requires.join(ready.select("scope", F.col("id").alias("requires")), ["scope", "requires"]).groupBy("scope", "id").agg(F.count("*").alias("freed"))
-        left = checkpointed(left.where("open > 0").join(freed, ["scope", "id"], "left").select("scope", "id", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open")))
+        left = written(left.where("open > 0").join(freed, ["scope", "id"], "left").select("scope", "id", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open")))
 
 
 def refusals(items: DataFrame, requires: DataFrame, stuck: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def refusals(items: DataFrame, requires: DataFrame, stuck: DataFrame) -> DataFra
     missing = missing.select("scope", F.lit("unregistered").alias("code"), F.concat("m.id", F.lit(" requires "), "m.requires").alias("detail"))
     node = lambda c: F.concat_ws(SEPARATOR, F.col("scope").cast("string"), c)
     among = requires.join(stuck, ["scope", "id"], "left_semi").join(stuck.withColumnRenamed("id", "requires"), ["scope", "requires"], "left_semi")
-    edges = checkpointed(among.select(node("id").alias("src"), node("requires").alias("dst")).distinct())
-    circles = graph.shortest_cycle(edges, checkpointed(graph.strong_components(edges)))
+    edges = written(among.select(node("id").alias("src"), node("requires").alias("dst")).distinct())
+    circles = graph.shortest_cycle(edges, written(graph.strong_components(edges)))
     ids = F.transform("path", lambda x: F.element_at(F.split(x, SEPARATOR), -1))
     named = circles.select(F.split("component", SEPARATOR)[0].cast(items.schema["scope"].dataType).alias("scope"), ids.alias("ids"))
     first = named.groupBy("scope").agg(F.min_by("ids", F.col("ids")[0]).alias("ids")).join(missing, "scope", "left_anti")
@@ -53,11 +53,11 @@ def refusals(items: DataFrame, requires: DataFrame, stuck: DataFrame) -> DataFra
 def ordered(items: DataFrame, requires: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(order, refused).  ``order`` (scope, id, level, place from 1, required) has the items of all scopes that aren't refused;
     ``required`` are the ``wanted`` (scope, id) and all that they require, over any number of steps."""
-    items = checkpointed(items.select("scope", "id").distinct())
-    requires = checkpointed(requires.select("scope", "id", "requires").distinct())
-    registered = checkpointed(requires.join(items.withColumnRenamed("id", "requires"), ["scope", "requires"], "left_semi").join(items, ["scope", "id"], "left_semi"))
+    items = written(items.select("scope", "id").distinct())
+    requires = written(requires.select("scope", "id", "requires").distinct())
+    registered = written(requires.join(items.withColumnRenamed("id", "requires"), ["scope", "requires"], "left_semi").join(items, ["scope", "id"], "left_semi"))
     levels, stuck = peeled(items, registered)
-    refused = checkpointed(refusals(items, requires, stuck))
+    refused = written(refusals(items, requires, stuck))
     node = lambda c: F.struct("scope", F.col(c).alias("id"))
     closure = graph.reach(registered.select(node("id").alias("src"), node("requires").alias("dst")), wanted.join(items, ["scope", "id"], "left_semi").select(node("id").alias("node")))
     accepted = levels.join(refused.select("scope"), "scope", "left_anti").join(closure.select("node.scope", "node.id", F.lit(True).alias("required")), ["scope", "id"], "left")

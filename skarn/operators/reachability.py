@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skarn.operators import graph
 from skarn.operators.evidence import standing_candidates
-from skarn.session import checkpointed
+from skarn.session import written
 
 ENTRY, TEST = 1, 2
 
@@ -40,14 +40,14 @@ def assumptions(files: DataFrame, entries: DataFrame, surfaces: DataFrame, tests
 def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, bits): the OR of the bits of all ``starts`` (node, bits) that reach a node over edges (src, dst).  Chains are
     contracted; each round only carries bits that are new at a node."""
-    plain = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
+    plain = written(edges.select("src", "dst").where("src <> dst").distinct())
     core, links, _ = graph.chains(plain, starts)
-    known = checkpointed(starts.select("node", "bits"))
+    known = written(starts.select("node", "bits"))
     front = known
     while not front.isEmpty():
         offers = core.join(front.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.bit_or("bits").alias("offer"))
         both = F.coalesce("bits", F.lit(0)).bitwiseOR(F.coalesce("offer", F.lit(0)))
-        merged = checkpointed(known.join(offers, "node", "full").select("node", both.alias("bits"), (both != F.coalesce("bits", F.lit(0))).alias("fresh")))
+        merged = written(known.join(offers, "node", "full").select("node", both.alias("bits"), (both != F.coalesce("bits", F.lit(0))).alias("fresh")))
         known, front = merged.select("node", "bits"), merged.where("fresh").select("node", "bits")
     heads = core.where("chain IS NOT NULL").select(F.col("src").alias("node"), "chain").join(known, "node").select("chain", "bits")
     return known.unionByName(links.join(heads, "chain").select("node", "bits"))
@@ -57,8 +57,8 @@ def unused(files: DataFrame, imports: DataFrame, exports: DataFrame, entries: Da
     """(category, path, symbol) of the production files (path, source_set) that no root reaches, and of the exports (path, symbol,
     kind: export or type) of reached ones that no reached file's import (src, dst, symbol; null: all symbols) names.  An entry's own exports
     are used."""
-    starts = checkpointed(roots(files, entries, tests_are_roots))
-    live = checkpointed(reached(imports, starts))
+    starts = written(roots(files, entries, tests_are_roots))
+    live = written(reached(imports, starts))
     production = files.where("source_set = 'production'").select("path")
     dead = production.join(live.select(F.col("node").alias("path")), "path", "left_anti")
     unused_files = dead.select(F.lit("file").alias("category"), "path", F.lit(None).cast("string").alias("symbol"))
