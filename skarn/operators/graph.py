@@ -116,7 +116,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Chains are contracted as long as that takes away many edges; a chain belongs to the component that its two outer
     nodes share."""
     edges = written(edges.select("src", "dst").distinct())
-    loops = [written(edges.where("src = dst").select(F.col("src").alias("node")))]
+    loops = written(edges.where("src = dst").select(F.col("src").alias("node")))
     edges = trimmed(edges.where("src <> dst"))
     found: list[DataFrame] = []
     contracted: list[tuple[DataFrame, DataFrame]] = []
@@ -124,27 +124,29 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while n:
         core, links, rings = chains(edges)
         found.append(rings.select("node", F.col("least").alias("component")))
-        contracted.append((core.where("chain IS NOT NULL"), links))
-        loops.append(core.where("src = dst").select(F.col("src").alias("node")))
+        contracted.append((core, links))
         edges = trimmed(core.where("src <> dst").select("src", "dst").distinct())
         left = edges.count()
         if left > FEWER * n:
             break
         n = left
     dense = _dense_components(edges)
-    empty = loops[0].withColumn("component", F.col("node")).limit(0)
-    known = empty if dense is None else dense
+    known = loops.withColumn("component", F.col("node")).limit(0) if dense is None else dense
     for part in found:
         known = known.unionByName(part)
-    looped = reduce(DataFrame.union, loops).distinct()
-    alone = looped.join(known.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
-    known = written(known.unionByName(alone))
-    for spans, links in reversed(contracted):
+
+    def with_alone(known: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Nodes with a loop that are in no component are one each."""
+        return written(known.unionByName(nodes.distinct().join(known.select("node"), "node", "left_anti").withColumn("component", F.col("node"))))
+
+    for core, links in reversed(contracted):
+        known = with_alone(known, core.where("src = dst").select(F.col("src").alias("node")))
         end = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))  # noqa: B023, E731
-        within = spans.join(end("src"), "src").join(end("dst"), "dst").where("src_component = dst_component").select("chain", F.col("src_component").alias("component"))
+        within = core.where("chain IS NOT NULL").join(end("src"), "src").join(end("dst"), "dst").where("src_component = dst_component").select("chain", F.col("src_component").alias("component"))
         known = written(known.unionByName(links.join(within, "chain").select("node", "component")))
+    known = with_alone(known, loops)
     least = known.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    kept = known.join(least, "component").join(loops[0].withColumn("loop", F.lit(True)), "node", "left")
+    kept = known.join(least, "component").join(loops.withColumn("loop", F.lit(True)), "node", "left")
     return kept.where("size > 1 OR loop").select("node", F.col("least").alias("component"))
 
 
