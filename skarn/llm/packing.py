@@ -7,8 +7,10 @@ gives whole windows first; the remainders are packed by minimum bin slack: the l
 remainder opens a window, a subset-sum dynamic programme over the bits of one integer finds
 the fill closest to capacity that the multiset of remaining lengths reaches, and backtracking
 gives the count of each length.  Equal lengths are one entry with a count, so copies cost
-nothing.  What no longer fills a window to within ``slack`` ids is cut into power-of-two
-sequences, which take no padding.
+nothing.  A fill that misses the capacity is closed by the first ids of one more remainder, whose rest goes
+on as a shorter one; as any that fits would be in the best fill, one cut always does.  So however few documents a
+task has, the programme chooses every window.  The last ids of a block, less than a window, are cut into
+power-of-two sequences, which take no padding either.
 
 Sequence ids: partition id * 2**36 + running number.
 
@@ -23,7 +25,9 @@ import json
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,6 @@ from pyspark.sql import functions as F
 CAPACITY = 4096
 END_ID = 2
 BLOCK_TOKENS = 1 << 22
-SLACK = 4
 CACHE_WORDS = 600_000
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -144,22 +147,30 @@ def fill(lengths: list[int], counts: dict[int, int], capacity: int) -> tuple[lis
     return sorted(taken.items(), reverse=True), first + best
 
 
-def minimum_slack(remaining: dict[int, int], capacity: int = CAPACITY, slack: int = SLACK) -> Iterator[list[int]]:
-    """Windows as lists of lengths.  Takes from ``remaining`` (length -> count) all that fills
-    windows to within ``slack``; leaves the rest there."""
+def minimum_slack(remaining: dict[int, int], capacity: int = CAPACITY) -> Iterator[tuple[list[int], int, int]]:
+    """(lengths, length of the remainder that closes the window or 0, ids of it that are taken) of full windows.  Takes from
+    ``remaining`` (length -> count) what they hold and leaves less than a window there."""
     left = sum(n * c for n, c in remaining.items())
-    lengths = sorted(remaining, reverse=True)
+    lengths = sorted((n for n, c in remaining.items() if c), reverse=True)
     while left >= capacity:
-        lengths = [n for n in lengths if remaining[n]]
         choice, total = fill(lengths, remaining, capacity)
-        if capacity - total > slack:
-            return
         window = []
         for n, c in choice:
             remaining[n] -= c
             window += [n] * c
-        left -= total
-        yield window
+        gap, closing = capacity - total, 0
+        if gap:
+            closing = next(n for n in lengths if remaining[n])
+            remaining[closing] -= 1
+            rest = closing - gap
+            remaining[rest] = remaining.get(rest, 0) + 1
+            if remaining[rest] == 1:
+                at = bisect_left(lengths, -rest, key=neg)
+                if at == len(lengths) or lengths[at] != rest:
+                    lengths.insert(at, rest)
+        left -= capacity
+        lengths = [n for n in lengths if remaining[n]]
+        yield window, closing, gap
 
 
 class Block:
@@ -187,12 +198,16 @@ class Block:
             if n % cap:
                 remaining[n % cap] = remaining.get(n % cap, 0) + 1
                 holders.setdefault(n % cap, []).append((d, n - n % cap))
-        for window in minimum_slack(remaining, cap):
+        for window, closing, gap in minimum_slack(remaining, cap):
             offset = 0
             for n in window:
                 d, start = holders[n].pop()
                 yield piece(d, start, n, offset)
                 offset += n
+            if closing:
+                d, start = holders[closing].pop()
+                yield piece(d, start, gap, offset)
+                holders.setdefault(closing - gap, []).append((d, start + gap))
             self.number += 1
         rest = [(d, start, n) for n in sorted(holders, reverse=True) for d, start in holders[n]]
         left = sum(n for _, _, n in rest)
