@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,27 +41,32 @@ def scripts(packages: DataFrame) -> DataFrame:
     return packages.where("directory = '.' AND has_manifest").select("repo", F.explode(parsed).alias("name", "command"))
 
 
-def _commands(text: str) -> list[tuple[int, str]]:
-    out, block = [], None
-    for n, line in enumerate(text.split("\n"), 1):
-        indent = len(line) - len(line.lstrip())
-        if block is not None:
-            if not line.strip():
-                continue
-            if indent > block:
-                out.append((n, line.strip()))
-                continue
-            block = None
-        m = re.match(r"(\s*)-?\s*run:\s*(\S.*)$", line)
-        if m and re.fullmatch(r"[|>]-?\s*", m[2]):
-            block = len(m[1])
-        elif m:
-            out.append((n, m[2].strip()))
+def _scalars(node: yaml.Node | None, key: str) -> Iterator[yaml.ScalarNode]:
+    """The values of ``key`` that are scalars, in all mappings of a document; an anchor's node is met once at each place."""
+    for child in node.value if isinstance(node, yaml.CollectionNode) else []:
+        if isinstance(child, tuple):
+            name, value = child
+            if name.value == key and isinstance(value, yaml.ScalarNode):
+                yield value
+            child = value
+        yield from _scalars(child, key)
+
+
+def _told(text: str, key: str) -> list[tuple[int, str]]:
+    """(line, text) of each value of ``key``; of a block each line that isn't blank."""
+    source, out = text.split("\n"), []
+    for node in _scalars(yaml.compose(text, yaml.SafeLoader), key):
+        first, last = node.start_mark.line, node.end_mark.line
+        if node.style in ("|", ">"):
+            out += [(n + 1, line) for n in range(first + 1, min(last + 1, len(source))) if (line := source[n].strip()) and line in node.value]
+        elif node.value.strip():
+            out.append((first + 1, node.value.strip()))
     return out
 
 
-def _workflows(targets: DataFrame, steps, third: str) -> DataFrame:
-    """repo, workflow, line and what ``steps`` finds in each file below .github/workflows."""
+def _workflows(targets: DataFrame) -> DataFrame:
+    """repo, workflow, line, key (run or uses), value of each file below .github/workflows; a file that can't be read or isn't YAML
+    is one row with its ``problem``."""
 
     def read(batches):
         for batch in batches:
@@ -69,25 +75,30 @@ def _workflows(targets: DataFrame, steps, third: str) -> DataFrame:
                 folder = Path(root, ".github", "workflows")
                 for name in sorted(os.listdir(folder)) if folder.is_dir() else []:
                     if name.endswith((".yml", ".yaml")):
-                        rows += [(repo, f".github/workflows/{name}", n, c) for n, c in steps((folder / name).read_text(errors="replace"))]
-            yield pd.DataFrame(rows, columns=["repo", "workflow", "line", third])
+                        where = repo, f".github/workflows/{name}"
+                        try:
+                            text = (folder / name).read_text(errors="replace")
+                            rows += [(*where, n, key, told, None) for key in ("run", "uses") for n, told in _told(text, key)]
+                        except (OSError, yaml.YAMLError, RecursionError) as problem:
+                            rows.append((*where, None, None, None, type(problem).__name__))
+            yield pd.DataFrame(rows, columns=["repo", "workflow", "line", "key", "value", "problem"]).astype({"line": "Int32"})
 
-    return targets.select("repo", "root").mapInPandas(read, f"repo string, workflow string, line int, {third} string")
+    return targets.select("repo", "root").mapInPandas(read, "repo string, workflow string, line int, key string, value string, problem string")
 
 
 def workflow_commands(targets: DataFrame) -> DataFrame:
     """repo, workflow, line, command of the ``run`` steps below .github/workflows."""
-    return _workflows(targets, _commands, "command")
-
-
-def _actions(text: str) -> list[tuple[int, str]]:
-    found = ((n, re.match(r"\s*-?\s*uses:\s*(\S+)\s*$", line)) for n, line in enumerate(text.split("\n"), 1))
-    return [(n, m[1]) for n, m in found if m]
+    return _workflows(targets).where("key = 'run'").select("repo", "workflow", "line", F.col("value").alias("command"))
 
 
 def workflow_actions(targets: DataFrame) -> DataFrame:
     """repo, workflow, line, action of the ``uses`` steps."""
-    return _workflows(targets, _actions, "action")
+    return _workflows(targets).where("key = 'uses'").select("repo", "workflow", "line", F.col("value").alias("action"))
+
+
+def workflow_problems(targets: DataFrame) -> DataFrame:
+    """repo, workflow, problem of the workflows that can't be read; they stop no other."""
+    return _workflows(targets).where("problem IS NOT NULL").select("repo", "workflow", "problem")
 
 
 def reachable_scripts(declared: DataFrame, commands: DataFrame) -> DataFrame:

@@ -59,8 +59,11 @@ def surface_files(targets: DataFrame) -> DataFrame:
                     for path in paths:
                         file = Path(root, path)
                         if file.is_file():
-                            text = file.read_text(encoding="utf-8", errors="replace")
-                            rows.append((repo, root, path, text, _sound(form, text)))
+                            try:
+                                text = file.read_text(encoding="utf-8", errors="replace")
+                                rows.append((repo, root, path, text, _sound(form, text)))
+                            except OSError:
+                                rows.append((repo, root, path, "", False))
             yield pd.DataFrame(rows, columns=["repo", "root", "path", "text", "sound"])
 
     return targets.select("repo", "root").mapInPandas(read, "repo string, root string, path string, text string, sound boolean")

@@ -11,7 +11,7 @@ from skarn.plans.history import RUN, split
 def run_stream(spark: SparkSession, store: str, files_per_batch: int = 1000) -> DataFrame:
     """The runs as writers put them into the store, without their findings; those of a writer that hasn't committed too."""
     schema = split({"runs": spark.createDataFrame([], RUN)})["runs"].schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{store}/data/*/runs")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{store}/data/runs").drop("txn")
 
 
 def index_by_day(runs: DataFrame, lateness: str = "1 day") -> DataFrame:

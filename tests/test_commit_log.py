@@ -51,8 +51,8 @@ def test_two_writers_and_a_failed_one(spark, tmp_path):
     for t in threads:
         t.join()
     assert [i for i, _ in values(late)] == ["a", "b", "c", "own0", "own1", "own2", "own3", "shared", "x"]
-    rows(spark, "lost").write.parquet(f"{folder}/data/0123/main")  # a writer that never committed
-    assert ("lost", 1) not in values(late) and late.vacuum() == ["0123"]
+    rows(spark, "lost").write.parquet(f"{folder}/data/main/txn=0123")  # a writer that never committed
+    assert ("lost", 1) not in values(late) and late.vacuum() == ["data/main/txn=0123"]
 
 
 def test_migrations_and_rewrite(spark, tmp_path):
@@ -65,7 +65,7 @@ def test_migrations_and_rewrite(spark, tmp_path):
     want = [("a", 10, "two"), ("b", 5, "new")]
     assert sorted(tuple(r) for r in new.read()["main"].collect()) == want and sorted(r.id for r in new.read()["more"].collect()) == ["a", "b"]
     assert new.rewrite() == 3 and [(c["version"], c["format"]) for c in new.commits()] == [(3, 5)]
-    assert sorted(tuple(r) for r in new.read()["main"].collect()) == want and len(new.vacuum()) == 2
+    assert sorted(tuple(r) for r in new.read()["main"].collect()) == want and len(new.vacuum()) == 3
     assert new.append({"main": added}, "id", "main") is None
     for wrong in ([(2, None), (2, None)], [(3, None), (2, None)], [(0, None)]):
         with pytest.raises(MigrationError):
@@ -91,7 +91,11 @@ def test_store_of_version_one(spark, tmp_path):
     assert history.append(run(spark, "two", "2024-01-02 00:00:00", ["c.ts"]), store) is None
     want.append(("two", "2024-01-02 00:00:00", ["c.ts"]))
     assert read() == want and sorted((r.repo, r.path) for r in history.load_findings(spark, store).collect()) == [("007", "a.ts"), ("007", "b.ts"), ("two", "c.ts")]
+    assert history.append(run(spark, "9", "2024-01-03 00:00:00", ["d.ts"]), store) == 2
+    want.append(("9", "2024-01-03 00:00:00", ["d.ts"]))
+    assert read() == sorted(want)
+    want.sort()
     history.store_log(spark, store).rewrite("repo")
     assert read() == want
-    assert [(r.repo, str(r.audited_at)) for r in history.latest_full(history.load_runs(spark, store)).orderBy("repo").collect()] == [("007", "2024-01-01 00:00:00"), ("two", "2024-01-02 00:00:00")]
+    assert [(r.repo, str(r.audited_at)) for r in history.latest_full(history.load_runs(spark, store)).orderBy("repo").collect()] == [("007", "2024-01-01 00:00:00"), ("9", "2024-01-03 00:00:00"), ("two", "2024-01-02 00:00:00")]
     assert history.load(spark, str(tmp_path / "none")).count() == 0
