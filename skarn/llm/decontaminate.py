@@ -4,16 +4,18 @@ For each benchmark item, windows of the item's own length in words slide over th
 A window's and an item's fingerprint is the SimHash of ``BITS`` bits of its five-word shingles, weighted by
 how rare they are among the items.  It has ``BLOCKS`` blocks of 16 bits: two fingerprints within
 ``RADIUS`` bits agree to within ``NEAR`` bits in one block at least, as ``BLOCKS * (NEAR + 1) > RADIUS``.
-Each item is filed under all values within ``NEAR`` bits of its own, in each block, so looking up a window's
-blocks finds every item within the radius.  What is found there is verified by the exact
+For each length and block all values within ``NEAR`` bits of an item's are marked, so a window that meets no mark
+is within the radius of no item; one that does is held against the items' values in that block, and
+so every item within the radius is found.  What is found there is verified by the exact
 weighted similarity, ``sum(w * min) / sum(w * max)`` over shingle counts, of ``SIMILARITY``
 or more; the best window of each (document, item) is returned.
 
 Windows without any shingle of an item have similarity 0 with it, so only windows that hold one are
 fingerprinted (for the lengths of the items that have it).
 
-Items are a query set: the index is built for blocks of ``ITEM_BLOCK`` items, each held against
-all documents, so what the executors hold is bounded however many items there are.
+Items are a query set: the index is built for blocks of ``ITEM_BLOCK`` items or ``ITEM_CHARS`` characters, one
+after the other, each held against all documents.  Between two blocks the rows are checkpointed and the
+index before is let go, so a task has one worker and one index however many items there are.
 
 Words are compared without regard to case, in all scripts.
 
@@ -43,7 +45,10 @@ BLOCKS = BITS // 16
 NEAR = 3
 RADIUS = BLOCKS * (NEAR + 1) - 1
 WINDOWS = 8192  # places whose windows are fingerprinted at once
-ITEM_BLOCK = 1024
+ITEM_BLOCK = 4096
+ITEM_CHARS = 2_000_000  # a block ends with the item that reaches it
+FEW = 16  # items of one length that are looked through without marks
+PAIRS = 1 << 20  # (window, item) looked at at once
 FILTER_BITS = 22
 
 SCHEMA = "doc_id bigint, item_id bigint, first_word int, n_words int, distance int, similarity double"
@@ -81,19 +86,25 @@ class Index:
                 self.prints[o] = fingerprints((signs(h) * w[:, None]).sum(0)[None])[0]
         self.sizes = np.unique(self.size)
         self.short = sorted({int(n) for n in self.size if 0 < n < SHINGLE})
-        self.files: list[tuple[np.ndarray, np.ndarray]] = []
+        self.marks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray | None]] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"files": []}  # each worker files the items itself
-
-    def file(self) -> None:
-        """By block, (value and size as one number, item) of every value near an item's own, sorted."""
-        rank = np.searchsorted(self.sizes, self.size)
-        mine = self.prints.view(np.uint16).reshape(len(self.ids), BLOCKS)
-        for b in range(BLOCKS):
-            keys = ((mine[:, b, None] ^ _CHANGES).astype(np.int64) << 16 | rank[:, None]).ravel()
-            by = np.argsort(keys, kind="stable")
-            self.files.append((keys[by], (by // len(_CHANGES)).astype(np.int16)))
+        return self.__dict__ | {"marks": {}}  # each worker marks the lengths that it meets
+
+    def marked(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(items of a size, their values by block, bits of all values near one of them by block; 128 KB, none for a ``FEW`` items)."""
+        if size not in self.marks:
+            items = np.flatnonzero(self.size == size)
+            values = np.ascontiguousarray(self.prints[items]).view(np.uint16).reshape(len(items), BLOCKS)
+            bits = None
+            if len(items) >= FEW:
+                bits = np.zeros((BLOCKS, 1 << 13), np.uint8)
+                for b in range(BLOCKS):
+                    near = np.zeros(1 << 16, bool)
+                    near[values[:, b, None] ^ _CHANGES] = True
+                    bits[b] = np.packbits(near, bitorder="little")
+            self.marks[size] = items, values, bits
+        return self.marks[size]
 
     def found(self, hashes: np.ndarray) -> np.ndarray:
         """Places of the hashes that some item has."""
@@ -105,18 +116,22 @@ class Index:
 
     def within(self, prints: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
         """(place in prints, item, distance) of all items of a size within RADIUS, by way of the blocks."""
-        if not self.files:
-            self.file()
-        rank = int(np.searchsorted(self.sizes, size))
+        items, values, bits = self.marked(size)
+        if not len(items) or not len(prints):
+            return
         theirs = prints.view(np.uint16).reshape(len(prints), BLOCKS)
+        step = max(1, PAIRS // len(items))
         met = []
-        for b, (keys, items) in enumerate(self.files):
-            wanted = theirs[:, b].astype(np.int64) << 16 | rank
-            low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, side="right")
-            n = high - low
-            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            met.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + items[at])
-        place, item = np.divmod(np.unique(np.concatenate(met)), len(self.ids))
+        for b in range(BLOCKS):
+            mine = theirs[:, b]
+            places = np.arange(len(prints)) if bits is None else np.flatnonzero((bits[b][mine >> 3] >> (mine & 7).astype(np.uint8)) & 1)
+            for part in (places[x : x + step] for x in range(0, len(places), step)):
+                p, i = np.nonzero(np.bitwise_count(mine[part, None] ^ values[:, b]) <= NEAR)
+                met.append(part[p] * len(items) + i)
+        if not met:
+            return
+        place, item = np.divmod(np.unique(np.concatenate(met)), len(items))
+        item = items[item]
         far = np.bitwise_count(prints[place] ^ self.prints[item]).sum(1)
         near = far <= RADIUS
         yield from zip(place[near].tolist(), item[near].tolist(), far[near].tolist(), strict=True)
@@ -220,7 +235,8 @@ def _frequencies(items: DataFrame, text: str) -> DataFrame:
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Index]:
     """Indexes over blocks of items, read one block at a time; shingles weigh by their frequency in all items."""
     total = items.count()
-    held = checkpointed(_frequencies(items, text)) if total > ITEM_BLOCK else None
+    chars = items.agg(F.coalesce(F.sum(F.length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    held = checkpointed(_frequencies(items, text)) if total > ITEM_BLOCK or chars >= ITEM_CHARS else None
 
     def index(ids: list, texts: list) -> Index:
         if held is None:
@@ -234,13 +250,14 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Index]:
         found = held.mapInArrow(of_block, "h bigint, n bigint").collect()
         return Index(ids, texts, {r.h % (1 << 64): r.n for r in found}, total)
 
-    ids, texts = [], []
+    ids, texts, size = [], [], 0
     for r in items.select(F.col(item_id).cast("bigint"), F.col(text).cast("string")).toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
-        if len(ids) == ITEM_BLOCK:
+        size += len(r[1] or "")
+        if len(ids) == ITEM_BLOCK or size >= ITEM_CHARS:
             yield index(ids, texts)
-            ids, texts = [], []
+            ids, texts, size = [], [], 0
     if ids:
         yield index(ids, texts)
 
@@ -249,8 +266,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     """One row for each (document, item) that has a window of the item's length at SIMILARITY."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string"))
-    parts = []
+    parts: list[DataFrame] = []
+    held = None
     for index in _blocks(items, item_id, text):
+        if parts:
+            parts[-1] = checkpointed(parts[-1])
+            held.unpersist()
         held = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -268,7 +289,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any matching window, with all their columns."""
     place, schema = docs.columns.index(text), docs.schema
+    held = None
     for index in _blocks(items, item_id, item_text):
+        if held is not None:
+            docs = checkpointed(docs)
+            held.unpersist()
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
