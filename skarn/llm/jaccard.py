@@ -48,7 +48,7 @@ PERCENT = 90
 FREQUENT = 20_000
 LEAST_FREQUENT = 512
 FREQUENT_ROWS = 2048  # a token of more than one row in so many is frequent
-HELD = 1 << 20
+HELD = 1 << 21  # tokens that a task counts at once
 HEAVY_SALTS = 128
 HEAVY_PARTS, HEAVY_ROWS = 1000, 1000  # a key of more than this part and number of all rows is heavy
 RANGE_TOKENS = 2_000_000
@@ -82,31 +82,47 @@ def unplanes(x: bytes, width: int) -> np.ndarray:
 def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
     """(frequent tokens, rarest first; number of tokens of all rows).
 
-    Each task adds up the tokens that two rows of a batch have, over all its batches, and reports those
-    of one row in ``FREQUENT_ROWS``; of more than ``HELD`` at once it forgets the rarest.  So a token of a
-    larger share of all rows is found however it is spread, and what is missed is an ordinary token."""
+    Each task counts all its tokens; of more than ``HELD`` it takes from every count that of the first one too
+    many, and forgets those that come to nothing.  A count is thus too low by ``lost`` at most, which is no more than
+    a ``HELD``-th of the task's tokens.  Tokens of one row in ``FREQUENT_ROWS`` are reported, allowing for
+    ``lost`` up to half of that: all of them are found, however they are spread, where rows have
+    ``HELD / FREQUENT_ROWS / 2`` tokens or fewer on average; where they have more, those of a ``HELD``-th of all tokens more."""
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        tokens, place = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
-        return tokens, np.bincount(place, weights=np.concatenate([c for _, c in parts]), minlength=len(tokens)).astype(np.int64)
+    def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        tokens, counts = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        by = np.argsort(tokens, kind="stable")  # two sorted runs
+        tokens, counts = tokens[by], counts[by]
+        at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
+        return tokens[at], np.add.reduceat(counts, at) if len(at) else counts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = rows = size = 0
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        total = rows = size = lost = 0
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        waiting: list[np.ndarray] = []
+
+        def settle() -> None:
+            nonlocal held, waiting, size, lost
+            if waiting:
+                t, c = merged(held, np.unique(np.concatenate(waiting), return_counts=True))
+                if len(t) > HELD:
+                    cut = int(np.partition(c, len(c) - HELD - 1)[len(c) - HELD - 1])
+                    lost += cut
+                    c = c - cut
+                    t, c = t[c > 0], c[c > 0]
+                held, waiting, size = (t, c), [], 0
+
         for batch in batches:
-            tokens = [t for _, _, _, t in token_sets(batch.column(1), words)]
-            tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            total += len(tokens)
             rows += batch.num_rows
-            t, c = np.unique(tokens, return_counts=True)
-            parts.append((t[c > 1], c[c > 1]))
-            size += len(parts[-1][0])
-            if size > 2 * HELD:
-                t, c = merged(parts)
-                keep = np.argsort(-c, kind="stable")[:HELD]
-                parts, size = [(t[keep], c[keep])], len(keep)
-        t, c = merged(parts)
-        often = c >= max(8, rows // FREQUENT_ROWS)
+            for _, _, _, tokens in token_sets(batch.column(1), words):
+                waiting.append(tokens)
+                total += len(tokens)
+                size += len(tokens)
+                if size > HELD:
+                    settle()
+        settle()
+        t, c = held
+        least = max(8, rows // FREQUENT_ROWS)
+        often = c >= least - min(lost, least // 2)
         yield pa.RecordBatch.from_arrays([pa.array([*t[often].astype(np.int64), -1], pa.int64()), pa.array([*c[often], total], pa.int64())], ["token", "n"])
 
     counts = checkpointed(texts.mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))

@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 import pytest
 
-from skarn.llm import balls, repair, sharding
+from skarn.llm import balls, decontaminate, jaccard, repair, sharding
 
 SCHEMA = "doc_id bigint, text string, shard int, size string, slot string, key string, row string, at string"
 
@@ -279,3 +279,39 @@ def test_whole_balls_are_exact():
     assert np.array_equal(cluster, exact) and whole > 1000
     again = balls.BallTree.read(tree.columns(), 16)
     assert np.array_equal(again.vectors, tree.vectors) and np.array_equal(again.radii, tree.radii)
+
+
+# --- blocks of items, frequent tokens --------------------------------------------------------
+
+
+def test_blocks_of_items_give_what_one_block_gives(spark, monkeypatch):
+    """Many items of one length (marked) and of lengths of their own, in one block and in blocks of 7."""
+    r = random.Random(12)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(20 if i < 30 else i))) for i in range(50)]
+    rows = [(i, " ".join([*(f"d{r.randrange(999)}" for _ in range(30)), *(items[i % 50][1].split() if i % 3 else [])])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df = spark.createDataFrame(items, "item_id bigint, text string")
+
+    def found():
+        pairs = sorted((x.doc_id, x.item_id, x.first_word) for x in decontaminate.find_contamination(docs, df).collect())
+        return pairs, sorted(x.doc_id for x in decontaminate.keep_uncontaminated(docs, df).collect())
+
+    whole = found()
+    assert whole == ([(i, i % 50, 30) for i in range(90) if i % 3], [i for i in range(90) if i % 3 == 0])
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 7)
+    assert found() == whole
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 4096)
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 900)
+    assert found() == whole
+
+
+def test_tokens_of_every_share_over_the_bound_are_found(spark, monkeypatch):
+    shares = [2048, 1500, 1200, 1000, 870, 700]
+    rows = [(i, " ".join([f"u{i}v{k}" for k in range(3)] + [f"t{s} x{s} y{s}" for s in shares if i % s == 0])) for i in range(2048 * 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    hashes = jaccard.shingle_hashes(*jaccard.word_hashes(jaccard.pa.array([f"t{s} x{s} y{s}" for s in shares])), 3)[0]
+    want = {int(h) >> 10 for h in hashes}
+    monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 8)
+    for held in (1 << 21, 1 << 14):
+        monkeypatch.setattr(jaccard, "HELD", held)
+        assert want <= set(jaccard.frequent_tokens(df, 3)[0].tolist())
