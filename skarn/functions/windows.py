@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def codes(words: Column) -> Column:
 
 def parts(column: pa.Array, limit: int = PART_TOKENS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, offsets, codes) of runs of rows of about ``limit`` codes, one row at least."""
-    sizes = np.asarray(pa.compute.list_value_length(column).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.list_value_length(column).fill_null(0), dtype=np.int64)
     block = (np.cumsum(sizes) - sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(column)] if len(column) else [0]
     for a, b in zip(cuts, cuts[1:], strict=False):

@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,9 +190,9 @@ def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int
     blocks = texts.mapInArrow(send, "range int, key bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, frequent array<int>, tokens binary, rows binary")
 
     def meet(table: pa.Table) -> pa.Table:
-        whole = pa.compute.is_valid(table.column("n"))
+        whole = pc.is_valid(table.column("n"))
         rows = table.filter(whole)
-        packed = table.filter(pa.compute.invert(whole))
+        packed = table.filter(pc.invert(whole))
         tokens = [unplanes(x.as_py(), 7) for x in packed.column("tokens")]
         keys = [unplanes(x.as_py(), 4) + np.uint64(k.as_py()) for x, k in zip(packed.column("rows"), packed.column("key"), strict=True)]
         t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
@@ -249,8 +250,8 @@ def with_prefixes(met: DataFrame, percent: int) -> DataFrame:
     numbers), and its prefix under each order."""
 
     def cut(table: pa.Table) -> pa.Table:
-        whole = pa.compute.is_valid(table.column("n"))
-        packed = table.filter(pa.compute.invert(whole))
+        whole = pc.is_valid(table.column("n"))
+        packed = table.filter(pc.invert(whole))
         keys = [unplanes(x.as_py(), 8) for x in packed.column("keys")]
         entries = [unplanes(x.as_py(), 5) | np.uint64(r.as_py() << 40) for x, r in zip(packed.column("entries"), packed.column("range"), strict=True)]
         k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
