@@ -24,19 +24,18 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.labelled import held_out
-from skarn.llm.text import checkpointed, words_of
+from skarn.llm.text import checkpointed, slices
 
 FOLDS = 7
 LOOKUP = 100_000
@@ -48,9 +47,10 @@ GAIN = 1e-3  # a round that improves the log likelihood of the training texts by
 GUESSES = 2
 PIECE = 1024  # symbols of a text that are worked on at once; what is before and after is carried exactly
 GROUP = 1024  # pieces that are worked on at once
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 END = b"\n"  # no word holds white space
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 2_000_000
+SLICE = 1 << 22  # bytes of text whose words are looked up at once
 
 
 def word_class(word: bytes) -> int:
@@ -62,7 +62,7 @@ SYMBOLS = OWN + 1 + CLASSES
 
 @dataclass
 class Lexicon:
-    index: dict[bytes, int]  # of the words looked up
+    words: pa.Array  # that are looked up
     symbol: np.ndarray
     log_count: np.ndarray  # log10(c + 1)
     tokens: int
@@ -70,35 +70,46 @@ class Lexicon:
     class_log: np.ndarray  # by symbol: log10(N_class + V_class + 1); 0 for a symbol of its own
     ends: int
 
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(symbols with the end, place in the lookup or -1, words that aren't in the lookup)."""
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        out = np.zeros(len(words) + 1, np.int16)
-        out[:-1] = self.symbol[at] if len(self.symbol) else 0
-        out[-1] = OWN
+    def symbols(self, words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols of texts of ``sizes`` words, an end after each; each word's symbol; its place in the lookup or -1)."""
+        at = np.asarray(pc.index_in(words, value_set=self.words).fill_null(-1), dtype=np.int64)
+        each = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int16)
         gone = np.flatnonzero(at < 0)
-        others = [words[i] for i in gone.tolist()]
-        out[gone] = [word_class(w) for w in others]
-        return out, at, others
+        each[gone] = [word_class(w) for w in words.take(pa.array(gone)).to_pylist()]
+        out = np.full(len(at) + len(sizes), OWN, np.int16)
+        out[np.arange(len(at)) + np.repeat(np.arange(len(sizes)), sizes)] = each
+        return out, each, at
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts (as ``words_of`` gives them), and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, sizes = lists.flatten().cast(pa.binary()), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    full = np.asarray(pc.greater(pc.binary_length(words), 0))
+    if full.all():
+        return words, sizes
+    return words.filter(pa.array(full)), np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
 
 
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) of all training texts; END has the number of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        def out(parts: list[pa.Array], texts: int) -> pa.RecordBatch:
+            seen = pa.chunked_array(parts, pa.binary()).value_counts()
+            words = pa.concat_arrays([seen.field("values"), pa.array([END], pa.binary())])
+            return pa.RecordBatch.from_arrays([words, pa.concat_arrays([seen.field("counts"), pa.array([texts], pa.int64())])], ["word", "n"])
 
+        parts, texts, size = [], 0, 0
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                seen.update(words_of(x))
-                seen[END] += 1
-            if len(seen) > FLUSH_WORDS:
-                yield out()
-                seen = Counter()
-        yield out()
+            for _, part in slices(batch.column(0), SLICE):
+                parts.append(words_in(part)[0])
+                texts += len(part)
+                size += len(parts[-1])
+                if size > FLUSH_WORDS:
+                    yield out(parts, texts)
+                    parts, texts, size = [], 0, 0
+        yield out(parts, texts)
 
     return train.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -134,7 +145,7 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
             class_log[r.k] = math.log10(r.n + r.v + 1)
     symbol = np.array([i if i < OWN else word_class(w) for i, (w, _) in enumerate(rows)], np.int16)
     log_count = np.log10(np.array([n for _, n in rows], float) + 1)
-    return Lexicon({w: i for i, (w, _) in enumerate(rows)}, symbol, log_count, total[0], total[1], class_log, ends)
+    return Lexicon(pa.array([w for w, _ in rows], pa.binary()), symbol, log_count, total[0], total[1], class_log, ends)
 
 
 @dataclass
@@ -224,15 +235,16 @@ def pieces_of(model: Model, symbols: np.ndarray, lengths: np.ndarray, both_ways:
 def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 likelihood of each text of symbols."""
     pieces = pieces_of(model, symbols, lengths, both_ways=False)
-    logs, ones = np.zeros(len(pieces.text)), np.ones(len(model.start))
+    onward, emits = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)  # a row for each state, as in ``expectation``
+    logs = np.zeros(len(pieces.text))
     for part in _groups(pieces.length):
         at, lasting = pieces.first[part], _lasting(pieces.length[part])
         mine = np.zeros(len(part))
-        alpha = pieces.prior[part]
+        alpha = np.ascontiguousarray(pieces.prior[part].T)
         for t, n in enumerate(lasting):
-            alpha = (alpha[:n] @ model.move if t else alpha) * model.emit[symbols[at[:n] + t]]
-            scale = alpha @ ones
-            alpha /= scale[:, None]
+            alpha = (onward @ alpha[:, :n] if t else alpha) * emits.take(symbols[at[:n] + t], axis=1)
+            scale = alpha.sum(0)
+            alpha /= scale
             mine[:n] += np.log10(scale)
         logs[part] = mine
     return np.bincount(pieces.text, weights=logs, minlength=len(lengths))
@@ -248,40 +260,42 @@ def expectation(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple
     pieces = pieces_of(model, symbols, lengths)
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((SYMBOLS, states))
-    ones, log = np.ones((states, 1)), 0.0
+    # A row for each state: numpy then works along the pieces, not along the few states.
+    onward, back, emits = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.move), np.ascontiguousarray(model.emit.T)
+    log = 0.0
     for part in _groups(pieces.length):
         at, lasting = pieces.first[part], _lasting(pieces.length[part])
-        prior, before, after = pieces.prior[part], pieces.before[part], pieces.after[part]
-        alphas, scaled, seen = [], [], []
-        for t, n in enumerate(lasting):
-            seen.append(symbols[at[:n] + t])
-            e = model.emit[seen[-1]]
-            a = (alphas[-1][:n] @ model.move if t else prior) * e
-            c = a @ ones
-            a /= c
-            e /= c
-            log += float(np.log10(c).sum())
-            alphas.append(a)
-            scaled.append(e)
-        gammas = []
-        beta = after[:0]
+        prior, before, after = (np.ascontiguousarray(x[part].T) for x in (pieces.prior, pieces.before, pieces.after))
+        ends = np.cumsum(lasting)
+        seen = symbols[np.concatenate([at[:n] + t for t, n in enumerate(lasting)])]  # step by step
+        scaled, alphas, scales = emits.take(seen, axis=1), np.empty((states, len(seen))), np.empty(len(seen))
+        steps = [slice(end - n, end) for end, n in zip(ends.tolist(), lasting, strict=True)]
+        for t, (n, now) in enumerate(zip(lasting, steps, strict=True)):
+            a, e, c = alphas[:, now], scaled[:, now], scales[now]
+            np.multiply(onward @ last[:, :n] if t else prior, e, out=a)
+            a.sum(0, out=c)
+            by = 1 / c
+            a *= by
+            e *= by
+            last = a
+        log += float(np.log10(scales).sum())
+        beta = after[:, :0]
         for t in range(len(lasting) - 1, -1, -1):
-            n = len(beta)
-            ending = after[n : lasting[t]]
-            if len(ending):
-                ending = ending / ((alphas[t][n:] * ending) @ ones)
+            n, a = beta.shape[1], alphas[:, steps[t]]
+            ending = after[:, n : lasting[t]]
+            if ending.shape[1]:
+                ending = ending / (a[:, n:] * ending).sum(0)
             if n:
-                ahead = scaled[t + 1] * beta
-                move += alphas[t][:n].T @ ahead
-                beta = ahead @ model.move.T
-                beta = np.concatenate([beta, ending]) if len(ending) else beta
+                ahead = scaled[:, steps[t + 1]] * beta
+                move += a[:, :n] @ ahead.T
+                beta = back @ ahead
+                beta = np.concatenate([beta, ending], axis=1) if ending.shape[1] else beta
             else:
                 beta = ending
-            gammas.append(alphas[t] * beta)
-        move += before.T @ (scaled[0] * beta)
-        start += gammas[-1][~before.any(1)].sum(0)
-        g, s = np.concatenate(gammas[::-1]), np.concatenate(seen)
-        emit += np.stack([np.bincount(s, weights=g[:, k], minlength=SYMBOLS) for k in range(states)], 1)
+            a *= beta  # now the probability of each state
+        move += before @ (scaled[:, steps[0]] * beta).T
+        start += alphas[:, steps[0]][:, ~before.any(0)].sum(1)
+        emit += np.stack([np.bincount(seen, weights=alphas[k], minlength=SYMBOLS) for k in range(states)], 1)
     return start, move * model.move, emit, log
 
 
@@ -293,16 +307,21 @@ def training_texts(train: DataFrame, lexicon: Lexicon) -> DataFrame:
         parts, size = [], 0
 
         def out() -> pa.RecordBatch:
-            lengths = np.array([len(p) for p in parts], "<i4")
-            return pa.RecordBatch.from_arrays([pa.array([lengths.tobytes()], pa.binary()), pa.array([np.concatenate(parts).astype("<i2").tobytes()], pa.binary())], ["lengths", "symbols"])
+            lengths, symbols = (np.concatenate(x).astype(kind).tobytes() for x, kind in zip(zip(*parts, strict=True), ("<i4", "<i2"), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([lengths], pa.binary()), pa.array([symbols], pa.binary())], ["lengths", "symbols"])
 
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                parts.append(held.value.symbols(words_of(x))[0])
-                size += len(parts[-1])
-                if size >= BLOCK:
-                    yield out()
-                    parts, size = [], 0
+            for _, part in slices(batch.column(0), SLICE):
+                words, sizes = words_in(part)
+                symbols, lengths = held.value.symbols(words, sizes)[0], sizes + 1
+                ends = np.cumsum(lengths)
+                cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK)) + 1).tolist(), len(ends)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    parts.append((lengths[a:b], symbols[ends[a] - lengths[a] : ends[b - 1]]))
+                    size += len(parts[-1][1])
+                    if size >= BLOCK:
+                        yield out()
+                        parts, size = [], 0
         if parts:
             yield out()
 
@@ -413,36 +432,49 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         lexicon, model = held.value
         context = TaskContext.get()
         key = (context.partitionId() if context else 0) << 33
-        rows: list[tuple] = []
-        pending: list[np.ndarray] = []
-        tails: list[tuple] = []
+        pending: list[tuple] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            logs = forward(model, np.concatenate(pending).astype(np.int64), np.array([len(p) for p in pending]))
-            table = [(*r[:-1], r[-1] + s, END + b"%d" % r[0], 0) for r, s in zip(rows, logs.tolist(), strict=True)] + tails
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-            names = ("key", "doc_id", "n_tokens", "known", "base", "own", "word", "times")
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in table], t) for i, t in enumerate(types)], list(names))
-
-        size = 0
+            docs, *facts, symbols, places, words, times = zip(*pending, strict=True)
+            lengths, known, base, own = (np.concatenate(x) for x in facts)
+            own = own + forward(model, np.concatenate(symbols).astype(np.int64), lengths)
+            keys, others = key + np.arange(len(lengths)), np.concatenate(places)
+            none = lambda kind: pa.nulls(len(others), kind)
+            facts = [pa.concat_arrays([pa.array(x), none(pa.array(x).type)]) for x in (lengths, known, base, own)]
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([keys, keys[others]])),
+                pa.concat_arrays([*docs, none(pa.int64())]),
+                *facts,
+                pa.concat_arrays([pa.array([END + b"%d" % k for k in keys.tolist()], pa.binary()), *words]),
+                pa.array(np.concatenate([np.zeros(len(keys), np.int64), *times])),
+            ], ["key", "doc_id", "n_tokens", "known", "base", "own", "word", "times"])
+
+        seen = 0
         for batch in batches:
-            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(x)
-                symbols, at, others = lexicon.symbols(words)
-                found = at[at >= 0]
-                logs = lexicon.log_count[found]
-                n = len(words) + 1
-                classed = lexicon.symbol[found] >= OWN
-                own = logs[classed].sum() - lexicon.class_log[symbols].sum()
-                rows.append((key, doc, n, len(found) + end_known, logs.sum() + end_log - n * base_log, own))
-                tails += [(key, None, None, None, None, None, w, c) for w, c in Counter(others).items()]
-                pending.append(symbols)
-                key += 1
-                size += n
-                if size >= 4 * BLOCK:
+            for first, part in slices(batch.column(1), SLICE):
+                words, sizes = words_in(part)
+                symbols, each, at = lexicon.symbols(words, sizes)
+                texts, lengths = len(sizes), sizes + 1
+                owner, end = np.repeat(np.arange(texts), sizes), np.repeat(np.arange(texts), lengths)
+                found = at >= 0
+                total = lambda of, values: np.bincount(of, weights=values, minlength=texts)  # noqa: B023, E731
+                logs = np.where(found, lexicon.log_count[at], 0.0) if len(lexicon.log_count) else np.zeros(len(at))
+                base = total(owner, logs) + end_log - lengths * base_log
+                own = total(owner, np.where(each >= OWN, logs, 0.0)) - total(end, lexicon.class_log[symbols])
+                known = np.bincount(owner[found], minlength=texts) + end_known
+                # Each other word of a text once, with how often it occurs there.
+                coded = words.filter(pa.array(~found)).dictionary_encode()
+                kinds = max(len(coded.dictionary), 1)
+                pairs, times = np.unique(owner[~found] * kinds + np.asarray(coded.indices, dtype=np.int64), return_counts=True)
+                pending.append((batch.column(0).slice(first, texts), lengths, known, base, own, symbols, pairs // kinds + seen, coded.dictionary.take(pa.array(pairs % kinds)), times))
+                seen += texts
+                size += len(symbols)
+                if size >= 2 * BLOCK:
                     yield out()
-                    rows, pending, tails, size = [], [], [], 0
-        if rows:
+                    key += seen
+                    pending, seen, size = [], 0, 0
+        if pending:
             yield out()
 
     schema = "key bigint, doc_id bigint, n_tokens bigint, known bigint, base double, own double, word binary, times bigint"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 
 from skarn.functions import windows
-from skarn.llm import text
+from skarn.llm import hmm, text
 
 
 def test_modules_import_what_they_call(monkeypatch):
@@ -14,3 +14,10 @@ def test_modules_import_what_they_call(monkeypatch):
     monkeypatch.delattr(pa, "compute", raising=False)
     assert [x[:2] for x in windows.parts(lists)] == [(0, 2)]
     assert [a for a, _ in text.slices(texts)] == [0]
+
+
+def test_arrow_words_are_those_of_the_contract():
+    texts = ["", None, " a  B\x0b\x0c c\x1f d\x85e F ", "\t\n", "ÄÖ İx y", "one"]
+    for kind in (pa.string(), pa.large_string()):
+        words, sizes = hmm.words_in(pa.array(texts, kind))
+        assert words.to_pylist() == [w for x in texts for w in text.words_of(x)] and sizes.tolist() == [len(text.words_of(x)) for x in texts]
