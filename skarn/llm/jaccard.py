@@ -50,6 +50,7 @@ FREQUENT = 20_000
 LEAST_FREQUENT = 512
 FREQUENT_ROWS = 2048  # a token of more than one row in so many is frequent
 HELD = 1 << 21  # tokens that a task counts at once
+SHARE = 4  # so many parts of that wait for being added to them
 HEAVY_SALTS = 128
 HEAVY_PARTS, HEAVY_ROWS = 1000, 1000  # a key of more than this part and number of all rows is heavy
 RANGE_TOKENS = 2_000_000
@@ -80,6 +81,18 @@ def unplanes(x: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def joined(blocks: pa.ChunkedArray, width: int, extra: pa.ChunkedArray | None = None) -> np.ndarray:
+    """The numbers of all blocks one after the other, each block's ``extra`` added to its own; one block is unpacked at a time."""
+    sizes = np.asarray(pc.binary_length(blocks), dtype=np.int64) // width
+    out = np.empty(sizes.sum(), np.uint64)
+    ends = np.cumsum(sizes)
+    for i, (block, end, n) in enumerate(zip(blocks, ends.tolist(), sizes.tolist(), strict=True)):
+        out[end - n : end] = unplanes(block.as_py(), width)
+        if extra is not None:
+            out[end - n : end] += np.uint64(extra[i].as_py())
+    return out
+
+
 def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
     """(frequent tokens, rarest first; number of tokens of all rows).
 
@@ -89,12 +102,11 @@ def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
     ``lost`` up to half of that: all of them are found, however they are spread, where rows have
     ``HELD / FREQUENT_ROWS / 2`` tokens or fewer on average; where they have more, those of a ``HELD``-th of all tokens more."""
 
-    def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        tokens, counts = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        by = np.argsort(tokens, kind="stable")  # two sorted runs
-        tokens, counts = tokens[by], counts[by]
-        at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
-        return tokens[at], np.add.reduceat(counts, at) if len(at) else counts
+    def smallest(counts: np.ndarray, k: int) -> int:
+        """The k-th smallest; most are small."""
+        few = np.cumsum(np.bincount(np.minimum(counts, 255).astype(np.uint8), minlength=256))
+        n = int(np.searchsorted(few, k))
+        return n if n < 255 else int(np.partition(counts, k - 1)[k - 1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = rows = size = lost = 0
@@ -102,15 +114,24 @@ def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
         waiting: list[np.ndarray] = []
 
         def settle() -> None:
+            """Adds the waiting tokens to the sorted ones; each array goes as soon as there is a new one."""
             nonlocal held, waiting, size, lost
-            if waiting:
-                t, c = merged(held, np.unique(np.concatenate(waiting), return_counts=True))
-                if len(t) > HELD:
-                    cut = int(np.partition(c, len(c) - HELD - 1)[len(c) - HELD - 1])
-                    lost += cut
-                    c = c - cut
-                    t, c = t[c > 0], c[c > 0]
-                held, waiting, size = (t, c), [], 0
+            new, more = np.unique(np.concatenate([*waiting, np.zeros(0, np.uint64)]), return_counts=True)
+            (t, c), held, waiting, size = held, (), [], 0
+            at = np.searchsorted(t, new)
+            met = t[np.minimum(at, len(t) - 1)] == new if len(t) else np.zeros(len(new), bool)
+            c[at[met]] += more[met]
+            at, new, more = at[~met], new[~met], more[~met]
+            t = np.insert(t, at, new)
+            c = np.insert(c, at, more)
+            if len(t) > HELD:
+                cut = smallest(c, len(c) - HELD)
+                lost += cut
+                c -= cut
+                left = c > 0
+                t = t[left]
+                c = c[left]
+            held = (t, c)
 
         for batch in batches:
             rows += batch.num_rows
@@ -118,7 +139,7 @@ def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, int]:
                 waiting.append(tokens)
                 total += len(tokens)
                 size += len(tokens)
-                if size > HELD:
+                if size > HELD // SHARE:
                     settle()
         settle()
         t, c = held
@@ -193,11 +214,9 @@ def shared_tokens(texts: DataFrame, frequent: np.ndarray, total: int, words: int
         whole = pc.is_valid(table.column("n"))
         rows = table.filter(whole)
         packed = table.filter(pc.invert(whole))
-        tokens = [unplanes(x.as_py(), 7) for x in packed.column("tokens")]
-        keys = [unplanes(x.as_py(), 4) + np.uint64(k.as_py()) for x, k in zip(packed.column("rows"), packed.column("key"), strict=True)]
-        t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        del tokens, keys
+        t = joined(packed.column("tokens"), 7)
+        k = joined(packed.column("rows"), 4, packed.column("key"))
+        del packed
         by = np.argsort(t)
         t = t[by]
         same = t[1:] == t[:-1]
@@ -252,11 +271,9 @@ def with_prefixes(met: DataFrame, percent: int) -> DataFrame:
     def cut(table: pa.Table) -> pa.Table:
         whole = pc.is_valid(table.column("n"))
         packed = table.filter(pc.invert(whole))
-        keys = [unplanes(x.as_py(), 8) for x in packed.column("keys")]
-        entries = [unplanes(x.as_py(), 5) | np.uint64(r.as_py() << 40) for x, r in zip(packed.column("entries"), packed.column("range"), strict=True)]
-        k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        e = np.concatenate(entries) if entries else np.zeros(0, np.uint64)
-        del keys, entries, packed
+        k = joined(packed.column("keys"), 8)
+        e = joined(packed.column("entries"), 5, pc.multiply(packed.column("range").cast(pa.int64()), 1 << 40))
+        del packed
         by = np.argsort(k)
         k, e = k[by], e[by]
         rows = table.filter(whole).select(["key", *HEAD]).to_pydict()

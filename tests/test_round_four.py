@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 
 from skarn.functions import windows
-from skarn.llm import hmm, text
+from skarn.llm import hmm, jaccard, text
 
 
 def test_modules_import_what_they_call(monkeypatch):
@@ -21,3 +21,31 @@ def test_arrow_words_are_those_of_the_contract():
     for kind in (pa.string(), pa.large_string()):
         words, sizes = hmm.words_in(pa.array(texts, kind))
         assert words.to_pylist() == [w for x in texts for w in text.words_of(x)] and sizes.tolist() == [len(text.words_of(x)) for x in texts]
+
+
+def test_counting_tokens_takes_little_memory(monkeypatch):
+    """All tokens different, so every task holds HELD of them: what it takes beyond that is less than three times as much."""
+    import tracemalloc
+
+    n = 400
+    rows = pa.table({"i": pa.array(range(n), pa.int64()), "t": [" ".join(f"a{i}b{k}" for k in range(600)) for i in range(n)]})
+    monkeypatch.setattr(jaccard, "HELD", 1 << 17)
+    monkeypatch.setattr(jaccard, "checkpointed", lambda df: df)
+    jaccard.word_hashes(pa.array(["x"]))
+    counters = []
+
+    class Texts:
+        def mapInArrow(self, count, schema):  # noqa: N802
+            counters.append(count)
+            raise StopIteration
+
+    try:
+        jaccard.frequent_tokens(Texts(), 3)
+    except StopIteration:
+        pass
+    tracemalloc.start()
+    out = list(counters[0](iter(rows.to_batches(max_chunksize=20))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[-1].column(1)[-1].as_py() == n * 598
+    assert peak < 3 * 16 * (1 << 17)
