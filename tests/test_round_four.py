@@ -6,6 +6,10 @@ import pyarrow as pa
 
 from skarn.functions import windows
 from skarn.llm import hmm, jaccard, text
+from skarn.operators import graph, reachability
+from skarn.plans import structure
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_modules_import_what_they_call(monkeypatch):
@@ -49,3 +53,9 @@ def test_counting_tokens_takes_little_memory(monkeypatch):
     tracemalloc.stop()
     assert out[-1].column(1)[-1].as_py() == n * 598
     assert peak < 3 * 16 * (1 << 17)
+
+
+def test_large_steps_are_written_in_columns(spark):
+    """A checkpoint holds whole rows without compression."""
+    for df in (structure.registry(spark, SF)[0], structure.part_imports(spark, SF)):
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString()
