@@ -53,12 +53,10 @@ def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return known.unionByName(links.join(heads, "chain").select("node", "bits"))
 
 
-def unused(files: DataFrame, imports: DataFrame, exports: DataFrame, entries: DataFrame, tests_are_roots: bool = True) -> DataFrame:
+def unused(files: DataFrame, imports: DataFrame, exports: DataFrame, starts: DataFrame, live: DataFrame) -> DataFrame:
     """(category, path, symbol) of the production files (path, source_set) that no root reaches, and of the exports (path, symbol,
     kind: export or type) of reached ones that no reached file's import (src, dst, symbol; null: all symbols) names.  An entry's own exports
-    are used."""
-    starts = written(roots(files, entries, tests_are_roots))
-    live = written(reached(imports, starts))
+    are used.  ``starts`` are the ``roots``, ``live`` is what is ``reached`` from them."""
     production = files.where("source_set = 'production'").select("path")
     dead = production.join(live.select(F.col("node").alias("path")), "path", "left_anti")
     unused_files = dead.select(F.lit("file").alias("category"), "path", F.lit(None).cast("string").alias("symbol"))

@@ -64,3 +64,9 @@ def test_large_steps_are_written_in_columns(spark):
 def test_refusals_ask_for_no_closure(spark, monkeypatch):
     monkeypatch.setattr(graph, "reach", None)
     assert structure.prerequisite_refusals(spark, SF).count()
+
+
+def test_candidates_reach_once(spark, monkeypatch):
+    calls, reached = [], reachability.reached
+    monkeypatch.setattr(reachability, "reached", lambda *a: calls.append(a) or reached(*a))
+    assert structure.unused_candidates(spark, SF).count() and len(calls) == 1
