@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.session import checkpointed
+from skarn.session import written
 
 BLOCK, COLUMNS = 1024, 4096
 
@@ -54,19 +54,19 @@ def near_sets(rows: DataFrame) -> DataFrame:
     share 2/3 of all their items share one of the first ``n - ceil(2 n / 3) + 1``, so only these are joined,
     and a pair is kept at the first of them that both have.  The sets at an item are compared by blocks."""
     items = rows.where("site IS NOT NULL AND item IS NOT NULL").select("site", "item").distinct()
-    sets = checkpointed(items.groupBy("site").agg(F.array_sort(F.collect_list("item")).alias("items")))
-    classes = checkpointed(sets.groupBy("items").agg(F.min("site").alias("class")))
+    sets = written(items.groupBy("site").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    classes = written(sets.groupBy("items").agg(F.min("site").alias("class")))
     slots = classes.select("class", F.explode("items").alias("item"))
     frequency = slots.groupBy("item").agg(F.count("*").alias("held"))
     ordered = slots.join(frequency, "item").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("held", "item"))).alias("s"))
     n = F.size("items")
     ordered = ordered.select("class", F.transform("s", lambda x: x["item"]).alias("items")).select("class", n.alias("n"), "items", F.slice("items", 1, n - F.ceil(2 * n / 3).cast("int") + 1).alias("prefix"))
-    slots = checkpointed(ordered.where("n >= 2").withColumn("slot", F.explode("prefix")))
+    slots = written(ordered.where("n >= 2").withColumn("slot", F.explode("prefix")))
     held = slots.groupBy("slot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = slots.join(held, "slot").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = met.repartition(tasks, "slot", "low", "high").groupBy("slot", "low", "high").applyInArrow(_compared, "class_a bigint, class_b bigint, shared bigint")
-    members = checkpointed(sets.join(classes, "items").select("site", "class"))
+    members = written(sets.join(classes, "items").select("site", "class"))
     named = [members.select(F.col("class").alias(f"class_{s}"), F.col("site").alias(s)) for s in "ab"]
     return pairs.join(named[0], "class_a").join(named[1], "class_b").select(F.least("a", "b").alias("site_a"), F.greatest("a", "b").alias("site_b"), "shared")
