@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import windows
 from skarn.operators.keyed import looked_up, numbered
-from skarn.session import checkpointed
+from skarn.session import written
 
 # The least run.
 MIN_TOKENS, MIN_LINES = 100, 3
@@ -133,7 +133,7 @@ def _varied(found: DataFrame, key: list[str]) -> DataFrame:
     """The windows of ``found`` whose tokens occur after different tokens (``starts``) or before different ones (``ends``)."""
     differ = lambda c: F.min(c) != F.max(c)
     counted = found.groupBy(*key).agg(F.count("*").alias("n"), differ("before").alias("starts_vary"), differ("after").alias("ends_vary"))
-    return looked_up(found, checkpointed(counted.where("starts_vary OR ends_vary")), key, "n")
+    return looked_up(found, written(counted.where("starts_vary OR ends_vary")), key, "n")
 
 
 def _anchors(windows_: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -147,16 +147,16 @@ def candidate_runs(texts: DataFrame, least: int) -> DataFrame:
     c, length = F.col, least
     found = _varied(all_windows(texts, least), ["g1", "g2"])
     marks = _anchors(found, F.when(c("starts_vary"), F.array("start")), F.when(c("ends_vary"), F.array(c("start") + least)))
-    here = checkpointed(texts.join(marks, "doc"))
+    here = written(texts.join(marks, "doc"))
     levels = []
     while True:
-        found = checkpointed(anchored_windows(here, length))
+        found = written(anchored_windows(here, length))
         levels.append(found.where(c("kind") == RUN).drop("kind"))
         length *= FACTOR
         longer = _varied(found.where(c("kind") != RUN), ["kind", "g1", "g2"])
         first = F.when(c("starts_vary") & (c("kind") == FIRST), c("starts"))
         last = F.when(c("ends_vary") & (c("kind") == LAST), F.transform("starts", lambda x: x + c("length")))
-        here = checkpointed(here.drop("first", "last").where(F.size("codes") >= length).join(_anchors(longer, first, last), "doc"))
+        here = written(here.drop("first", "last").where(F.size("codes") >= length).join(_anchors(longer, first, last), "doc"))
         if here.isEmpty():
             break
     runs = levels[0]
@@ -171,14 +171,14 @@ def maximal_repeats(texts: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     runs = candidate_runs(texts, least)
     one = F.min(F.struct("before", "after"))
     counted = runs.groupBy(*key).agg(F.count("*").alias("n"), one.alias("one"), F.min("before").alias("b1"), F.max("before").alias("b2"), F.min("after").alias("a1"), F.max("after").alias("a2"))
-    met = checkpointed(looked_up(runs, checkpointed(counted.where("b1 <> b2 AND a1 <> a2").select(*key, "n", "one")), key, "n"))
+    met = written(looked_up(runs, written(counted.where("b1 <> b2 AND a1 <> a2").select(*key, "n", "one")), key, "n"))
     elsewhere, onward = c("before") != c("one.before"), c("after") != c("one.after")
     sides = met.groupBy(*key).agg(
         F.count("*").alias("n"), F.min(F.when(elsewhere, c("after"))).alias("a1"), F.max(F.when(elsewhere, c("after"))).alias("a2"),
         F.min(F.when(onward, c("before"))).alias("b1"), F.max(F.when(onward, c("before"))).alias("b2"),
     )
     varied = F.when(elsewhere & onward, True).when(~elsewhere & ((c("a1") != c("after")) | (c("a2") != c("after"))), True).when(~onward & ((c("b1") != c("before")) | (c("b2") != c("before"))), True)
-    kept = looked_up(met.drop("n"), checkpointed(sides), key, "n").where(varied)
+    kept = looked_up(met.drop("n"), written(sides), key, "n").where(varied)
     return kept.select(*key, "doc", "length", F.explode("starts").alias("start")).select(*key, "doc", "start", (c("start") + c("length")).alias("end"))
 
 
@@ -190,22 +190,22 @@ def clone_members(parsed: DataFrame, least: int = MIN_TOKENS, min_lines: int = M
     group's in its file, go.  Groups are numbered within (repo, source_set) by their first member."""
     c, scope = F.col, ["repo", "source_set"]
     files = parsed.select(*scope, "path", "start_lines", "end_lines", F.monotonically_increasing_id().alias("doc"), F.xxhash64(*scope).alias("scope"), windows.codes(c("kinds")).alias("codes"))
-    files = checkpointed(files)
-    members = checkpointed(maximal_repeats(files.select("doc", "scope", "codes"), least))
+    files = written(files)
+    members = written(maximal_repeats(files.select("doc", "scope", "codes"), least))
     by_file = members.groupBy("doc").agg(F.collect_list(F.struct("g1", "g2", "start", "end")).alias("runs"))
     lines = lambda name, at: F.element_at(name, at)
     located = files.drop("codes", "scope").join(by_file, "doc").withColumn("run", F.explode("runs"))
     located = located.select(*scope, "path", "doc", "run.*", lines("start_lines", c("run.start") + 1).alias("start_line"), lines("end_lines", c("run.end")).alias("end_line"))
-    located = checkpointed(located.where(c("end_line") - c("start_line") + 1 >= min_lines))
+    located = written(located.where(c("end_line") - c("start_line") + 1 >= min_lines))
     group = ["g1", "g2"]
     first = F.min(F.struct("path", "start_line", "end_line", "start"))
     length = F.first(c("end") - c("start")).alias("token_count")
-    groups = checkpointed(located.groupBy(*scope, *group).agg(F.count("*").alias("n"), first.alias("f"), length).where("n > 1"))
-    kept = checkpointed(looked_up(located, groups.select(*group, "n"), group, "n"))
+    groups = written(located.groupBy(*scope, *group).agg(F.count("*").alias("n"), first.alias("f"), length).where("n > 1"))
+    kept = written(looked_up(located, groups.select(*group, "n"), group, "n"))
     earlier = Window.partitionBy("doc").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     outer = kept.withColumn("reach", F.max("end").over(earlier)).where("reach IS NULL OR reach < end").select(*group).distinct()
     ordered = groups.join(outer, group, "left_semi").select(*scope, *group, "n", "token_count", "f.*").withColumn("by_length", -c("token_count")).withColumn("by_size", -c("n"))
-    ids = checkpointed(numbered(ordered, scope, ["path", "start_line", "end_line", "by_length", "by_size", "start"], "group_id").select(*group, "n", "token_count", (c("group_id") + 1).cast("int").alias("group_id")))
+    ids = written(numbered(ordered, scope, ["path", "start_line", "end_line", "by_length", "by_size", "start"], "group_id").select(*group, "n", "token_count", (c("group_id") + 1).cast("int").alias("group_id")))
     found = looked_up(kept.drop("n"), ids, group, "n")
     return found.select(*scope, "group_id", "path", "start_line", "end_line", "token_count", c("start").alias("start_token"))
 

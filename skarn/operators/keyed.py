@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.session import checkpointed
+from skarn.session import written
 
 HEAVY_PARTS, HEAVY_ROWS = 1000, 10_000  # a key of more than this part and number of the rows is heavy
 
@@ -29,7 +29,7 @@ def numbered(rows: DataFrame, groups: list[str], order: list[str], name: str) ->
     One range partitioning of all rows by group and order splits a group of any size over many tasks; rows count
     from their range's first row of the group, whose number is the size of the group's part in earlier ranges."""
     keys = [*groups, *order]
-    ordered = checkpointed(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()))
+    ordered = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", 33).alias("_part")
     runs = ordered.groupBy(*groups, part).agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from skarn.functions import windows
 from skarn.llm import hmm, jaccard, text
-from skarn.operators import graph, reachability
+from skarn.operators import agreement, clone_groups, graph, reachability
 from skarn.plans import structure
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,10 @@ def test_candidates_reach_once(spark, monkeypatch):
     calls, reached = [], reachability.reached
     monkeypatch.setattr(reachability, "reached", lambda *a: calls.append(a) or reached(*a))
     assert structure.unused_candidates(spark, SF).count() and len(calls) == 1
+
+
+def test_near_sets_and_clone_members_are_written_in_columns(spark):
+    rows = spark.createDataFrame([(i, f"x{k}") for i in range(6) for k in range(i, i + 5)], "site bigint, item string")
+    files = spark.createDataFrame([("r", "s", p, list("abcdabcd"), [1] * 8, [3] * 8) for p in "pq"], "repo string, source_set string, path string, kinds array<string>, start_lines array<int>, end_lines array<int>")
+    for df in (agreement.near_sets(rows), clone_groups.clone_members(files, least=4)):
+        assert df.count() and "ExistingRDD" not in df._jdf.queryExecution().toString()
