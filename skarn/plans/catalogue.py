@@ -296,8 +296,8 @@ def clone_runs(spark, d):
 @query(f"""WITH {_GRAMS} SELECT lang, sha256(gram) AS gram_sha256, count(*) AS occurrences, count(DISTINCT doc_id) AS documents, count(DISTINCT coalesce(before, chr(10) || doc_id || ':' || pos)) AS left_contexts, count(DISTINCT coalesce(after, chr(10) || doc_id || ':' || pos)) AS right_contexts
 FROM g GROUP BY lang, gram HAVING count(*) > 1""")
 def clone_context_count(spark, d):
-    counted = clones.contexts(word_windows(spark, d), "doc_id", "lang")
-    counted = clones.with_digests(counted, t(spark, d, "documents"), "doc_id", words(), K)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # a Python worker holds a whole batch of texts
+    counted = clones.contexts(t(spark, d, "documents"), "doc_id", "lang", words(), K)
     return counted.select("lang", F.col("sha256").alias("gram_sha256"), "occurrences", "documents", "left_contexts", "right_contexts")
 
 
