@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm import decontaminate, jaccard, packing, queries, secret_scan, toxicity
 from skarn.llm.text import checkpointed, table
+from skarn.session import written
 
 SECRET_MASK = "[SECRET]"
 
@@ -25,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     text (rows without an id come last), whatever other rows have its id.  Rows without words are all alone and stay."""
     queries._arrow(spark)
     row = "_near_duplicates_row"
-    keyed = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))  # a checkpoint holds texts without compression
     groups = jaccard.similarity_components(keyed, doc_id=row, words=5, percent=80).select(F.col("doc_id").alias(row), "component_id")
     ranked = groups.join(keyed.select(row, F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")), row)
     firsts = checkpointed(ranked.groupBy("component_id").agg(F.min(F.struct("none", "id", "hash", row)).alias("first")).select(f"first.{row}"))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import corpus_pipeline
 from skarn.operators import clones
 from skarn.plans import catalogue
 
@@ -55,3 +56,12 @@ def test_runs_of_one_anchor_cover_every_window_once():
         for a, b, m in zip(first, last, moves, strict=True):
             assert m or len({tuple(code[p : p + k]) for p in range(a, b + 1)}) == b - a + 1
     assert len(first) < (offsets[-1] - 3 * k) / 4  # far fewer rows than windows
+
+
+def test_near_duplicates_write_texts_in_columns(spark, monkeypatch):
+    cut, kept = corpus_pipeline.checkpointed, []
+    monkeypatch.setattr(corpus_pipeline, "checkpointed", lambda df: kept.append(df.columns) or cut(df))
+    docs = spark.createDataFrame([(1, "a b c d e f", "en"), (None, "a b c d e f", "en"), (2, None, None), (1, "other words", "fr")], "doc_id bigint, text string, lang string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(2), "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "a b c d e f", "en"), (1, "other words", "fr"), (2, None, None)]
+    assert kept and not any("text" in x for x in kept)
