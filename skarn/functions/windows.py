@@ -58,6 +58,15 @@ class PrefixHashes:
         return [mixed((s[ends] - s[starts]) * inverse[starts] + mixed(extra)).view(np.int64) for s, (_, inverse) in zip(self.sums, self.tables, strict=True)]
 
 
+def sides(code: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Codes of the tokens on either side; at a file's edge one that no other place has."""
+    edge = mixed(doc.astype(np.uint64)[row] * np.uint64(2) + np.uint64(0x5851F42D4C957F2D))
+    padded = np.concatenate((code, [0])).astype(np.uint64)
+    before = np.where(starts > offsets[row], padded[starts - 1], edge)
+    after = np.where(ends < offsets[row + 1], padded[ends], mixed(edge + np.uint64(1)))
+    return [before.view(np.int64), after.view(np.int64)]
+
+
 def codes(words: Column) -> Column:
     """Array of 64-bit codes of an array of tokens."""
     return F.transform(words, lambda w: F.xxhash64(w))

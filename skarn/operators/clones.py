@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import windows as prefix
+from skarn.operators.keyed import looked_up
 from skarn.session import written
 
+RUNS = "a bigint, h bigint, doc bigint, first int, last int, moves boolean, before bigint, after bigint"
+WINDOWS = "doc bigint, start int, g1 bigint, g2 bigint, before bigint, after bigint"
 ANCHOR_BITS = 40
 SEGMENT_TOKENS = 1 << 18
 BUCKETS, BUCKET_SEGMENTS = 32, 40_000
@@ -27,31 +30,6 @@ def tokens(docs: DataFrame, key: str, group: str, words) -> DataFrame:
     return docs.select(key, group, F.posexplode(words).alias("pos", "token"))
 
 
-def windows(docs: DataFrame, key: str, group: str, words, k: int) -> DataFrame:
-    """key, group, pos, g1, g2, before, after: a 128-bit hash of every k tokens (two prefix look-ups each), and the 64-bit
-    code of the token on either side (null at the text's edge)."""
-    texts = docs.select(key, group, prefix.codes(words).alias("_codes"))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, n, offsets, code in prefix.parts(batch.column(2)):
-                row = np.repeat(np.arange(n), np.diff(offsets))
-                starts = np.flatnonzero(np.arange(len(code)) + k <= offsets[row + 1])
-                row, ends = row[starts], starts + k
-                hashes = prefix.PrefixHashes(code).windows(starts, ends)
-                padded = np.concatenate((code, [0])).astype(np.uint64).view(np.int64)
-                sides = [pa.array(padded[at], mask=edge) for at, edge in ((starts - 1, starts == offsets[row]), (ends, ends == offsets[row + 1]))]
-                named = [batch.column(i).take(pa.array(first + row)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*named, pa.array((starts - offsets[row]).astype(np.int32)), *map(pa.array, hashes), *sides], [key, group, "pos", "g1", "g2", "before", "after"])
-
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:2])
-    return texts.mapInArrow(each, f"{head}, pos int, g1 bigint, g2 bigint, before bigint, after bigint")
-
-
-def _repeated(grams: DataFrame, group: str) -> DataFrame:
-    return grams.groupBy(group, "g1", "g2").agg(F.count("*").alias("n")).where("n > 1").select(group, "g1", "g2")
-
-
 def segments(code: np.ndarray, offsets: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first and last window, anchor, moves): runs of neighbouring k-windows of the same anchor, the least hash of
     the shorter windows within.  Equal windows of equal groups have equal anchors, whatever stands around them; equal windows
@@ -77,6 +55,42 @@ def segments(code: np.ndarray, offsets: np.ndarray, group: np.ndarray, k: int) -
     return row[first], first, last, (anchor >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64), place[first] != place[last]
 
 
+def anchored_runs(texts: DataFrame, k: int) -> DataFrame:
+    """RUNS of the texts (doc, scope, codes): what ``segments`` finds, with a hash of the run's tokens and the codes on either side."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, scopes = (np.asarray(batch.column(i)) for i in (0, 1))
+            for top, n, offsets, code in prefix.parts(batch.column(2), SEGMENT_TOKENS):
+                doc, scope = docs[top : top + n], scopes[top : top + n]
+                row, first, last, anchor, moves = segments(code, offsets, scope, k)
+                h = prefix.PrefixHashes(code).windows(first, last + k, scope[row])[0]
+                columns = anchor, h, doc[row], *((x - offsets[row]).astype(np.int32) for x in (first, last)), moves, *prefix.sides(code, offsets, doc, row, first, last + k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in RUNS.split(", ")])
+
+    return texts.select("doc", "scope", "codes").mapInArrow(each, RUNS)
+
+
+def open_windows(texts: DataFrame, runs: DataFrame, k: int) -> DataFrame:
+    """WINDOWS of the texts (doc, scope, codes): every k-window of those runs (doc, first, last)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, scopes = (np.asarray(batch.column(i)) for i in (0, 1))
+            for top, n, offsets, code in prefix.parts(batch.column(2), SEGMENT_TOKENS):
+                doc, scope, lists = docs[top : top + n], scopes[top : top + n], batch.column(3).slice(top, n)
+                first, last = (np.asarray(x).astype(np.int64) for x in lists.flatten().flatten())
+                size = last - first + 1
+                row = np.repeat(np.repeat(np.arange(n), np.asarray(lists.value_lengths())), size)
+                starts = offsets[row] + np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                hashes = prefix.PrefixHashes(code).windows(starts, starts + k, scope[row])
+                columns = doc[row], (starts - offsets[row]).astype(np.int32), *hashes, *prefix.sides(code, offsets, doc, row, starts, starts + k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in WINDOWS.split(", ")])
+
+    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    return texts.select("doc", "scope", "codes").join(lists, "doc").select("doc", "scope", "codes", "runs").mapInArrow(each, WINDOWS)
+
+
 def contexts(docs: DataFrame, key: str, group: str, words: Column, k: int) -> DataFrame:
     """group, sha256 (of the words, joined by blanks), occurrences, documents, left_contexts and right_contexts of every
     gram of k words that occurs twice in a group; a text's edge is a context of its own (none where ``key`` is null).
@@ -216,12 +230,37 @@ def _counted(table: pa.Table, k: int, apart: bool) -> pa.Table:
     })
 
 
-def repeated_spans(grams: DataFrame, key: str, group: str, k: int) -> DataFrame:
-    """key, group, start, end (tokens, end exclusive): maximal runs whose every k-window is repeated.
-
-    Counts come from an aggregate that combines before the shuffle and are joined back by gram, so a
-    gram that very many texts share doesn't gather its rows in one task."""
-    hits = grams.select(key, group, "pos", "g1", "g2").join(_repeated(grams, group), [group, "g1", "g2"], "left_semi")
-    w = Window.partitionBy(key).orderBy("pos")
-    islands = hits.withColumn("_i", F.col("pos") - F.row_number().over(w))
-    return islands.groupBy(key, group, "_i").agg(F.min("pos").alias("start"), (F.max("pos") + k).alias("end")).drop("_i")
+def repeated_spans(docs: DataFrame, key: str, group: str, words: Column, k: int) -> DataFrame:
+    """key, group, start, end (tokens, end exclusive): maximal runs whose every k-window is repeated in its group (null is a
+    group, too).
+
+    Equal windows lie in runs of equal anchors.  Where all runs of an anchor are equal, as within copies, all their windows are
+    repeated; only where they differ are windows counted.  Counts come from aggregates that combine before the shuffle, and are
+    joined back by keys whose heavy ones are broadcast, so what very many texts share doesn't gather in one task."""
+    texts = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("_key"), F.col(group).alias("_group"), F.xxhash64(group).alias("scope"), prefix.codes(words).alias("codes"))
+    texts = written(texts.where(F.size("codes") >= k))
+    found = anchored_runs(texts, k)
+    counted = found.groupBy("a").agg(F.count("*").alias("n"), F.max("moves").alias("moves"), (F.min("h") != F.max("h")).alias("differ"))
+    counted = written(counted.where("n > 1 OR moves").select("a", "n", F.expr("n = 1 OR differ").alias("open")))
+    met = written(looked_up(found.select("a", "doc", "first", "last"), counted, ["a"], "n").select("doc", "first", "last", "open"))
+    grams = open_windows(texts, met.where("open"), k).select("doc", F.col("start").alias("first"), "g1", "g2")
+    twice = written(grams.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1"))
+    hits = looked_up(grams, twice, ["g1", "g2"], "n").select("doc", "first", F.lit(1).alias("n"))
+    hits = hits.unionByName(met.where("NOT open").select("doc", "first", (F.col("last") - F.col("first") + 1).alias("n")))
+    spans = _joined(hits, ["doc"]).join(texts.select("doc", "_key", "_group"), "doc")
+    # A key may have several texts: their windows are numbered together, one by one where they overlap.
+    by_key = Window.partitionBy("_key")
+    earlier = by_key.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_over", F.max(F.col("first") + F.col("n")).over(earlier) > F.col("first")).withColumn("_over", F.coalesce(F.max("_over").over(by_key), F.lit(False)))
+    each = F.when(F.col("_over"), F.sequence("first", F.col("first") + F.col("n") - 1)).otherwise(F.array("first"))
+    spans = spans.select("_key", "_group", F.explode(each).alias("first"), F.when(F.col("_over"), 1).otherwise(F.col("n")).alias("n"))
+    spans = spans.withColumn("_i", F.col("first") - F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    spans = spans.groupBy("_key", "_group", "_i").agg(F.min("first").alias("start"), (F.max(F.col("first") + F.col("n")) + k - 1).alias("end"))
+    return spans.select(F.col("_key").alias(key), F.col("_group").alias(group), "start", "end")
+
+
+def _joined(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, first, n: disjoint spans of ``n`` from ``first``, those that touch as one."""
+    earlier = Window.partitionBy(*keys).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    islands = spans.withColumn("_i", F.col("first") - F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return islands.groupBy(*keys, "_i").agg(F.min("first").alias("first"), F.sum("n").cast("int").alias("n")).drop("_i")

@@ -283,14 +283,10 @@ def words() -> Column:
     return F.filter(F.split(F.lower("text"), r"[ \t\n\r]+"), lambda w: w != "")
 
 
-def word_windows(spark, d) -> DataFrame:
-    return clones.windows(t(spark, d, "documents"), "doc_id", "lang", words(), K)
-
-
 @query(f"""WITH {_GRAMS}, h AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM g WHERE (lang, gram) IN (SELECT (lang, gram) FROM g GROUP BY lang, gram HAVING count(*) > 1))
 SELECT doc_id, lang, min(pos) AS start, max(pos) + {K} AS "end" FROM h GROUP BY doc_id, lang, i""")
 def clone_runs(spark, d):
-    return clones.repeated_spans(word_windows(spark, d), "doc_id", "lang", K)
+    return clones.repeated_spans(t(spark, d, "documents"), "doc_id", "lang", words(), K)
 
 
 @query(f"""WITH {_GRAMS} SELECT lang, sha256(gram) AS gram_sha256, count(*) AS occurrences, count(DISTINCT doc_id) AS documents, count(DISTINCT coalesce(before, chr(10) || doc_id || ':' || pos)) AS left_contexts, count(DISTINCT coalesce(after, chr(10) || doc_id || ':' || pos)) AS right_contexts
