@@ -6,7 +6,7 @@ from everything).  No scope, file set or group is held by one task, and there is
 * **Anchors.**  A group's occurrences don't all have the same token before them, so neither do those of its first ``n``
   tokens, for any ``n``: a run starts at an anchor, a position whose window of ``n`` tokens is repeated after different tokens;
   and ends at one whose window before it is followed by different tokens.  Within a copied passage there are few.
-* **Levels.**  Anchors of windows of ``least`` tokens come from counting all windows.  Each further level takes
+* **Levels.**  Anchors of windows of ``least`` tokens come from counting: whole runs where copies agree, windows elsewhere.  Each further level takes
   windows ``FACTOR`` times as long at the anchors that are left; runs of lengths between two levels are pairs of a first and a
   last anchor.  So the number of rounds is logarithmic in the longest file, and most files drop out early.
 * **Contents.**  Runs meet by their hash (two prefix look-ups, see ``functions.windows``).  All occurrences of a group have
@@ -28,16 +28,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import windows
+from skarn.operators import clones
 from skarn.operators.keyed import looked_up, numbered
 from skarn.session import written
 
 # The least run.
 MIN_TOKENS, MIN_LINES = 100, 3
-FACTOR = 4
+FACTOR = 2  # pairs of anchors grow with its square, rounds with the inverse of its logarithm
 PAIRS = 1 << 20
 RUN, FIRST, LAST = 0, 1, 2  # kinds of PLACES
 
-WINDOWS = "doc bigint, start int, g1 bigint, g2 bigint, before bigint, after bigint"
 PLACES = "kind tinyint, doc bigint, starts array<int>, length int, g1 bigint, g2 bigint, before bigint, after bigint"
 
 
@@ -45,33 +45,6 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _sides(code: np.ndarray, offsets: np.ndarray, doc: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Codes of the tokens on either side; at a file's edge one that no other place has."""
-    edge = windows.mixed(doc.astype(np.uint64)[row] * np.uint64(2) + np.uint64(0x5851F42D4C957F2D))
-    padded = np.concatenate((code, [0])).astype(np.uint64)
-    before = np.where(starts > offsets[row], padded[starts - 1], edge)
-    after = np.where(ends < offsets[row + 1], padded[ends], windows.mixed(edge + np.uint64(1)))
-    return [before.view(np.int64), after.view(np.int64)]
-
-
-def all_windows(texts: DataFrame, length: int) -> DataFrame:
-    """WINDOWS of every ``length`` tokens of the texts (doc, scope, codes)."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, scopes = (np.asarray(batch.column(i)) for i in (0, 1))
-            for first, n, offsets, code in windows.parts(batch.column(2)):
-                doc, scope = docs[first : first + n], scopes[first : first + n]
-                row = np.repeat(np.arange(n), np.diff(offsets))
-                starts = np.flatnonzero(np.arange(len(code)) + length <= offsets[row + 1])
-                row, ends = row[starts], starts + length
-                hashes = windows.PrefixHashes(code).windows(starts, ends, scope[row])
-                columns = doc[row], (starts - offsets[row]).astype(np.int32), *hashes, *_sides(code, offsets, doc, row, starts, ends)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _names(WINDOWS))
-
-    return texts.select("doc", "scope", "codes").mapInArrow(each, WINDOWS)
-
-
 def _places(kind: np.ndarray, doc: np.ndarray, starts: np.ndarray, length: np.ndarray, *facts: np.ndarray) -> pa.RecordBatch:
     """PLACES: one row for all places of a text that have the same tokens between the same sides."""
     order = np.lexsort((starts, length, kind, *facts, doc))
@@ -124,7 +97,7 @@ def anchored_windows(texts: DataFrame, length: int) -> DataFrame:
     def whole(waiting, top, offsets, code, hashes, docs, scopes) -> pa.RecordBatch:
         kinds, row, starts, ends = (np.concatenate(x) for x in zip(*waiting, strict=True))
         doc, scope = (x[top : top + len(offsets) - 1] for x in (docs, scopes))
-        return _places(kinds, doc[row], starts - offsets[row], ends - starts, *hashes.windows(starts, ends, scope[row]), *_sides(code, offsets, doc, row, starts, ends))
+        return _places(kinds, doc[row], starts - offsets[row], ends - starts, *hashes.windows(starts, ends, scope[row]), *windows.sides(code, offsets, doc, row, starts, ends))
 
     return texts.select("doc", "scope", "codes", "first", "last").mapInArrow(each, PLACES)
 
@@ -142,11 +115,27 @@ def _anchors(windows_: DataFrame, first: Column, last: Column) -> DataFrame:
     return marks.where((F.size("first") > 0) & (F.size("last") > 0))
 
 
+def varied_windows(texts: DataFrame, length: int) -> DataFrame:
+    """(doc, first, last, starts_vary, ends_vary): the first window that occurs after different tokens and the last that occurs
+    before different ones, of runs of windows of ``length`` tokens.
+
+    Equal windows lie in runs of equal anchors (``clones.segments``).  Where all runs of an anchor are equal and hold no window
+    twice, only a run's first window can come after different tokens and only its last one before; the others' windows are
+    counted one by one."""
+    found = clones.anchored_runs(texts, length)
+    differ = lambda c: F.min(c) != F.max(c)
+    counted = found.groupBy("a").agg(F.count("*").alias("n"), (differ("h") | F.max("moves")).alias("open"), differ("before").alias("starts_vary"), differ("after").alias("ends_vary"))
+    counted = written(counted.where("open OR starts_vary OR ends_vary"))
+    met = written(looked_up(found.select("a", "doc", "first", "last"), counted, ["a"], "n").drop("a", "n"))
+    single = _varied(clones.open_windows(texts, met.where("open"), length), ["g1", "g2"])
+    columns = ["doc", "first", "last", "starts_vary", "ends_vary"]
+    return met.where("NOT open").select(*columns).unionByName(single.withColumns({"first": F.col("start"), "last": F.col("start")}).select(*columns))
+
+
 def candidate_runs(texts: DataFrame, least: int) -> DataFrame:
     """PLACES of runs between anchors, of all levels: all occurrences of every maximal repeat."""
     c, length = F.col, least
-    found = _varied(all_windows(texts, least), ["g1", "g2"])
-    marks = _anchors(found, F.when(c("starts_vary"), F.array("start")), F.when(c("ends_vary"), F.array(c("start") + least)))
+    marks = _anchors(varied_windows(texts, least), F.when(c("starts_vary"), F.array("first")), F.when(c("ends_vary"), F.array(c("last") + least)))
     here = written(texts.join(marks, "doc"))
     levels = []
     while True:
