@@ -71,8 +71,9 @@ def anchored_runs(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("doc", "scope", "codes").mapInArrow(each, RUNS)
 
 
-def open_windows(texts: DataFrame, runs: DataFrame, k: int) -> DataFrame:
-    """WINDOWS of the texts (doc, scope, codes): every k-window of those runs (doc, first, last)."""
+def open_windows(texts: DataFrame, runs: DataFrame, k: int, source: str = "codes", codes: Column | None = None) -> DataFrame:
+    """WINDOWS of the texts (doc, scope, ``source``): every k-window of those runs (doc, first, last).  ``codes`` are made of the
+    source behind the shuffle."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +89,8 @@ def open_windows(texts: DataFrame, runs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [c.split()[0] for c in WINDOWS.split(", ")])
 
     lists = runs.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return texts.select("doc", "scope", "codes").join(lists, "doc").select("doc", "scope", "codes", "runs").mapInArrow(each, WINDOWS)
+    held = written(texts.select("doc", "scope", source).join(lists, "doc"), compression="zstd")  # once, as windows are counted and then met
+    return held.select("doc", "scope", (F.col(source) if codes is None else codes).alias("codes"), "runs").mapInArrow(each, WINDOWS)
 
 
 def contexts(docs: DataFrame, key: str, group: str, words: Column, k: int) -> DataFrame:
@@ -237,13 +239,14 @@ def repeated_spans(docs: DataFrame, key: str, group: str, words: Column, k: int)
     Equal windows lie in runs of equal anchors.  Where all runs of an anchor are equal, as within copies, all their windows are
     repeated; only where they differ are windows counted.  Counts come from aggregates that combine before the shuffle, and are
     joined back by keys whose heavy ones are broadcast, so what very many texts share doesn't gather in one task."""
-    texts = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("_key"), F.col(group).alias("_group"), F.xxhash64(group).alias("scope"), prefix.codes(words).alias("codes"))
-    texts = written(texts.where(F.size("codes") >= k))
-    found = anchored_runs(texts, k)
+    texts = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(key).alias("_key"), F.col(group).alias("_group"), F.xxhash64(group).alias("scope"), words.alias("_w"))
+    texts = written(texts.where(F.size("_w") >= k).withColumn("_t", F.array_join("_w", " ")).drop("_w"), compression="zstd")
+    codes = prefix.codes(F.split("_t", " "))  # eight bytes a word, so they are made where they are used
+    found = anchored_runs(texts.select("doc", "scope", codes.alias("codes")), k)
     counted = found.groupBy("a").agg(F.count("*").alias("n"), F.max("moves").alias("moves"), (F.min("h") != F.max("h")).alias("differ"))
     counted = written(counted.where("n > 1 OR moves").select("a", "n", F.expr("n = 1 OR differ").alias("open")))
     met = written(looked_up(found.select("a", "doc", "first", "last"), counted, ["a"], "n").select("doc", "first", "last", "open"))
-    grams = open_windows(texts, met.where("open"), k).select("doc", F.col("start").alias("first"), "g1", "g2")
+    grams = open_windows(texts, met.where("open"), k, "_t", codes).select("doc", F.col("start").alias("first"), "g1", "g2")
     twice = written(grams.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1"))
     hits = looked_up(grams, twice, ["g1", "g2"], "n").select("doc", "first", F.lit(1).alias("n"))
     hits = hits.unionByName(met.where("NOT open").select("doc", "first", (F.col("last") - F.col("first") + 1).alias("n")))

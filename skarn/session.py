@@ -36,9 +36,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """Cuts the lineage by a table in the shared folder, for loops: a checkpoint hands the estimated size on, and joins
-    multiply it, so that after some rounds the numbers alone take longer to plan than the data to join."""
+    multiply it, so that after some rounds the numbers alone take longer to plan than the data to join.  ``options`` are those of the writer."""
     folder = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
